@@ -28,10 +28,10 @@ def _positions(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, words, n, width (words of its windows), size (words of its shingles); items without words are left out."""
+    """item_id, words, n, width (words of its windows), size (words of its shingles); items without words or without an id are left out."""
     words = benchmark.select("item_id", words_of(lower_ascii(F.col("text")), NON_WORD_RUN).alias("words"))
     n = F.size("words")
-    return words.where(n > 0).select(
+    return words.where((n > 0) & F.col("item_id").isNotNull()).select(
         "item_id", "words", n.alias("n"), F.least(n, F.lit(window)).alias("width"), F.least(n, F.lit(SHINGLE), F.lit(window)).alias("size")
     )
 
