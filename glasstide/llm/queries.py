@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, secret_scan
-from .common import sha256_hex, table
+from . import bpe, chat, decontaminate, quality, secret_scan, substrings, toxicity
+from .common import held_out, sha256_hex, table
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(documents, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(documents, model)
+    return scored.select("doc_id", held_out("doc_id", 3).alias("held_out"), "score", "predicted")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(documents, model)
+    return scored.select("doc_id", held_out("doc_id", 3).alias("held_out"), "score", "predicted")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +61,24 @@ FROM parts
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x{20}\x{09}-\x{0D}]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM docs WHERE len(w) >= 13)
+), least AS (SELECT win, min(doc_id) AS d FROM windows GROUP BY win),
+gone AS (SELECT doc_id, list_distinct(flatten(list(range(s, s + 13)))) AS g FROM windows JOIN least USING (win) WHERE d < doc_id GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
+FROM docs d LEFT JOIN gone USING (doc_id)
+"""
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated_words(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -98,5 +130,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", sha256_hex(F.col("ids")).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_formatting, op8_benchmark_decontamination, op9_secret_scans, op10_bpe)}
-ORACLE_SQL = {"op4_chat_formatting": OP4_SQL, "op8_benchmark_decontamination": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op4_chat_formatting, op5_toxicity, op7_substring_dedup, op8_benchmark_decontamination, op9_secret_scans, op10_bpe)}
+ORACLE_SQL = {"op4_chat_formatting": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
