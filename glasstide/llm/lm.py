@@ -30,7 +30,7 @@ HEAD_WORDS = 1 << 18
 #: Passes over disjoint halves of the training rows; copies are averaged after each.
 ROUNDS = 2
 #: Noise samples per token in the loss, noise words drawn per batch, tokens per batch, step size.
-NOISE, DRAWN, BATCH, STEP = 12.0, 96, 4096, 0.12
+NOISE, DRAWN, BATCH, STEP = 12.0, 96, 2048, 0.25
 #: Bytes of text whose words are counted together.
 COUNT_BYTES = 12 << 20
 END = np.uint64(0)
