@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, lm, ngram_join, quality, secret_scan, substrings, toxicity
+from . import ann, bpe, chat, decontaminate, lm, ngram_join, quality, secret_scan, substrings, toxicity
 from .common import held_out, sha256_hex, table
 
 
@@ -71,6 +71,11 @@ FROM parts
 """
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
@@ -140,5 +145,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", sha256_hex(F.col("ids")).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_ngram_jaccard_join, op4_chat_formatting, op5_toxicity, op7_substring_dedup, op8_benchmark_decontamination, op9_secret_scans, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_ngram_jaccard_join, op4_chat_formatting, op5_toxicity, op6_nearest_neighbours, op7_substring_dedup, op8_benchmark_decontamination, op9_secret_scans, op10_bpe)}
 ORACLE_SQL = {"op4_chat_formatting": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
