@@ -240,8 +240,8 @@ _on_flags("load_universe", f"WITH {BRAND_BARS} SELECT symbol, count(*) AS bars F
 QUERIES["load_universe"] = lambda spark, sf_dir: sources.load_universe(brand_bars(spark, sf_dir), BRANDS).groupBy("symbol").agg(F.count("*").alias("bars"))
 _on_flags(
     "history_window",
-    _sql(f"SELECT symbol, {SQL_DAY}, regime, round_even(close, 2) AS close FROM history WHERE ts >= (SELECT max(ts) FROM bars WHERE symbol = 'NO') - INTERVAL 2 YEAR"),
-    lambda b: _out(sources.history_window(rules.rule_history(b).join(b.select("symbol", "ts", "close"), ["symbol", "ts"]), b, "NO", 2), "regime", "close"),
+    _sql(f"SELECT symbol, {SQL_DAY}, regime FROM history WHERE ts >= (SELECT max(ts) FROM bars WHERE symbol = 'NO') - INTERVAL 2 YEAR"),
+    lambda b: _out(sources.history_window(rules.rule_history(b), b, "NO", 2), "regime"),
 )
 _on_flags("latest_per_symbol", f"WITH {FLAG_BARS} {_BARS_OUT} (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM bars) WHERE n = 1", lambda b: _bars_out(validation.latest_per_symbol(b)))
 _on_flags("tail_n", f"WITH {FLAG_BARS} {_BARS_OUT} (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM bars) WHERE n <= 60", lambda b: _bars_out(validation.tail_n(b, 60)))
