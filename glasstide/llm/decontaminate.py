@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD_RUN, bounded_broadcast, cut, lower_ascii, words_of
+from .common import NON_WORD_RUN, bounded_broadcast, cut, lower_ascii, spare, words_of
 
 #: Words of a window, and of a shingle within it.
 WINDOW, SHINGLE = 13, 3
@@ -75,31 +75,32 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int =
         .distinct()
         .join(bounded_broadcast(items.select("item_id", F.col("words").alias("item"), "width")), "item_id")
     )
-    per_doc = aligned.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("item_id", "at", "item", "width")).alias("_seen"))
+    key, seen, own, same, hits = (spare(n, columns) for n in ("_id", "_seen", "_words", "_same", "_hits"))
+    per_doc = aligned.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("item_id", "at", "item", "width")).alias(seen))
     base = documents.select(*columns)
-    joined = base.join(per_doc, base["doc_id"].eqNullSafe(per_doc["_id"]), "left").select(*columns, "_seen", own_words.alias("_words"))
-    same = F.transform(
-        F.coalesce("_seen", F.array().cast(per_doc.schema["_seen"].dataType)),
+    joined = base.join(per_doc, base["doc_id"].eqNullSafe(per_doc[key]), "left").select(*columns, seen, own_words.alias(own))
+    compared = F.transform(
+        F.coalesce(seen, F.array().cast(per_doc.schema[seen].dataType)),
         lambda c: F.struct(
             c["item_id"].alias("item_id"), c["at"].alias("at"), c["width"].alias("width"),
-            F.array_join(F.transform(c["item"], lambda w, o: F.when((c["at"] + o >= 0) & (F.get("_words", c["at"] + o) == w), "1").otherwise("0")), "").alias("bits"),
+            F.array_join(F.transform(c["item"], lambda w, o: F.when((c["at"] + o >= 0) & (F.get(own, c["at"] + o) == w), "1").otherwise("0")), "").alias("bits"),
         ),
-    )
+    )
     # Short of a whole window, an alignment has no start.
     starts = lambda c: F.filter(
         F.sequence(F.lit(0), F.char_length(c["bits"]) - c["width"]),
         lambda s: F.substr(c["bits"], s + 1, c["width"]) == F.repeat(F.lit("1"), c["width"]),
     )
-    hits = F.filter(F.transform("_same", lambda c: F.struct(c["item_id"], c["at"], c["width"], starts(c).alias("starts"))), lambda c: F.size(c["starts"]) > 0)
-    covered = F.flatten(F.transform("_hits", lambda c: F.flatten(F.transform(c["starts"], lambda s: F.sequence(c["at"] + s, c["at"] + s + c["width"] - 1)))))
+    found_at = F.filter(F.transform(same, lambda c: F.struct(c["item_id"], c["at"], c["width"], starts(c).alias("starts"))), lambda c: F.size(c["starts"]) > 0)
+    covered = F.flatten(F.transform(hits, lambda c: F.flatten(F.transform(c["starts"], lambda s: F.sequence(c["at"] + s, c["at"] + s + c["width"] - 1)))))
     return (
-        joined.withColumn("_same", same)
-        .withColumn("_hits", hits)
+        joined.withColumn(same, compared)
+        .withColumn(hits, found_at)
         .select(
             *columns,
-            F.size("_words").cast("long").alias("n_words"),
+            F.size(own).cast("long").alias("n_words"),
             F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
-            F.array_sort(F.array_distinct(F.transform("_hits", lambda c: c["item_id"].cast("string")))).alias("items"),
+            F.array_sort(F.array_distinct(F.transform(hits, lambda c: c["item_id"].cast("string")))).alias("items"),
         )
     )
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Words, binaries, chunks, mix, ragged, text_buffers, whole_windows, window_hashes
+from .common import spare
 
 #: Words of a window, and of the anchor inside it.
 WINDOW, ANCHOR = 13, 5
@@ -168,8 +169,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     Words are the runs without white space, unchanged. A word goes if it lies in a window of ``window`` consecutive words
     whose words also start a window in a document with a smaller doc_id; windows are judged on the input. Null and empty
     texts have no words. Rows that share a doc_id are one document's parts: none is earlier than the other, and a start
-    found in one counts for all of them. Rows with a null doc_id come last: their id orders after all others only in
-    that it is never earlier than any. Other columns stay, but for ones named like a result.
+    found in one counts for all of them. Rows without doc_id are left as they are and remove nothing. Other columns stay, but for ones named like a result.
     """
     columns = [c for c in documents.columns if c not in ("n_words", "n_removed", "kept")]
     source = documents.select(*columns)
@@ -178,7 +178,8 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     rows = known.mapInArrow(lambda b: _split(b, window, anchor), "key long, doc_id long, first int, windows binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_joined, "doc_id long, starts binary")
-    per_doc = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("starts").alias("_starts"))
-    joined = source.join(per_doc, source["doc_id"].cast("long") == per_doc["_id"], "left").select(*columns, "_starts")
+    key, starts = spare("_id", columns), spare("_starts", columns)
+    per_doc = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("starts").alias(starts))
+    joined = source.join(per_doc, source["doc_id"].cast("long") == per_doc[key], "left").select(*columns, starts)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
     return joined.mapInArrow(lambda b: _applied(b, columns, window), f"{kinds}, n_words long, n_removed long, kept string")
