@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..config import Universe
 from ..functions.ewm import Mean, recursive_means, span
 from ..functions.expressions import bars_in_order, last_rows, rank_share, ratio
-from ..sources.bars import load_universe
 
 # The features in the order that a state model expects.
 FEATURE_NAMES = (
@@ -55,19 +54,24 @@ def diff_n(df: DataFrame, col: str, n: int = 5, name: str = "diff") -> DataFrame
     return df.withColumn(name, F.coalesce(F.col(col) - F.lag(col, n).over(bars_in_order()), F.lit(0.0)))
 
 
-def sector_breadth(bars: DataFrame, calendar: DataFrame, sectors: tuple[str, ...], length: int = 50, min_bars: int = 60) -> DataFrame:
+def sector_breadth(
+    bars: DataFrame, calendar: DataFrame, sectors: tuple[str, ...], length: int = 50, min_bars: int = 60, usable: tuple[str, ...] | None = None
+) -> DataFrame:
     """symbol, ts, breadth on calendar: the share of sectors that stand above their own mean, among those that have begun.
 
-    Sectors with fewer than min_bars bars are left out; without any sector left breadth is one half.
+    Sectors with fewer than min_bars bars are left out, unless ``usable`` already names those that stay; without any sector
+    left breadth is one half.
     """
-    own = bars.where(F.col("symbol").isin(list(sectors)))
-    counted = own.withColumn("_n", F.count("*").over(Window.partitionBy("symbol"))).where(F.col("_n") >= min_bars)
-    above = recursive_means(counted.select("symbol", "ts", "close"), [Mean("close", span(length), "mean")])
-    above = above.select(F.col("symbol").alias("sector"), "ts", (F.col("close") > F.col("mean")).cast("double").alias("above"))
-    if above.limit(1).count() == 0:
+    if usable is None:
+        counts = bars.where(F.col("symbol").isin(list(sectors))).groupBy("symbol").count().where(F.col("count") >= min_bars)
+        usable = tuple(sorted(r["symbol"] for r in counts.collect()))  # a fixed few
+    if not usable:
         return calendar.select("symbol", "ts", F.lit(0.5).alias("breadth"))
-    cols = [f"_s{i}" for i in range(len(sectors))]  # a fixed few, so one column each
-    wide = above.groupBy("ts").agg(*[F.max(F.when(F.col("sector") == s, F.col("above"))).alias(c) for s, c in zip(sectors, cols)])
+    own = bars.where(F.col("symbol").isin(list(usable))).select("symbol", "ts", "close")
+    above = recursive_means(own, [Mean("close", span(length), "mean")])
+    above = above.select(F.col("symbol").alias("sector"), "ts", (F.col("close") > F.col("mean")).cast("double").alias("above"))
+    cols = [f"_s{i}" for i in range(len(usable))]  # a fixed few, so one column each
+    wide = above.groupBy("ts").agg(*[F.max(F.when(F.col("sector") == s, F.col("above"))).alias(c) for s, c in zip(usable, cols)])
     at = align_ffill(calendar, wide, cols)
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in cols), F.lit(0.0))
     begun = sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))
@@ -94,16 +98,19 @@ def feature_matrix(bars: DataFrame, universe: Universe, warmup: int = 252) -> Da
     Terms of other symbols are computed on their own bars, then put on the target's dates and filled forward. A missing
     part gives 0; a missing target or vol_index is an error.
     """
-    bars = load_universe(bars, universe)
-    if bars.where(F.col("symbol") == universe.vol_index).limit(1).count() == 0:
-        raise ValueError(f"no bars for the vol index {universe.vol_index}")
+    bars = bars.where(F.col("symbol").isin(universe.symbols()))
+    counts = {r["symbol"]: r["count"] for r in bars.groupBy("symbol").count().collect()}  # a row per part of the universe
+    for part in (universe.target, universe.vol_index):
+        if part not in counts:
+            raise ValueError(f"no bars for {part}")
+    usable = tuple(s for s in universe.sectors if counts.get(s, 0) >= 60)
     target = bars.where(F.col("symbol") == universe.target)
     calendar = target.select("symbol", "ts")
     w, c = bars_in_order(), F.col("close")
     means = recursive_means(target.select("symbol", "ts", "close"), [Mean("close", span(n), f"m{n}") for n in (21, 50, 200)])
     names = ["vix", "growth", "hyg", "ief", "tlt", "gold", "copper", "irx", "curve"]
     df = means.join(align_ffill(calendar, market_frame(bars, universe), names), ["symbol", "ts"])
-    df = df.join(sector_breadth(bars, calendar, universe.sectors), ["symbol", "ts"])
+    df = df.join(sector_breadth(bars, calendar, universe.sectors, usable=usable), ["symbol", "ts"])
     zero = lambda e: F.coalesce(e, F.lit(0.0))
     own = lambda n: zero(ratio(c, F.lag("close", n).over(w)) - 1)
     df = df.select("symbol", "ts", "close", "m21", "m50", "m200", "vix", "breadth", *[zero(F.col(n)).alias(n) for n in names[1:]])

@@ -38,10 +38,14 @@ def trend_label(df: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
 
 def trend_label_simple(bars: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
     """up, down or flat from the slope of the middle mean, in price points per bar; null until there is a slope."""
-    df = ema_slope(recursive_means(bars, [Mean("close", span(cfg.trend.ema_mid), "_mid")]), "_mid", cfg.trend.slope_lookback)
-    s, least = F.col("ema_slope"), cfg.trend.slope_min
+    return _simple_trend(recursive_means(bars, [Mean("close", span(cfg.trend.ema_mid), "_mid")]), "_mid", cfg.trend).drop("_mid")
+
+
+def _simple_trend(df: DataFrame, mid: str, t: TrendSettings) -> DataFrame:
+    sloped = ema_slope(df, mid, t.slope_lookback)
+    s, least = F.col("ema_slope"), t.slope_min
     label = F.when(s > least, "up").when(s < -least, "down").when(s.isNotNull(), "flat")
-    return df.withColumn("trend_simple", label).drop("_mid", "ema_slope")
+    return sloped.withColumn("trend_simple", label).drop("ema_slope")
 
 
 def vol_of(atr_percent: Column, v: VolSettings) -> Column:
@@ -185,9 +189,7 @@ def regime_snapshot(bars: DataFrame, cfg: RuleSettings = RuleSettings(), timefra
     that as well they have no row.
     """
     window = slice_window(bars, start, end)
-    df = chop_structure(squeeze_state(diagnosed(window, cfg), cfg), cfg)
-    simple = trend_label_simple(window, cfg).select("symbol", "ts", "trend_simple")
-    df = df.join(simple, ["symbol", "ts"])
+    df = _simple_trend(chop_structure(squeeze_state(diagnosed(window, cfg), cfg), cfg), "ema_mid", cfg.trend)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c)
     fit = F.when(F.col("reg_slope").isNotNull() & F.col("reg_r2").isNotNull(), F.col("ts"))
     rows = df.groupBy("symbol").agg(
