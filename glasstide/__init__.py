@@ -1 +1,10 @@
-"""Regime analytics on bar panels, written as PySpark DataFrame jobs."""
+"""Regime analytics on bar panels, written as PySpark DataFrame jobs.
+
+Task functions of this package are pickled by value, so executors need no copy of the repository.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
