@@ -161,10 +161,10 @@ def score_quality(documents: DataFrame, model: Trees, threshold: float = 0.5) ->
     """documents' rows with score (0 to 1) and predicted (1 from the threshold on). Only the text counts; null is empty."""
     columns = [c for c in documents.columns if c not in ("score", "predicted")]
     source = documents.select(*columns)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast((model.base, model.feature, model.threshold, model.value))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
+        trees = Trees(*shared.value)
         for batch in batches:
             x = _table(batch.column(columns.index("text")))
             score = np.concatenate([trees.score(x[i : i + 4096]) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0)
