@@ -165,6 +165,18 @@ def test_later_horizons_have_fewer_returns(spark):
     assert n[5] == 200 - 29 - 5
 
 
+def test_close_goes_by_several_names(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "`Adj Close` double, CLOSE double")
+    assert df.select(sources.close_column(df)).first()["close"] == 2.0
+    assert df.select(sources.close_column(df.select("Adj Close").withColumnRenamed("Adj Close", "other"))).first()["close"] is None
+
+
+def test_freshness(spark):
+    u = Universe("A", "B")
+    got = validation.freshness(series(spark, [1.0, 2.0]).unionByName(series(spark, [1.0], "X")), u, "2020-01-07").first()
+    assert (got.age_days, got.symbols, got.stale) == (5, 1, True)
+
+
 def test_partition_count_changes_nothing(spark):
     df = series(spark, wave(120)).unionByName(series(spark, wave(90, 40.0), "B"))
     found = []
