@@ -171,12 +171,24 @@ def count_words(training: DataFrame) -> DataFrame:
     return cut(counted.groupBy("h").agg(F.first("kind").alias("kind"), F.sum("n").alias("c")))
 
 
+def _frequent(vocabulary: DataFrame, most: int) -> DataFrame:
+    """The words above the least count that at most ``most`` words reach, by a histogram of counts in steps of a percent."""
+    step = F.floor(F.log(F.col("c").cast("double")) * 100)
+    room, least = most, 0
+    for row in vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("c").alias("c")).orderBy(F.desc("step")).collect():
+        room -= row["words"]
+        if room < 0:
+            break
+        least = row["c"]
+    return vocabulary.where(F.col("c") >= least).select("h", "c") if least else vocabulary.limit(0).select("h", "c")
+
+
 def train(documents: DataFrame, modulus: int = 5, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """A model of all rows outside the held-out fold, and the table of all training tokens' counts (h, c)."""
     training = documents.where(~held_out("doc_id", modulus)).select("doc_id", "text")
     vocabulary = count_words(training)
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = vocabulary.orderBy(F.desc("c"), "h").limit(HEAD_WORDS).toPandas()
+    head = _frequent(vocabulary, HEAD_WORDS).toPandas().sort_values(["c", "h"], ascending=[False, True])
     keys = head["h"].to_numpy(np.int64).view(np.uint64)
     singles = np.unique(np.concatenate([[END], keys[keys != END][: SINGLES - 1]]).astype(np.uint64))
     rest = vocabulary.where(~F.col("h").isin([int(x) for x in singles.view(np.int64)]))
@@ -230,7 +242,7 @@ def _round(training: DataFrame, model: Model, unigram: np.ndarray, turn: int) ->
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc_id, h, tf, n_tokens, n_known, base, score): one per text, then one per rarer word of it (h not null)."""
+    """Rows (key, doc_id, h, word, tf, n_tokens, n_known, base, score): one per text (word false), then one per rarer word of it."""
     p, end = Parameters(model.flat), int(np.searchsorted(model.singles, END))
     base_total = math.log10(model.n + 0.5 * (model.v + 1))
     class_total = np.log10(model.class_n + 0.5 * (model.class_v + 1))
@@ -258,13 +270,13 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             d, w = doc[rare][order], h[rare][order]
             new = np.flatnonzero(np.concatenate([np.ones(min(1, len(d)), bool), (d[1:] != d[:-1]) | (w[1:] != w[:-1])]))
             tf = np.diff(np.append(new, len(d)))
-            columns = [pa.array(key[a:b]), batch.column(1).slice(a, n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *map(pa.array, (number, n_known, base, score))]
-            names = ["key", "doc_id", "h", "tf", "n_tokens", "n_known", "base", "score"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            own = [pa.array(key[a:b]), batch.column(1).slice(a, n), pa.array(key[a:b]), pa.array([False] * n), pa.nulls(n, pa.int64())]
+            names = ["key", "doc_id", "h", "word", "tf", "n_tokens", "n_known", "base", "score"]
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (number, n_known, base, score))], names=names)
             if len(new):
-                m = len(new)
-                empty = [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(key[a:b][d[new]]), pa.nulls(m, pa.int64()), pa.array(w[new].view(np.int64)), pa.array(tf.astype(np.int64)), *empty], names=names)
+                m, of = len(new), d[new]
+                own = [pa.array(key[a:b][of]), batch.column(1).slice(a, n).take(pa.array(of)), pa.array(w[new].view(np.int64)), pa.array([True] * m), pa.array(tf.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=names)
 
 
 def score_texts(documents: DataFrame, model: Model, counts: DataFrame, modulus: int = 5) -> DataFrame:
@@ -279,14 +291,16 @@ def score_texts(documents: DataFrame, model: Model, counts: DataFrame, modulus:
         return _scored(batches, Model(**{k: shared.value[k] for k in ("n", "v", "singles", "head", "counts", "class_n", "class_v", "flat")}))
 
     keyed = documents.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = keyed.mapInArrow(scored, "key long, doc_id long, h long, tf long, n_tokens long, n_known long, base double, score double")
-    joined = rows.where("h is not null").join(counts, "h", "left")
+    rows = keyed.mapInArrow(scored, "key long, doc_id long, h long, word boolean, tf long, n_tokens long, n_known long, base double, score double")
+    # A text's own row goes along under its key, so that all rows are computed once and meet again in one group.
+    counted = rows.join(counts.select("h", "c", F.lit(True).alias("word")), ["h", "word"], "left")
     c = F.coalesce("c", F.lit(0))
-    rarer = joined.select("key", (F.col("tf") * F.log10(c + 0.5)).alias("log_c"), F.when(c > 0, F.col("tf")).otherwise(0).alias("known"))
-    rarer = rarer.groupBy("key").agg(F.sum("log_c").alias("log_c"), F.sum("known").alias("known"))
-    texts = rows.where("h is null").drop("h", "tf")
-    copies = texts.groupBy("key", "doc_id").agg(F.count("*").alias("copies"), *[F.first(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
-    out = copies.join(rarer, "key", "left")
+    out = counted.groupBy("key", "doc_id").agg(
+        F.sum((~F.col("word")).cast("long")).alias("copies"),
+        *[F.max(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")],
+        F.sum(F.when(F.col("word"), F.col("tf") * F.log10(c + 0.5))).alias("log_c"),
+        F.sum(F.when(F.col("word") & (c > 0), F.col("tf"))).alias("known"),
+    )
     one = F.coalesce(F.col("log_c") / F.col("copies"), F.lit(0.0))
     known = F.coalesce(F.expr("known div copies"), F.lit(0))
     return out.select(
