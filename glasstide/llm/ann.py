@@ -26,6 +26,8 @@ BITS, SUBSTRING, ROUNDS = 256, 16, 15
 COVERED = 0.995
 #: Rows and queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 16_384
+#: Queries that a task compares with its rows at a time.
+QUERY_BATCH = 64
 
 
 def usable(vector: Column) -> Column:
@@ -76,67 +78,84 @@ def fit_codes(x: np.ndarray, k: int, bits: int = BITS) -> Codes:
 
 
 class Index:
-    """Substring buckets of a block of codes."""
+    """Substring buckets of a block of codes: each substring's distinct values, and by row the place of its value."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.buckets = []
-        for s in range(codes.shape[1]):
-            values, inverse, count = np.unique(codes[:, s], return_inverse=True, return_counts=True)
-            self.buckets.append((values, np.argsort(inverse, kind="stable"), np.cumsum(count) - count, count))
-
-    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code is within the radius of the query's code."""
+        self.words = np.ascontiguousarray(codes).view(np.uint64) if codes.shape[1] % 4 == 0 else codes
+        self.buckets = [np.unique(codes[:, s], return_inverse=True) for s in range(codes.shape[1])]
+
+    def distance(self, queries: np.ndarray) -> np.ndarray:
+        """Hamming distances, queries x rows."""
+        own = np.ascontiguousarray(queries).view(self.words.dtype)
+        out = np.zeros((len(own), len(self.words)), np.uint16)
+        for w in range(own.shape[1]):
+            out += np.bitwise_count(own[:, w, None] ^ self.words[None, :, w])
+        return out
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """By query and row: whether the code is within the radius, and its distance. Only rows of a probed bucket can be."""
         share = radius // len(self.buckets)
-        seen = np.zeros(len(self.codes), bool)
-        for q, (values, rows, first, count) in zip(query, self.buckets):
-            probed = np.flatnonzero(np.bitwise_count(values ^ q) <= share)
-            if len(probed) * 2 > len(values):
-                mark = np.zeros(len(values), bool)
-                mark[probed] = True
-                seen[rows[np.repeat(mark, count)]] = True
-            else:
-                for p in probed:
-                    seen[rows[first[p] : first[p] + count[p]]] = True
-        found = np.flatnonzero(seen)
-        return found[np.bitwise_count(self.codes[found] ^ query).sum(axis=1) <= radius]
-
-
-def _answers(queries: list[tuple], rows: list[tuple], codes: Codes, k: int) -> Iterator[pa.RecordBatch]:
+        probed = np.zeros((len(queries), len(self.words)), bool)
+        for s, (values, place) in enumerate(self.buckets):
+            near = np.bitwise_count(queries[:, s, None] ^ values[None, :]) <= share
+            probed |= near[:, place]
+        distance = self.distance(queries)
+        return probed & (distance <= radius), distance
+
+
+def _answers(qid: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: Codes, k: int) -> Iterator[pa.RecordBatch]:
     """query_id, vec_id, score: the k nearest rows of one block for each query of one block."""
-    if not queries or not rows:
+    if not len(qid) or not len(ids):
         return
-    ids = np.array([r[0] for r in rows], np.int64)
-    x = np.array([r[1] for r in rows], np.float64)
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    index = Index(codes.encode(x / norm[:, None]))
-    out: list[tuple[np.ndarray, ...]] = []
-    for qid, vector in queries:
-        q = np.array(vector, np.float64)
-        length = math.sqrt(np.einsum("i,i->", q, q))
-        code = codes.encode(q[None] / length)[0]
-        found = index.within(code, codes.radius)
-        found = found[ids[found] != qid]
-        if len(found) < k:  # too few within the radius: the nearest codes stand in
-            distance = np.bitwise_count(index.codes ^ code).sum(axis=1).astype(np.int64)
-            distance[ids == qid] = 1 << 30
-            found = np.argsort(distance, kind="stable")[:k]
-            found = found[ids[found] != qid]
-        score = np.einsum("ij,j->i", x[found], q) / (norm[found] * length)
-        best = np.lexsort((ids[found], -score))[:k]
-        out.append((np.full(len(best), qid), ids[found][best], score[best]))
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+    unit = lambda v: v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    rows = unit(x)
+    index = Index(codes.encode(rows))
+    for a in range(0, len(qid), QUERY_BATCH):
+        q, own = queries[a : a + QUERY_BATCH], qid[a : a + QUERY_BATCH]
+        units = unit(q)
+        code = codes.encode(units)
+        keep, distance = index.within(code, codes.radius)
+        keep &= own[:, None] != ids[None, :]
+        for i in np.flatnonzero(keep.sum(axis=1) < k):  # too few within the radius: the nearest codes stand in
+            far = distance[i].astype(np.int64)
+            far[ids == own[i]] = 1 << 30
+            best = np.argsort(far, kind="stable")[:k]
+            keep[i, best[far[best] < 1 << 30]] = True
+        rough = np.where(keep, units @ rows.T, -np.inf)
+        most = min(2 * k + 8, len(ids))  # more than k, as equal vectors may differ in the last bit here
+        best = np.argpartition(-rough, most - 1, axis=1)[:, :most]
+        i, j = np.nonzero(np.take_along_axis(keep, best, axis=1))
+        j = best[i, j]
+        norms = np.sqrt(np.einsum("ij,ij->i", q[i], q[i])) * np.sqrt(np.einsum("ij,ij->i", x[j], x[j]))
+        score = np.einsum("ij,ij->i", q[i], x[j]) / norms
+        order = np.lexsort((ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        first = np.searchsorted(i, np.arange(len(own)))
+        top = np.arange(len(i)) - first[i] < k
+        yield pa.RecordBatch.from_arrays([pa.array(own[i[top]]), pa.array(ids[j[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
 
 
 def _answered(batches: Iterator[pa.RecordBatch], codes: Codes, k: int) -> Iterator[pa.RecordBatch]:
-    group, queries, rows = None, [], []
+    """_answers for each group of rows sorted by (row_block, query_block)."""
+    group, held = None, []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            is_query, ids, x = (np.concatenate(c) for c in zip(*held))
+            yield from _answers(ids[is_query], x[is_query], ids[~is_query], x[~is_query], codes, k)
+
     for batch in batches:
-        for row_block, query_block, is_query, vec_id, vector in zip(*(c.to_pylist() for c in batch.columns)):
-            if (row_block, query_block) != group:
-                yield from _answers(queries, rows, codes, k)
-                group, queries, rows = (row_block, query_block), [], []
-            (queries if is_query else rows).append((vec_id, vector))
-    yield from _answers(queries, rows, codes, k)
+        if not batch.num_rows:
+            continue
+        row_block, query_block, is_query, ids = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in range(4))
+        x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        cut = np.flatnonzero((row_block[1:] != row_block[:-1]) | (query_block[1:] != query_block[:-1])) + 1
+        for a, b in zip([0, *cut], [*cut, len(ids)]):
+            if (row_block[a], query_block[a]) != group:
+                yield from done()
+                group, held = (row_block[a], query_block[a]), []
+            held.append((is_query[a:b].astype(bool), ids[a:b], x[a:b]))
+    yield from done()
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, bits: int = BITS) -> DataFrame:
