@@ -82,8 +82,14 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def hashes(self, seed: int = 1) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        return span_hashes(self.raw, self.starts, self.ends, seed)
+        """A 64-bit hash of each word's bytes, made in pieces of about CHUNK_BYTES."""
+        out, i = np.zeros(len(self.starts), np.uint64), 0
+        while i < len(out):
+            a = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, a + CHUNK_BYTES, side="right")))
+            out[i:j] = span_hashes(self.raw[a : self.ends[j - 1]], self.starts[i:j] - a, self.ends[i:j] - a, seed)
+            i = j
+        return out
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}

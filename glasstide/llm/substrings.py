@@ -5,6 +5,10 @@ the least-hashed anchor (a run of a few words) of its first window, so equal win
 suffixes that share an anchor travel as one row. A group's sorted entries are its subtree: window hashes that occur twice
 are the internal nodes a whole window deep, and runs of them in a document are its maximal repeats.
 
+Windows are shuffled with 24 bits of their hash first, which only names candidates; candidates are read from the texts again
+and compared by the whole 64 bits (and the 64 bits of the anchor). Anchors over a bounded number of distinct windows, found by a
+grouped count, have their prefix lengthened by bits of the window's hash, so that no group grows with the data.
+
 Sizes stay bounded without any cap: within a chunk of documents, every window but its first occurrence is settled where
 it is found and never shuffled, so a passage that fills a third of the corpus sends one row per chunk. Groups are read as
 sorted streams, of which only the open group's distinct windows are held.
@@ -26,6 +30,11 @@ from .common import spare
 WINDOW, ANCHOR = 13, 5
 #: Bytes of text whose windows are settled together before anything is shuffled.
 SETTLE_BYTES = 12 << 20
+#: Distinct windows over which an anchor's group is split, and those in a chunk of documents from which an anchor is counted.
+GROUP_WINDOWS, HOT_LEAST = 20_000, 16
+#: Bytes of a window's hash that are shuffled to find candidates.
+SKETCH = 3
+NONE_HOT = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
 def anchors(words: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,82 +66,169 @@ def _settled(key: np.ndarray, full: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     return repeated, ~repeated
 
 
-def _split(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, doc_id, pos, windows): of each anchor the starts and hashes of its unsettled windows; pos -1: settled starts."""
-    names = ["key", "doc_id", "first", "windows"]
+def _grouped(words: Words, window: int, anchor: int, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """start, window hash, anchor's position, group of every whole window; hot anchors' groups are lengthened by the window's hash."""
+    hashed = words.hashes()
+    start, full, where = anchors(hashed, words.first, window, anchor)
+    key = window_hashes(hashed, anchor, seed=11)[where] if len(start) else np.zeros(0, np.uint64)
+    keys, parts = hot
+    if len(keys) and len(key):
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        found = keys[at] == key
+        with np.errstate(over="ignore"):
+            key[found] = mix(key[found] + np.uint64(1) + mix(full[found]) % parts[at[found]])
+    return start, full, where, key
 
-    def out(key, doc, first, values, lengths):
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(first.astype(np.int32)), binaries(values, lengths)], names=names)
 
+def _counted(batches: Iterator[pa.RecordBatch], window: int, anchor: int, least: int) -> Iterator[pa.RecordBatch]:
+    """key, n: distinct windows of the anchors that have least or more of them in a chunk of documents."""
+    for batch in batches:
+        raw, offsets = text_buffers(batch.column(0))
+        for _, _, part, at in chunks(raw, offsets, SETTLE_BYTES):
+            _, full, _, key = _grouped(Words(part, at), window, anchor, NONE_HOT)
+            key, n = np.unique(key[np.unique(full, return_index=True)[1]], return_counts=True)
+            keep = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["key", "n"])
+
+
+def hot_groups(documents: DataFrame, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the anchors with more than GROUP_WINDOWS distinct windows, and into how many groups each is split."""
+    least = HOT_LEAST
+    counted = documents.select("text").mapInArrow(lambda b: _counted(b, window, anchor, least), "key long, n long")
+    rows = counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > GROUP_WINDOWS).collect()
+    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
+    parts = np.array([-(-r["n"] // GROUP_WINDOWS) for r in rows], np.uint64)
+    order = np.argsort(keys)
+    return keys[order], parts[order]
+
+
+def _rows(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, window: int, anchor: int, hot: tuple, width: int, wanted: list | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (key, doc_id, first, windows): of each group the starts and hashes of its unsettled windows; first -1: settled starts."""
+    for a, b, part, at in chunks(raw, offsets, SETTLE_BYTES):
+        words = Words(part, at)
+        start, full, where, key = _grouped(words, window, anchor, hot)
+        doc_of = words.doc()
+        if wanted is not None:
+            asked = np.zeros(len(words.starts) + 1, bool)
+            for i, p in enumerate(wanted[a:b]):
+                asked[p[p < words.count[i]] + words.first[i]] = True
+            keep = asked[start]
+            start, full, where, key = start[keep], full[keep], where[keep], key[keep]
+        if not len(start):
+            continue
+        doc = ids[a + doc_of[start]]
+        repeated, kept = _settled(key, full, doc)
+        local = (start - words.first[doc_of[start]]).astype(np.int32)
+        if repeated.any():
+            yield _settled_rows(*_runs(doc[repeated], local[repeated]))
+        # Windows of one anchor are neighbours: starts differ by one while the anchor stays the same.
+        s, w, k = start[kept], where[kept], key[kept]
+        new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (s[1:] != s[:-1] + 1) | (k[1:] != k[:-1])]))
+        lengths = np.diff(np.append(new, len(s)))
+        yield _packed(k[new], doc[kept][new], local[kept][new], binaries(_cut(full[kept], width), lengths * width))
+
+
+def _packed(key: np.ndarray, doc: np.ndarray, first: np.ndarray, windows: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(first.astype(np.int32)), windows], names=["key", "doc_id", "first", "windows"])
+
+
+def _settled_rows(doc: np.ndarray, runs: pa.Array) -> pa.RecordBatch:
+    with np.errstate(over="ignore"):
+        return _packed(mix(doc.view(np.uint64)), doc, np.full(len(doc), -1), runs)
+
+
+def _cut(full: np.ndarray, width: int) -> np.ndarray:
+    """The bytes of the hashes, width of each."""
+    return full.view(np.uint8).reshape(-1, 8)[:, 8 - width :].ravel()
+
+
+def _uncut(data: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, 8 - width :] = data.reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
+def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """doc, its runs of neighbouring starts (first and length, 32 bits each), of each stretch of one doc."""
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]))
+    pairs = np.stack([start[new], np.diff(np.append(new, len(start)))], axis=1).astype(np.uint32)
+    d = doc[new]
+    row = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+    return d[row], binaries(pairs.ravel(), 2 * np.diff(np.append(row, len(d))))
+
+
+def _starts(runs: list[bytes]) -> np.ndarray:
+    pairs = np.frombuffer(b"".join(runs), np.uint32).astype(np.int64).reshape(-1, 2)
+    return ragged(pairs[:, 0], pairs[:, 1])
+
+
+def _split(batches: Iterator[pa.RecordBatch], window: int, anchor: int, hot: tuple) -> Iterator[pa.RecordBatch]:
+    """_rows of all windows, with SKETCH bytes of their hashes."""
     for batch in batches:
         ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        raw, offsets = text_buffers(batch.column(1))
-        for a, _, part, at in chunks(raw, offsets, SETTLE_BYTES):
-            words = Words(part, at)
-            if not len(words.starts):
-                continue
-            start, full, where = anchors(words.hashes(), words.first, window, anchor)
-            if not len(start):
-                continue
-            doc_of = words.doc()
-            doc = ids[a + doc_of[start]]
-            key = window_hashes(words.hashes(), anchor, seed=11)[where]
-            repeated, kept = _settled(key, full, doc)
-            local = (start - words.first[doc_of[start]]).astype(np.int32)
-            if repeated.any():
-                d, p = doc[repeated], local[repeated]
-                new = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                lengths = np.diff(np.append(new, len(d)))
-                with np.errstate(over="ignore"):
-                    yield out(mix(d[new].view(np.uint64)), d[new], np.full(len(new), -1), p, lengths)
-            # Windows of one anchor are neighbours: starts differ by one while the anchor stays the same.
-            s, w = start[kept], where[kept]
-            if not len(s):
-                continue
-            new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (s[1:] != s[:-1] + 1)]))
-            lengths = np.diff(np.append(new, len(s)))
-            yield out(key[kept][new], doc[kept][new], local[kept][new], (full[kept] >> np.uint64(16)).astype(np.uint32), lengths)
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, starts) of repeated windows, from rows sorted by key and document id."""
-    open_key, seen_hash, seen_doc = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        yield from _rows(*text_buffers(batch.column(1)), ids, window, anchor, hot, SKETCH)
+
+
+def _verified(batches: Iterator[pa.RecordBatch], text: int, window: int, anchor: int, hot: tuple) -> Iterator[pa.RecordBatch]:
+    """_rows of the candidates, with their whole hashes, and the settled starts; the last columns are id, candidates, settled."""
+    for batch in batches:
+        batch = batch.filter(batch.column(batch.num_columns - 3).is_valid())
+        for a in range(0, batch.num_rows, 2000):
+            part = batch.slice(a, 2000)
+            texts, ids, maybe, sure = (part.column(k) for k in (text, *range(part.num_columns - 3, part.num_columns)))
+            ids = np.asarray(ids.to_numpy(zero_copy_only=False), dtype=np.int64)
+            yield from _rows(*text_buffers(texts), ids, window, anchor, hot, 8, [_starts(f) for f in maybe.to_pylist()])
+            known = [b"".join(f) for f in sure.to_pylist()]
+            yield _settled_rows(ids, pa.array(known, pa.binary())).filter(pa.array([len(r) > 0 for r in known], pa.bool_()))
+
+
+def _joined(batches: Iterator[pa.RecordBatch], width: int, exact: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, starts, sure), from rows sorted by key and document id: windows that a smaller id has too.
+
+    If not exact, all windows whose hash two ids share are given, the first one's too, as candidates (sure is false).
+    """
+    names = ["doc_id", "starts", "sure"]
+    open_key, seen_hash, seen_doc, seen_start, seen_told = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool)
     for batch in batches:
         key, doc, first = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in range(3))
         held = batch.column(3)
         at = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]
-        data = np.frombuffer(held.buffers()[2], np.uint8)[at[0] : at[-1]].view(np.uint32) if at[-1] > at[0] else np.zeros(0, np.uint32)
-        lengths = np.diff(at) // 4
+        data = np.frombuffer(held.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
         done = first < 0
-        row = np.repeat(np.arange(len(key)), lengths)
-        flat_done = done[row]
         # Settled starts pass through as they are.
         if done.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[done]), binaries(data[flat_done], lengths[done])], names=["doc_id", "starts"])
-        row, value = row[~flat_done], data[~flat_done]
+            known = held.filter(pa.array(done))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[done]), known, pa.array(np.ones(len(known), bool))], names=names)
+            data = data[~np.repeat(done, np.diff(at))]
+        lengths = np.diff(at)[~done] // width
+        row, value = np.repeat(np.flatnonzero(~done), lengths), _uncut(data, width)
         if not len(row):
             continue
-        start = ragged(first[~done].astype(np.int64), lengths[~done]).astype(np.uint32)
-        k, d = key[row], doc[row]
-        # The group left open by the batch before stands in front, without starts.
-        carried = len(seen_hash) if open_key is not None and k[0] == open_key else 0
-        if carried:
-            k = np.concatenate([np.full(carried, open_key, k.dtype), k])
-            d, value = np.concatenate([seen_doc, d]), np.concatenate([seen_hash, value])
+        start = ragged(first[~done].astype(np.int64), lengths).astype(np.uint32)
+        k, d, told = key[row], doc[row], np.zeros(len(row), bool)
+        # The group left open by the batch before stands in front.
+        if open_key is not None and k[0] == open_key:
+            k = np.concatenate([np.full(len(seen_hash), open_key, k.dtype), k])
+            d, value, start, told = (np.concatenate(p) for p in ((seen_doc, d), (seen_hash, value), (seen_start, start), (seen_told, told)))
         order = np.lexsort((d, value, k))
         ko, vo, do = k[order], value[order], d[order]
         new = np.ones(len(order), bool)
         new[1:] = (ko[1:] != ko[:-1]) | (vo[1:] != vo[:-1])
         least = do[np.maximum.accumulate(np.where(new, np.arange(len(do)), 0))]
-        repeated = np.empty(len(order), bool)
-        repeated[order] = do > least
-        last = new & (ko == k[-1])
-        open_key, seen_hash, seen_doc = k[-1], vo[last], do[last]
-        hit = np.flatnonzero(repeated[carried:])
+        repeated = do > least
+        if exact:
+            last, shared = new, repeated
+        else:
+            last, shared = ~repeated, np.logical_or.reduceat(repeated, np.flatnonzero(new))[np.cumsum(new) - 1]
+        emitted = np.empty(len(order), bool)
+        emitted[order] = shared & ~told[order]
+        last = last & (ko == k[-1])
+        open_key, seen_hash, seen_doc, seen_start = k[-1], vo[last], do[last], start[order][last]
+        seen_told = np.zeros(int(last.sum()), bool) if exact else shared[last]
+        hit = np.flatnonzero(emitted)
         if len(hit):
-            d, p = doc[row[hit]], start[hit]
-            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1])]))
-            yield pa.RecordBatch.from_arrays([pa.array(d[new]), binaries(p, np.diff(np.append(new, len(d))))], names=["doc_id", "starts"])
+            d, runs = _runs(d[hit], start[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(d), runs, pa.array(np.full(len(d), exact))], names=names)
 
 
 def _applied(batches: Iterator[pa.RecordBatch], columns: list[str], window: int) -> Iterator[pa.RecordBatch]:
@@ -146,7 +242,7 @@ def _applied(batches: Iterator[pa.RecordBatch], columns: list[str], window: int)
             covered = np.zeros(len(words.starts) + 1, np.int64)
             for i, found in enumerate(starts.slice(a, 500).to_pylist()):
                 if found:
-                    p = np.unique(np.frombuffer(b"".join(found), np.uint32).astype(np.int64))
+                    p = np.unique(_starts(found))
                     p = p[p + window <= words.count[i]] + words.first[i]
                     covered[p] += 1
                     np.subtract.at(covered, p + window, 1)
@@ -174,12 +270,25 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     columns = [c for c in documents.columns if c not in ("n_words", "n_removed", "kept")]
     source = documents.select(*columns)
     known = source.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = documents.sparkSession
-    rows = known.mapInArrow(lambda b: _split(b, window, anchor), "key long, doc_id long, first int, windows binary")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_joined, "doc_id long, starts binary")
-    key, starts = spare("_id", columns), spare("_starts", columns)
-    per_doc = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("starts").alias(starts))
-    joined = source.join(per_doc, source["doc_id"].cast("long") == per_doc[key], "left").select(*columns, starts)
+    hot = hot_groups(known, window, anchor)
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key, starts, settled = spare("_id", columns), spare("_starts", columns), spare("_settled", columns)
+
+    def joined(rows: DataFrame, width: int, exact: bool) -> DataFrame:
+        dealt = rows.repartition(n, "key").sortWithinPartitions("key", "doc_id")
+        found = dealt.mapInArrow(lambda b: _joined(b, width, exact), "doc_id long, starts binary, sure boolean")
+        return found.withColumnRenamed("doc_id", key).repartition(n, key)  # plain rows are smaller than half-made lists
+
+    def beside(per_doc: DataFrame) -> DataFrame:
+        return source.join(per_doc, source["doc_id"].cast("long") == per_doc[key], "left")
+
+    rows = "key long, doc_id long, first int, windows binary"
+    maybe = joined(known.mapInArrow(lambda b: _split(b, window, anchor, hot), rows), SKETCH, False)
+    lots = [F.collect_list(F.when(F.col("sure") == sure, F.col("starts"))).alias(name) for sure, name in ((False, starts), (True, settled))]
+    # Both joins read the same shuffled texts: no filter, all columns.
+    asked = beside(maybe.groupBy(key).agg(*lots)).select(*columns, key, starts, settled)
+    text = columns.index("text")
+    found = joined(asked.mapInArrow(lambda b: _verified(b, text, window, anchor, hot), rows), 8, True)
+    with_starts = beside(found.groupBy(key).agg(F.collect_list("starts").alias(starts))).select(*columns, starts)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return joined.mapInArrow(lambda b: _applied(b, columns, window), f"{kinds}, n_words long, n_removed long, kept string")
+    return with_starts.mapInArrow(lambda b: _applied(b, columns, window), f"{kinds}, n_words long, n_removed long, kept string")

@@ -8,10 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glasstide.llm import ann, bpe, chat, decontaminate, lm, ngram_join, quality, secret_scan, substrings, toxicity
+from glasstide.llm.arrays import Words, text_buffers, window_hashes
 from glasstide.llm.queries import word_vocabulary
 
 from . import brute
@@ -240,6 +242,42 @@ def test_repeats_against_all_windows(spark, monkeypatch, settle):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+def alike(shift):
+    """Two different windows of one anchor that agree in 32 bits of their hash, from bit shift on."""
+    draw = random.Random(3)
+    runs = [" ".join(f"k{draw.randrange(10**6)}" for _ in range(5)) for _ in range(4000)]
+    hashed = lambda texts: Words(*text_buffers(pa.array(texts)))
+    anchor = runs[int(np.argmin(window_hashes(hashed(runs).hashes(), 5, seed=11)[::5]))]
+    texts = [anchor + "".join(f" v{draw.randrange(1000)}" for _ in range(8)) for _ in range(250_000)]
+    words = hashed(texts)
+    start, full, where = substrings.anchors(words.hashes(), words.first, 13, 5)
+    short = np.where(where == start, (full >> np.uint64(shift)).astype(np.uint32).astype(np.int64), -1 - np.arange(len(full)))
+    order = np.argsort(short, kind="stable")
+    for i in np.flatnonzero(short[order][1:] == short[order][:-1]):
+        if texts[order[i]] != texts[order[i + 1]]:
+            return texts[order[i]], texts[order[i + 1]]
+    raise AssertionError("no such windows")
+
+
+@pytest.mark.parametrize("shift", [16, 32])
+def test_windows_alike_in_part_of_their_hash(spark, shift):
+    a, b = alike(shift)
+    rows = [(1, a), (2, b), (3, b + " end"), (4, a)]
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(frame(spark, rows).repartition(4, "doc_id")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13, 4: 13}
+
+
+def test_large_anchor_groups_are_split(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP_WINDOWS", 20)
+    monkeypatch.setattr(substrings, "HOT_LEAST", 2)
+    rows = [(i, prose(9, i) + " a b c d e " + prose(9, i % 40)) for i in range(120)]
+    docs = frame(spark, rows).repartition(3)
+    keys, parts = substrings.hot_groups(docs, 13, 5)
+    assert len(keys) and (parts > 1).all()
+    got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept)) for r in substrings.remove_repeats(docs).collect()}
+    assert got == brute.repeats(rows)
+
+
 def plain_contamination(docs, items, width=13):
     split = lambda t: brute.LOWER_WORD.findall(brute.lower_ascii(t or ""))
     out = []
