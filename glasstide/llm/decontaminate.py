@@ -28,22 +28,23 @@ def _positions(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, words, n, width (words of its windows), size (words of its shingles); items without words or without an id are left out."""
+    """text_id, ids (item_ids of the text), words, n, width (words of its windows), size (words of its shingles); texts without words are left out."""
     words = benchmark.select("item_id", words_of(lower_ascii(F.col("text")), NON_WORD_RUN).alias("words"))
     n = F.size("words")
-    return words.where((n > 0) & F.col("item_id").isNotNull()).select(
-        "item_id", "words", n.alias("n"), F.least(n, F.lit(window)).alias("width"), F.least(n, F.lit(SHINGLE), F.lit(window)).alias("size")
-    )
+    return words.where(n > 0).groupBy("words").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids")).select(
+        F.monotonically_increasing_id().alias("text_id"), "ids", "words",
+        n.alias("n"), F.least(n, F.lit(window)).alias("width"), F.least(n, F.lit(SHINGLE), F.lit(window)).alias("size"),
+    )
 
 
 def prefix_shingles(placed: DataFrame, frequency: DataFrame) -> DataFrame:
-    """h, item_id, offset: of every window of every item, the shingle that is rarest in the corpus."""
+    """h, text_id, offset: of every window of every item, the shingle that is rarest in the corpus."""
     rare = placed.join(frequency, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     first = F.greatest(F.lit(0), F.col("offset") - F.col("width") + F.col("size"))
     last = F.least(F.col("offset"), F.col("n") - F.col("width"))
-    starts = rare.select("item_id", "h", "offset", "df", F.explode(F.sequence(first, last)).alias("start"))
-    least = starts.groupBy("item_id", "start").agg(F.min(F.struct("df", "h", "offset")).alias("m"))
-    return least.select("m.h", "item_id", "m.offset").distinct()
+    starts = rare.select("text_id", "h", "offset", "df", F.explode(F.sequence(first, last)).alias("start"))
+    least = starts.groupBy("text_id", "start").agg(F.min(F.struct("df", "h", "offset")).alias("m"))
+    return least.select("m.h", "text_id", "m.offset").distinct()
 
 
 def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -51,15 +52,16 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int =
 
     documents: doc_id, text and any other columns; benchmark: item_id, text. Words are lower-cased alphanumeric runs,
     anything beyond ASCII is a letter. A window is ``window`` consecutive item words; a shorter item is one window.
-    Null and empty texts have no words; repeated rows each get a result; an empty benchmark finds nothing.
+    Null and empty texts have no words; repeated rows each get a result; an empty benchmark finds nothing. Items that share an
+    id are told apart by their words; the words of an item without id are hit, but it has no id to give.
     """
-    items = cut(items_of(benchmark, window))
+    items = cut(items_of(benchmark, window))  # text_id must not be numbered twice
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # three at most
     docs = documents.select("doc_id", words_of(lower_ascii(F.col("text")), NON_WORD_RUN).alias("words"))
     found, placed = None, None
     for size in sizes:
         own = items.where(F.col("size") == size)
-        at = _positions(own, ["item_id", "n", "width", "size"], size).withColumnRenamed("pos", "offset")
+        at = _positions(own, ["text_id", "n", "width", "size"], size).withColumnRenamed("pos", "offset")
         keys = bounded_broadcast(at.select("h").distinct())
         got = _positions(docs, ["doc_id"], size).join(keys, "h")
         found, placed = (got, at) if found is None else (found.unionByName(got), placed.unionByName(at))
@@ -71,18 +73,18 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int =
     prefix = bounded_broadcast(prefix_shingles(placed, found.groupBy("h").agg(F.count("*").alias("df"))))
     aligned = (
         found.join(prefix, "h")
-        .select("doc_id", "item_id", (F.col("pos") - F.col("offset")).alias("at"))
+        .select("doc_id", "text_id", (F.col("pos") - F.col("offset")).alias("at"))
         .distinct()
-        .join(bounded_broadcast(items.select("item_id", F.col("words").alias("item"), "width")), "item_id")
+        .join(bounded_broadcast(items.select("text_id", "ids", F.col("words").alias("item"), "width")), "text_id")
     )
     key, seen, own, same, hits = (spare(n, columns) for n in ("_id", "_seen", "_words", "_same", "_hits"))
-    per_doc = aligned.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("item_id", "at", "item", "width")).alias(seen))
+    per_doc = aligned.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("ids", "at", "item", "width")).alias(seen))
     base = documents.select(*columns)
     joined = base.join(per_doc, base["doc_id"].eqNullSafe(per_doc[key]), "left").select(*columns, seen, own_words.alias(own))
     compared = F.transform(
         F.coalesce(seen, F.array().cast(per_doc.schema[seen].dataType)),
         lambda c: F.struct(
-            c["item_id"].alias("item_id"), c["at"].alias("at"), c["width"].alias("width"),
+            c["ids"].alias("ids"), c["at"].alias("at"), c["width"].alias("width"),
             F.array_join(F.transform(c["item"], lambda w, o: F.when((c["at"] + o >= 0) & (F.get(own, c["at"] + o) == w), "1").otherwise("0")), "").alias("bits"),
         ),
     )
@@ -91,7 +93,7 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int =
         F.sequence(F.lit(0), F.char_length(c["bits"]) - c["width"]),
         lambda s: F.substr(c["bits"], s + 1, c["width"]) == F.repeat(F.lit("1"), c["width"]),
     )
-    found_at = F.filter(F.transform(same, lambda c: F.struct(c["item_id"], c["at"], c["width"], starts(c).alias("starts"))), lambda c: F.size(c["starts"]) > 0)
+    found_at = F.filter(F.transform(same, lambda c: F.struct(c["ids"], c["at"], c["width"], starts(c).alias("starts"))), lambda c: F.size(c["starts"]) > 0)
     covered = F.flatten(F.transform(hits, lambda c: F.flatten(F.transform(c["starts"], lambda s: F.sequence(c["at"] + s, c["at"] + s + c["width"] - 1)))))
     return (
         joined.withColumn(same, compared)
@@ -100,7 +102,7 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int =
             *columns,
             F.size(own).cast("long").alias("n_words"),
             F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
-            F.array_sort(F.array_distinct(F.transform(hits, lambda c: c["item_id"].cast("string")))).alias("items"),
+            F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda c: c["ids"])))).alias("items"),
         )
     )
 

@@ -305,6 +305,14 @@ def test_contamination_against_all_windows(spark):
     assert decontaminate.contaminated_words(frame(spark, []), frame(spark, items, "item_id long, text string")).count() == 0
 
 
+def test_items_that_share_or_lack_an_id(spark):
+    a, b, c, d = (prose(13, 500 + i) for i in range(4))
+    items = [(1, a), (1, b), (None, c), (None, d), (2, a)]
+    docs = [(1, a), (2, b), (3, c), (4, d), (5, f"{a} x {c}")]
+    got = decontaminate.contaminated_words(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in got} == {1: (13, ["1", "2"]), 2: (13, ["1"]), 3: (13, []), 4: (13, []), 5: (26, ["1", "2"])}
+
+
 # ---- 9: secrets ----------------------------------------------------------------------------------------------------
 
 SECRETS = [
