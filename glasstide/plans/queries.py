@@ -346,8 +346,8 @@ _on_flags(
 @_register("fit_state_model")
 def _fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = features.feature_matrix(flag_bars(spark, sf_dir), UNIVERSE).cache()
-    if matrix.count() < 50:
-        return _out(_scores(flag_bars(spark, sf_dir)), "regime", "confidence")
+    if matrix.count() < 4 * (11 + 1):  # four states in eleven components: too few rows for full covariances, so no model and no labels
+        return _out(state_model.score_history(matrix.limit(0), demo_model()), "regime", "confidence")
     model = state_model.fit_state_model(matrix, labels={0: "Risk-On", 1: "Risk-Off", 2: "Risk-On-Retreat", 3: "Risk-Off-Stable"})
     return _out(state_model.score_history(matrix, model), "regime", "confidence")
 

@@ -27,3 +27,12 @@ def test_entry(spark):
 
     got = __spark_entry__.entry(spark).toPandas()
     assert len(got) and set(got["horizon"]) == {5, 21, 63} and set(got["engine"]) == {"rules"}
+
+
+def test_too_few_rows_to_fit_give_no_labels(spark, monkeypatch):
+    from glasstide.plans import queries
+
+    whole = queries.features.feature_matrix
+    monkeypatch.setattr(queries.features, "feature_matrix", lambda *a: whole(*a).limit(20))
+    assert queries.features.feature_matrix(queries.flag_bars(spark, SF), queries.UNIVERSE).count() == 20
+    assert QUERIES["fit_state_model"](spark, SF).count() == 0
