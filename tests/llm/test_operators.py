@@ -8,12 +8,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glasstide.llm import ann, bpe, chat, decontaminate, lm, ngram_join, quality, secret_scan, substrings, toxicity
-from glasstide.llm.arrays import Words, text_buffers, window_hashes
 from glasstide.llm.queries import word_vocabulary
 
 from . import brute
@@ -233,49 +231,45 @@ def test_few_or_no_vectors(spark):
 # ---- 7 and 8: passages ---------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("settle", [12 << 20, 300])
-def test_repeats_against_all_windows(spark, monkeypatch, settle):
-    monkeypatch.setattr(substrings, "SETTLE_BYTES", settle)
-    rows = [r for r in awkward() if r[0] is not None and r[0] != 8] + [(20 + i, prose(20, i) + " " + prose(40, 77) + " " + prose(14, 78)) for i in range(15)] + [(40, "a " * 300), (41, "a " * 20)]
+@pytest.mark.parametrize("lot,rows_together", [(3 << 20, 20_000), (400, 20)])
+def test_repeats_against_all_windows(spark, monkeypatch, lot, rows_together):
+    monkeypatch.setattr(substrings, "LOT_BYTES", lot)
+    monkeypatch.setattr(substrings, "TREE_ROWS", rows_together)
+    rows = [r for r in awkward() if r[0] is not None and r[0] != 8] + [(20 + i, prose(20, i) + " " + prose(40, 77) + " " + prose(14, 78)) for i in range(15)]
+    rows += [(40, "a " * 300), (41, "a " * 20), (42, prose(16, 3) + " x " + prose(16, 3)), (43, prose(3000, 3)), (-5, prose(30, 3))]
     got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept)) for r in substrings.remove_repeats(frame(spark, rows).repartition(3)).collect()}
     assert got == brute.repeats(rows)
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
-def alike(shift):
-    """Two different windows of one anchor that agree in 32 bits of their hash, from bit shift on."""
-    draw = random.Random(3)
-    runs = [" ".join(f"k{draw.randrange(10**6)}" for _ in range(5)) for _ in range(4000)]
-    hashed = lambda texts: Words(*text_buffers(pa.array(texts)))
-    anchor = runs[int(np.argmin(window_hashes(hashed(runs).hashes(), 5, seed=11)[::5]))]
-    texts = [anchor + "".join(f" v{draw.randrange(1000)}" for _ in range(8)) for _ in range(250_000)]
-    words = hashed(texts)
-    start, full, where = substrings.anchors(words.hashes(), words.first, 13, 5)
-    short = np.where(where == start, (full >> np.uint64(shift)).astype(np.uint32).astype(np.int64), -1 - np.arange(len(full)))
-    order = np.argsort(short, kind="stable")
-    for i in np.flatnonzero(short[order][1:] == short[order][:-1]):
-        if texts[order[i]] != texts[order[i + 1]]:
-            return texts[order[i]], texts[order[i + 1]]
-    raise AssertionError("no such windows")
+def test_repeated_rows_missing_ids_and_clashing_names(spark):
+    a, b = prose(40, 1), prose(40, 2)
+    rows = [(1, a, 5), (2, a, 6), (2, a, 6), (2, b, 7), (None, b, 8), (3, f"x {b} y", 9)]
+    got = substrings.remove_repeats(frame(spark, rows, "doc_id int, text string, _ROW int").withColumn("KEPT", F.lit(1)))
+    assert got.columns == ["doc_id", "text", "_ROW", "n_words", "n_removed", "kept"]
+    assert sorted((r._ROW, r.n_removed, r.kept) for r in got.collect()) == [(5, 0, a), (6, 40, ""), (6, 40, ""), (7, 0, b), (8, 0, b), (9, 40, "x y")]
 
 
-@pytest.mark.parametrize("shift", [16, 32])
-def test_windows_alike_in_part_of_their_hash(spark, shift):
-    a, b = alike(shift)
-    rows = [(1, a), (2, b), (3, b + " end"), (4, a)]
-    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(frame(spark, rows).repartition(4, "doc_id")).collect()}
-    assert got == {1: 0, 2: 0, 3: 13, 4: 13}
+def test_words_apart_in_one_place_only(spark):
+    """Windows alike but for one word are no repeats, however many share an anchor."""
+    head, tail = prose(6, 1).split(), prose(6, 2).split()
+    rows = [(i, " ".join([*head, f"slot{i}", *tail])) for i in range(3000)] + [(5000, " ".join([*head, "slot7", *tail]))]
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+    assert {i for i, n in got.items() if n} == {5000} and got[5000] == 13
 
 
 def test_large_anchor_groups_are_split(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "GROUP_WINDOWS", 20)
-    monkeypatch.setattr(substrings, "HOT_LEAST", 2)
+    for name, value in (("GROUP_WINDOWS", 20), ("COUNT_STEP", 2), ("TREE_ROWS", 16)):
+        monkeypatch.setattr(substrings, name, value)
     rows = [(i, prose(9, i) + " a b c d e " + prose(9, i % 40)) for i in range(120)]
     docs = frame(spark, rows).repartition(3)
-    keys, parts = substrings.hot_groups(docs, 13, 5)
-    assert len(keys) and (parts > 1).all()
-    got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept)) for r in substrings.remove_repeats(docs).collect()}
-    assert got == brute.repeats(rows)
+    prefixes = substrings.measure(docs, 13, 5)[1]
+    assert prefixes.base == 1 and len(prefixes.keys) and (prefixes.parts > 1).all()
+    for listed in (100_000, 1):
+        monkeypatch.setattr(substrings, "LISTED", listed)
+        assert (substrings.measure(docs, 13, 5)[1].base > 1) == (listed == 1)
+        got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept)) for r in substrings.remove_repeats(docs).collect()}
+        assert got == brute.repeats(rows)
 
 
 def plain_contamination(docs, items, width=13):
