@@ -2,35 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import kept as cut  # noqa: F401
+
 #: Separators of the words that keep case and punctuation (fixed by the data contract).
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Separators of lower-cased alphanumeric words; everything beyond ASCII counts as a letter.
 NON_WORD_RUN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which a side may be broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a side may be broadcast; beyond it the same join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder; its lineage ends there.
-
-    The folder is the cluster's spark.checkpoint.dir. Only where a session has none, as in tests, a folder is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcasting if it has at most ``limit`` rows; unmarked otherwise, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcasting if its rows, written as JSON, take at most ``limit`` bytes; unmarked otherwise, so that the join shuffles."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0]
+    return F.broadcast(df) if (size or 0) <= limit else df
 
 
 def lower_ascii(text: Column) -> Column:

@@ -1,12 +1,15 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows against documents, verified exactly.
 
 Every item window is a set of word shingles. As a window must occur whole, its rarest shingle alone is a sufficient
-prefix. Documents' shingles meet only those prefix shingles; an alignment survives the length and position bounds
-and is then compared word by word. All steps are DataFrame expressions.
+prefix: the item shingles' occurrences are counted first, without positions, and then only prefix shingles meet documents' positions.
+An alignment survives the length and position bounds and is then compared word by word, over the few words of the item that
+its prefix stands for. All steps are DataFrame expressions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,54 +41,53 @@ def items_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def prefix_shingles(placed: DataFrame, frequency: DataFrame) -> DataFrame:
-    """h, text_id, offset: of every window of every item, the shingle that is rarest in the corpus."""
+    """h, text_id, offset, first, last: the rarest shingle of every item window, and the starts of the windows it stands for.
+
+    Windows of which some shingle never occurs are left out.
+    """
     rare = placed.join(frequency, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     first = F.greatest(F.lit(0), F.col("offset") - F.col("width") + F.col("size"))
     last = F.least(F.col("offset"), F.col("n") - F.col("width"))
     starts = rare.select("text_id", "h", "offset", "df", F.explode(F.sequence(first, last)).alias("start"))
-    least = starts.groupBy("text_id", "start").agg(F.min(F.struct("df", "h", "offset")).alias("m"))
-    return least.select("m.h", "text_id", "m.offset").distinct()
+    least = starts.groupBy("text_id", "start").agg(F.min(F.struct("df", "h", "offset")).alias("m")).where("m.df > 0")
+    return least.groupBy("m.h", "text_id", "m.offset").agg(F.min("start").alias("first"), F.max("start").alias("last"))
 
 
 def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """documents' rows with n_words, n_hit (words inside occurrences of item windows) and items (ids of the items found).
 
-    documents: doc_id, text and any other columns; benchmark: item_id, text. Words are lower-cased alphanumeric runs,
-    anything beyond ASCII is a letter. A window is ``window`` consecutive item words; a shorter item is one window.
-    Null and empty texts have no words; repeated rows each get a result; an empty benchmark finds nothing. Items that share an
-    id are told apart by their words; the words of an item without id are hit, but it has no id to give.
+    documents: doc_id, text and any other columns, which stay, but for ones named like a result, whatever the case; benchmark:
+    item_id, text. Words are lower-cased alphanumeric runs, anything beyond ASCII is a letter. A window is ``window`` consecutive
+    item words; a shorter item is one window. Null and empty texts have no words; a very long text is compared whole; repeated
+    rows each get a result; an empty benchmark finds nothing, an empty table gives no rows. Items that share an id are told apart
+    by their words; the words of an item without id are hit, but it has no id to give.
     """
     items = cut(items_of(benchmark, window))  # text_id must not be numbered twice
     sizes = [r["size"] for r in items.select("size").distinct().collect()]  # three at most
-    docs = documents.select("doc_id", words_of(lower_ascii(F.col("text")), NON_WORD_RUN).alias("words"))
-    found, placed = None, None
-    for size in sizes:
-        own = items.where(F.col("size") == size)
-        at = _positions(own, ["text_id", "n", "width", "size"], size).withColumnRenamed("pos", "offset")
-        keys = bounded_broadcast(at.select("h").distinct())
-        got = _positions(docs, ["doc_id"], size).join(keys, "h")
-        found, placed = (got, at) if found is None else (found.unionByName(got), placed.unionByName(at))
-    columns = [c for c in documents.columns if c not in ("n_words", "n_hit", "items")]
+    columns = [c for c in documents.columns if c.lower() not in ("n_words", "n_hit", "items")]
     own_words = words_of(lower_ascii(F.col("text")), NON_WORD_RUN)
-    if found is None:
+    if not sizes:
         return documents.select(*columns, F.size(own_words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    found = cut(found)
-    prefix = bounded_broadcast(prefix_shingles(placed, found.groupBy("h").agg(F.count("*").alias("df"))))
-    aligned = (
-        found.join(prefix, "h")
-        .select("doc_id", "text_id", (F.col("pos") - F.col("offset")).alias("at"))
-        .distinct()
-        .join(bounded_broadcast(items.select("text_id", "ids", F.col("words").alias("item"), "width")), "text_id")
-    )
+    # Rows go by their content, so that neither a repeated nor a missing doc_id gathers the alignments of many texts.
+    row_key = F.xxhash64("doc_id", "text")
+    docs = documents.select(row_key.alias("row"), own_words.alias("words"))
+    placed = {s: _positions(items.where(F.col("size") == s), ["text_id", "n", "width", "size"], s).withColumnRenamed("pos", "offset") for s in sizes}
+    counts = [_positions(docs, [], s).join(bounded_broadcast(at.select("h").distinct()), "h").select("h") for s, at in placed.items()]
+    frequency = reduce(DataFrame.unionByName, counts).groupBy("h").agg(F.count("*").alias("df"))
+    prefix = cut(prefix_shingles(reduce(DataFrame.unionByName, placed.values()), cut(frequency)).join(items, "text_id").select(
+        "h", "size", "text_id", "offset", "first", "ids", "width", F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + F.col("width")).alias("piece")
+    ))
+    alike = [_positions(docs, ["row"], s).join(bounded_broadcast(prefix.where(F.col("size") == s)), "h") for s in sizes]
+    aligned = reduce(DataFrame.unionByName, alike).select("row", "ids", "piece", "width", (F.col("pos") - F.col("offset") + F.col("first")).alias("at"))
     key, seen, own, same, hits = (spare(n, columns) for n in ("_id", "_seen", "_words", "_same", "_hits"))
-    per_doc = aligned.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("ids", "at", "item", "width")).alias(seen))
-    base = documents.select(*columns)
-    joined = base.join(per_doc, base["doc_id"].eqNullSafe(per_doc[key]), "left").select(*columns, seen, own_words.alias(own))
+    per_doc = aligned.groupBy(F.col("row").alias(key)).agg(F.collect_list(F.struct("ids", "at", "piece", "width")).alias(seen))
+    base = documents.select(*columns, row_key.alias(own))
+    joined = base.join(per_doc, base[own] == per_doc[key], "left").select(*columns, seen, own_words.alias(own))
     compared = F.transform(
         F.coalesce(seen, F.array().cast(per_doc.schema[seen].dataType)),
         lambda c: F.struct(
             c["ids"].alias("ids"), c["at"].alias("at"), c["width"].alias("width"),
-            F.array_join(F.transform(c["item"], lambda w, o: F.when((c["at"] + o >= 0) & (F.get(own, c["at"] + o) == w), "1").otherwise("0")), "").alias("bits"),
+            F.array_join(F.transform(c["piece"], lambda w, o: F.when((c["at"] + o >= 0) & (F.get(own, c["at"] + o) == w), "1").otherwise("0")), "").alias("bits"),
         ),
     )
     # Short of a whole window, an alignment has no start.
