@@ -112,42 +112,43 @@ def measure(documents: DataFrame, window: int, anchor: int) -> tuple[int, Prefix
 
 
 class Lot:
-    """The documents of a lot as words, and of each whole window its start, hash and whether the lot settles it."""
+    """The documents of a lot, by document id, as words; of each whole window its start and hash; and the windows' order by hash."""
 
     def __init__(self, table: pa.Table, text: int, doc_id: int, row: int, window: int):
-        table = table.combine_chunks()
-        column = lambda i: table.column(i).chunk(0) if table.num_rows else pa.array([], table.schema.field(i).type)
-        self.raw, self.offsets = text_buffers(column(text))
-        ids = column(doc_id)
-        self.known = np.asarray(ids.is_valid())
-        self.ids = np.asarray(ids.cast(pa.int64()).fill_null(0))
-        self.rows = np.asarray(column(row))
+        ids, rows = table.column(doc_id), np.asarray(table.column(row))
+        known, ids = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
+        by = np.lexsort((rows, ids))
+        self.table = table.take(by).combine_chunks()
+        self.known, self.ids, self.rows = known[by], ids[by], rows[by]
+        self.raw, self.offsets = text_buffers(self.table.column(text).chunk(0) if len(by) else pa.array([], pa.string()))
         self.words = Words(self.raw, self.offsets)
         self.hashed = self.words.hashes()
         self.window = window
-        self.full = window_hashes(self.hashed, window)
+        full = window_hashes(self.hashed, window)
         doc = self.words.doc()
-        self.start = np.flatnonzero(whole_windows(self.words.first, window)[: len(self.full)])
-        self.start = self.start[self.known[doc[self.start]]]
-        self.full = self.full[self.start]
-        self.doc = doc[self.start]
+        start = np.flatnonzero(whole_windows(self.words.first, window)[: len(full)])
+        self.start = start[self.known[doc[start]]]
+        self.full, self.doc = full[self.start], doc[self.start]
+        self.order = np.argsort(self.full, kind="stable")  # among equals, by document id
+        self.sorted = self.full[self.order]
 
     def settled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By window: a number for its words, whether a smaller document id of this lot has it too, whether it is the lot's first of its kind."""
-        d = self.ids[self.doc]
-        other = window_hashes(self.hashed, self.window, seed=8)[self.start] if len(self.start) else self.full
-        order = np.lexsort((self.rows[self.doc], d, self.full))
-        f, o, d = self.full[order], other[order], d[order]
-        new = np.ones(len(order), bool)
+        f, d = self.sorted, self.ids[self.doc[self.order]]
+        o = window_hashes(self.hashed, self.window, seed=8)[self.start][self.order] if len(self.start) else f
+        new = np.ones(len(f), bool)
         new[1:] = (f[1:] != f[:-1]) | (o[1:] != o[:-1])
         least = d[np.maximum.accumulate(np.where(new, np.arange(len(d)), 0))]
-        kind, repeated, first = np.empty(len(order), np.int64), np.empty(len(order), bool), np.empty(len(order), bool)
-        kind[order], repeated[order], first[order] = np.cumsum(new) - 1, d > least, new
+        kind, repeated, first = np.empty(len(f), np.int64), np.empty(len(f), bool), np.empty(len(f), bool)
+        kind[self.order], repeated[self.order], first[self.order] = np.cumsum(new) - 1, d > least, new
         return kind, repeated, first
 
-    def cut(self, bits: int) -> np.ndarray:
-        """The leading bits of the windows' hashes, distinct and sorted."""
-        return np.unique(self.full >> np.uint64(64 - bits))
+    def cut(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The leading bits of the windows' hashes, distinct and sorted, and by sorted window the place of its own."""
+        values = self.sorted >> np.uint64(64 - bits)
+        new = np.ones(len(values), bool)
+        new[1:] = values[1:] != values[:-1]
+        return values[new], np.cumsum(new) - 1
 
 
 def _hash_bits(size: int) -> int:
@@ -177,7 +178,7 @@ def _unpacked(data: bytes, part: int, bits: int, low: int) -> np.ndarray:
 
 def _held(lot: Lot, number: int, bits: int, parts_bits: int) -> pa.Table:
     """part, lot, hashes: the lot's cut hashes by the part of the range."""
-    values, low = lot.cut(bits), bits - parts_bits
+    (values, _), low = lot.cut(bits), bits - parts_bits
     part = (values >> np.uint64(low)).astype(np.int32) if parts_bits else np.zeros(len(values), np.int32)
     edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, int)
     data = [_packed(values[a:b], bits, low) for a, b in zip(edges, np.append(edges[1:], len(values)))]
@@ -207,13 +208,15 @@ def _shared(rows: pa.Table, bits: int, parts_bits: int) -> pa.Table:
 
 def _candidates(lot: Lot, answers: pa.Table, bits: int, parts_bits: int) -> np.ndarray:
     """By window: whether other lots hold its cut hash."""
-    values, low = lot.cut(bits), np.uint64(bits - parts_bits)
+    (values, place), low = lot.cut(bits), np.uint64(bits - parts_bits)
     part = values >> low if parts_bits else np.zeros(len(values), np.uint64)
-    shared = np.zeros(len(values) + 1, bool)
+    shared = np.zeros(len(values), bool)
     for p, mask in zip(answers.column("part").to_pylist(), answers.column("mask").to_pylist()):
         a, b = np.searchsorted(part, [p, p + 1])
         shared[a:b] = np.unpackbits(np.frombuffer(mask, np.uint8), count=b - a)
-    return shared[np.searchsorted(values, lot.full >> np.uint64(64 - bits))]
+    out = np.empty(len(place), bool)
+    out[lot.order] = shared[place]
+    return out
 
 
 SUFFIX = "key long, doc_id long, row long, first int, at int, words binary"
@@ -401,7 +404,8 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
         return _suffixes(one, one.settled()[2] & _candidates(one, answers, bits, parts_bits), anchor, prefixes)
 
     def removed(table: pa.Table, found: pa.Table) -> pa.Table:
-        return pa.table([*table.columns[:n], *_removed(lot(table), found)], names=[*columns, *results])
+        one = lot(table)
+        return pa.table([*one.table.columns[:n], *_removed(one, found)], names=[*columns, *results])
 
     answers = dealt.applyInArrow(held, "part int, lot long, hashes binary").groupBy("part").applyInArrow(lambda t: _shared(t, bits, parts_bits), "lot long, part int, mask binary")
     asked = dealt.cogroup(answers.groupBy("lot")).applyInArrow(suffixes, SUFFIX)
