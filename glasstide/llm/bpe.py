@@ -123,7 +123,7 @@ def encode_texts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     A null text counts as empty: no tokens, empty ids and decoded text. Repeated rows each get a result. Other columns
     stay, but for ones named like a result. The vocabulary is read on the driver and broadcast: its size is fixed.
     """
-    columns = [c for c in documents.columns if c not in ("n_tokens", "ids", "decoded")]
+    columns = [c for c in documents.columns if c.lower() not in ("n_tokens", "ids", "decoded")]
     source = documents.select(*columns)
     vocabulary = documents.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
 

@@ -158,8 +158,12 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", modul
 
 
 def score_quality(documents: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:
-    """documents' rows with score (0 to 1) and predicted (1 from the threshold on). Only the text counts; null is empty."""
-    columns = [c for c in documents.columns if c not in ("score", "predicted")]
+    """documents' rows with score (0 to 1) and predicted (1 from the threshold on).
+
+    Only the text counts: null is empty, an empty text has statistics of zero, a very long one is read whole. Repeated rows each
+    get their score, an empty table gives no rows. Other columns stay, but for ones named like a result, whatever the case.
+    """
+    columns = [c for c in documents.columns if c.lower() not in ("score", "predicted")]
     source = documents.select(*columns)
     shared = documents.sparkSession.sparkContext.broadcast((model.base, model.feature, model.threshold, model.value))
 

@@ -182,7 +182,7 @@ def scan_secrets(documents: DataFrame, alpha: float = 0.1) -> DataFrame:
     bins = sum((F.when(F.col("t.p") >= c, 1).otherwise(0) for c in CUTS[1:]), F.lit(0))
     tested = documents.select(F.explode(tested_tokens(F.col("text"))).alias("t"))
     cut = cutoffs([tuple(r) for r in tested.groupBy("t.stratum", bins.alias("bin")).count().collect()], alpha)
-    columns = [c for c in documents.columns if c not in ("base", "spans")]
+    columns = [c for c in documents.columns if c.lower() not in ("base", "spans")]
     based = documents.select(*columns, base_spans(F.col("text")).alias("base"))
     if not cut:
         return based.withColumn("spans", F.col("base"))

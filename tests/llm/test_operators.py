@@ -77,6 +77,12 @@ def test_classifiers_without_rows_or_labels(spark):
 def test_clashing_columns(spark):
     docs = frame(spark, [(1, "a b c", 5, 6, 7)], "doc_id long, text string, score int, _words int, _id int")
     none = frame(spark, [], "doc_id long, quality int, toxic int")
+    capital = docs.withColumnsRenamed({"score": "Score", "_words": "BASE"}).withColumns({"N_Words": F.lit(1), "PREDICTED": F.lit(2), "Ids": F.lit(3)})
+    for got in (
+        quality.score_quality(capital, quality.train(docs, none)), toxicity.score_toxicity(capital, toxicity.train(docs, none)), substrings.remove_repeats(capital),
+        decontaminate.contaminated_words(capital, frame(spark, [(1, "a b")], "item_id long, text string")), secret_scan.scan_secrets(capital), bpe.encode_texts(capital, word_vocabulary()),
+    ):
+        assert len({c.lower() for c in got.columns}) == len(got.columns) and got.select(*got.columns).count() == 1
     assert quality.score_quality(docs, quality.train(docs, none)).columns == ["doc_id", "text", "_words", "_id", "score", "predicted"]
     assert substrings.remove_repeats(docs).first()["_id"] == 7
     items = frame(spark, [(1, "a b")], "item_id long, text string")
@@ -88,10 +94,10 @@ def test_clashing_columns(spark):
 
 def test_toxicity_finds_disguised_words(spark):
     bad = ("idiot", "moron", "scum")
-    docs = [(i, prose(40, i) + (f" {bad[i % 3]} {bad[(i + 1) % 3]}" if i % 4 == 0 else "")) for i in range(400)]
+    docs = [(i, prose(20, i) + " a " + prose(20, i + 1) + (f" {bad[i % 3]} {bad[(i + 1) % 3]}" if i % 4 == 0 else "")) for i in range(400)]
     labels = frame(spark, [(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
     model = toxicity.train(frame(spark, docs), labels)
-    disguised = ["1d10t", "m0r0n", "s.c.u.m", "idiooooot", "i d i o t", "$cum"]
+    disguised = ["1d10t", "m0r0n", "s.c.u.m", "idiooooot", "i d i o t", "$cum", "a i d i o t", "id io t", "id" + "i" * 100 + "o" * 100 + "t", "m 0 r 0 n s c u m", " ".join("moron" * 20), " ".join("scumidiot" * 9)]
     tests = [(1000 + i, f"{prose(30, 2000 + i)} {w} {prose(5, i)}") for i, w in enumerate(disguised)]
     clean = [(2000 + i, prose(50, 7000 + i)) for i in range(20)] + [(3000, None), (3001, "")]
     got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(frame(spark, tests + clean), model).collect()}
@@ -99,6 +105,41 @@ def test_toxicity_finds_disguised_words(spark):
     assert not any(got[i] for i, _ in clean)
 
 
+def paths(word, model):
+    """Every path of a word's lattice with its score, enumerated."""
+    out = [(0.0, "^", "")]
+    runs = re.findall(r"((.)\2*)", word)
+    for run, c in runs:
+        n, step = len(run), []
+        if c.isalpha():
+            readings = [(c * min(n, 2), -0.2 * max(0, n - 2))] + ([(c, -0.2 * (n - 1) - (n == 2))] if n > 1 else [])
+        elif c == " ":
+            readings = [("", 0.0), (" ", 0.0)]
+        else:
+            readings = [(x * k, -0.4 - 0.2 * abs(n - k)) for x in toxicity.STANDS_FOR.get(c, "") for k in ((1, 2) if n > 1 else (1,))]
+            readings += [("", -0.2 * n)] if c in toxicity.SEPARATORS or not readings else []
+        for score, last, text in out:
+            for reading, price in readings:
+                s, a = score + price, last
+                for x in reading:
+                    s, a = (s + model(a, "$"), "^") if x == " " else (s + model(a, x), x)
+                step.append((s, a, text + reading))
+        out = step
+    return [(s + model(a, "$"), t) for s, a, t in out]
+
+
+def test_viterbi_takes_the_best_of_all_paths():
+    draw, letters = random.Random(8), "abdegilostz"
+    model = toxicity.CharacterModel({a + b: draw.random() * 100 for a in letters + "^" for b in letters + "$"})
+    for _ in range(300):
+        word = "".join(draw.choice("abilost013456!$.-  ") * draw.choice((1, 1, 1, 2, 3)) for _ in range(draw.randrange(1, 8)))
+        every = paths(word, model)
+        best = max(s for s, _ in every)
+        assert toxicity.restore(word, model) in {t for s, t in every if s > best - 1e-9}, word
+    long = toxicity.restore("1!" * 100_000, model)
+    assert len(long) == 200_000 and set(long) <= set("il")
+
+
 def test_plain_words_have_one_reading():
     model = toxicity.CharacterModel({"^a": 3.0, "ab": 2.0, "b$": 2.0})
     assert toxicity.restore("ab", model) == "ab" and toxicity.restore("", model) == ""
@@ -148,7 +189,7 @@ def near_copies():
     return rows + [(200 + i, prose(120, 900 + i)) for i in range(20)] + [(300, "a b c"), (301, "a b c"), (302, "a b d")]
 
 
-@pytest.mark.parametrize("block", [2000, 7])
+@pytest.mark.parametrize("block", [250, 7])
 def test_links_equal_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
     rows = near_copies() + [r for r in awkward() if r[0] is not None and r[0] != 8]
@@ -163,9 +204,30 @@ def test_repeated_rows_and_missing_ids_count(spark):
     assert ngram_join.similar_documents(frame(spark, [])).count() == 0
 
 
+def test_texts_under_one_id_and_links_without_ids(spark):
+    """Classes are told apart by their sets: different texts of one doc_id keep their own links, and rows without ids link too."""
+    one, two = prose(100, 61).split(), prose(100, 62).split()
+    near = lambda words, i: " ".join([*words[:i], f"other{i}", *words[i + 1 :]])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (6, near(one, 50)), (7, near(two, 40)), (None, near(two, 60)), (None, near(prose(100, 63).split(), 3)), (None, prose(100, 63))]
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in ngram_join.similar_documents(frame(spark, rows)).collect())
+    assert got == sorted([("5", "5", 1), ("5", "5", 2), ("6", "5", 1), ("7", "5", 2), ("None", "5", 2), ("None", "None", 1), ("None", "None", 1)])
+
+
 def test_prefixes_shorten_until_the_recall_is_met():
     n = ngram_join.prefix_length()
     assert 1 - (1 - 0.8**n) ** 32 >= 0.9999 > 1 - (1 - 0.8 ** (n + 1)) ** 32
+    assert ngram_join.prefix_lengths() == [10, 8, n] and ngram_join.prefix_lengths(10, 7) == [10, 8, 7] and ngram_join.prefix_lengths(4, 4) == [4]
+
+
+def test_pairs_at_the_threshold_are_found_among_their_like(spark):
+    """Pairs barely over 0.8 among documents of one template, whose other pairs are at about 0.4."""
+    template, rows = prose(140, 70).split(), []
+    for i in range(400):
+        body = [*template, *prose(100, 5000 + i, 10**6).split()]
+        at = [20 + 9 * k + i % 9 for k in range(5)]  # 25 of 236 shingles go, so the similarity is 211 / 261
+        rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join(f"own{i}x{j}" if j in at else w for j, w in enumerate(body)))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_documents(frame(spark, rows)).collect()}
+    assert got == {i: (i - i % 2, 1) for i, _ in rows}
 
 
 # ---- 4: chat -------------------------------------------------------------------------------------------------------
@@ -221,6 +283,31 @@ def test_neighbours_against_all_pairs(spark):
     assert list(got[got["query_id"] == 50].sort_values("rank")["vec_id"]) == [51, 52, 53, 54, 55]
 
 
+def test_equal_cosines_go_to_the_smallest_ids(spark):
+    """Sixty vectors that are powers of two times one another have one cosine; so have copies of the query's own vector."""
+    draw = np.random.default_rng(5)
+    base, own = draw.normal(size=16), draw.normal(size=16)
+    rows = [(0, (base + 0.01 * own).tolist()), *[(100 + i, (base * 2.0 ** (i % 40 - 20)).tolist()) for i in range(60)], *[(300 + i, draw.normal(size=16).tolist()) for i in range(200)]]
+    rows += [(1000, [1.0, 2.0]), (1001, [2.0, 4.0]), (1002, [2.0, -1.0])]  # another length: its own neighbours
+    df = frame(spark, rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(df, F.col("vec_id").isin(0, 1000)).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 100), (0, 101), (0, 102), (0, 103), (0, 104), (1000, 1001), (1000, 1002)]
+
+
+def test_buckets_and_scan_find_the_same_codes():
+    draw = np.random.default_rng(2)
+    codes = draw.integers(0, 1 << 16, (500, 16), dtype=np.uint16)
+    codes[100:200] = codes[0] ^ (1 << draw.integers(0, 16, (100, 16))).astype(np.uint16) * (draw.random((100, 16)) < 0.5)
+    index, queries = ann.Index(codes), codes[:20]
+    for radius in (0, 3, 15, 16, 40):
+        near = index.near(queries, radius)
+        plain = np.bitwise_count(queries[:, None] ^ codes[None]).sum(axis=2) <= radius
+        for i, j in (index.probed(queries, near, radius), index.within(queries, radius)):
+            assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(plain))))
+        assert sum(index.shares(radius)) == radius - 16 + 1
+    assert index.listed(index.near(queries, 15)) < 0.2 * 20 * 500  # work is that of the probed buckets
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.nearest(frame(spark, [], schema), F.col("vec_id") % 50 == 0).count() == 0
