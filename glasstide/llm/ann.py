@@ -126,13 +126,14 @@ class Index:
         keep = np.bitwise_count(own[q] ^ self.words[row]).sum(axis=1) <= radius
         return q[keep], row[keep]
 
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """query, row of all codes within the radius, by query: from the buckets, or by a scan where the buckets list more rows."""
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """query, row of all codes within the radius, from the buckets, or by a scan where the buckets list more rows; a scan's distances."""
         if min(self.shares(radius)) < self.codes.itemsize * 8 // 4:
             near = self.near(queries, radius)
             if self.listed(near) < len(queries) * len(self.codes) // 4:
-                return self.probed(queries, near, radius)
-        return np.nonzero(self.distance(queries) <= radius)
+                return *self.probed(queries, near, radius), None
+        distance = self.distance(queries)
+        return *np.nonzero(distance <= radius), distance
 
 
 def _answers(qid: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: Codes, k: int) -> Iterator[pa.RecordBatch]:
@@ -145,15 +146,16 @@ def _answers(qid: np.ndarray, queries: np.ndarray, ids: np.ndarray, x: np.ndarra
     for a in range(0, len(qid), QUERY_BATCH):
         q, own = queries[a : a + QUERY_BATCH], qid[a : a + QUERY_BATCH]
         code = codes.encode(unit(q))
-        i, j = index.within(code, codes.radius)
+        i, j, distance = index.within(code, codes.radius)
         other = own[i] != ids[j]
         i, j = i[other], j[other]
         few = np.flatnonzero(np.bincount(i, minlength=len(own)) < min(k, len(ids)))
-        if len(few):  # too few within the radius: the radius grows to the k-th nearest code's distance, all ties included
-            far = index.distance(code[few]).astype(np.int64)
+        if len(few):  # too few within the radius: it grows to the k-th nearest code's distance in this block, all ties included
+            far = (index.distance(code[few]) if distance is None else distance[few]).astype(np.int64)
             far[own[few][:, None] == ids[None, :]] = 1 << 30
-            most = np.partition(far, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1 :][:, :1]
-            wide, row = np.nonzero((far <= np.minimum(most, (1 << 30) - 1)))
+            last = min(k, len(ids)) - 1
+            most = np.partition(far, last, axis=1)[:, last]
+            wide, row = np.nonzero(far <= np.minimum(most, (1 << 30) - 1)[:, None])
             stay = ~np.isin(i, few)
             i, j = np.concatenate([i[stay], few[wide]]), np.concatenate([j[stay], row])
         score = np.empty(len(i))
