@@ -4,6 +4,10 @@ Candidate tokens get an inferred encoding. Under that encoding's alphabet, a chi
 test and a serial-correlation test each give a p-value of "drawn at random"; Fisher's method joins them. Within each
 stratum of encoding and length class, random tokens have uniform p-values, and what exceeds that among the accepted is
 false: the least cut-off is taken that keeps this share under alpha. All steps are DataFrame expressions.
+
+The joined p-values are approximate: runs and serial correlation depend on one another, and for tokens of 16 to 32 characters the
+normal law is rough for the chi-squared sum. Both bend the p-values of truly random tokens alike within a stratum, and a cut-off
+only compares a stratum's tokens among themselves, with its upper half as the measure; alpha is a target, not a guarantee.
 """
 
 from __future__ import annotations
@@ -36,21 +40,39 @@ LEAST_BITS = 64
 CUTS = (0.0, 1e-9, 1e-6, 1e-4, 1e-3, 0.003, 0.01, 0.03, 0.1, 0.2, 0.3, 0.4, 0.5)
 
 
+#: Matches of a text that are placed one after the other; blocks of so many are placed by their lengths.
+BLOCK = 256
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _placed(text: Column, pattern: str) -> Column:
-    """start, value of the leftmost non-overlapping matches; starts are in code points."""
+    """start, value of the leftmost non-overlapping matches; starts are in code points.
+
+    A match stands where all gaps and matches before it end. These are summed up within blocks and over blocks, so that a text with
+    many matches takes about as much longer.
+    """
+    kind = "array<struct<start:int,value:string>>"
     values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     step = F.zip_with(values, F.slice(gaps, 1, F.size(values)), lambda v, g: F.struct(v.alias("value"), F.char_length(g).alias("gap")))
-    empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    folded = F.aggregate(
-        step,
-        empty,
-        lambda acc, s: F.struct(
-            (acc["end"] + s["gap"] + F.char_length(s["value"])).alias("end"),
-            F.concat(acc["out"], F.array(F.struct((acc["end"] + s["gap"]).alias("start"), s["value"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(values) > 0, folded).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
+    size = lambda s: s["gap"] + F.char_length(s["value"])
+
+    def ends(sizes: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(sizes, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def within(block: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("end"), F.array().cast(kind).alias("out"))
+        put = lambda a, s: F.concat(a["out"], F.array(F.struct((a["end"] + s["gap"]).alias("start"), s["value"].alias("value"))))
+        return F.aggregate(block, start, lambda a, s: F.struct((a["end"] + size(s)).alias("end"), put(a, s).alias("out")), lambda a: a["out"])
+
+    cut = lambda st: F.transform(F.sequence(F.lit(0), F.size(st) - 1, F.lit(BLOCK)), lambda i: F.slice(st, i + 1, BLOCK))
+    total = lambda block: F.aggregate(block, F.lit(0), lambda a, s: a + size(s))
+    folded = _with(step, lambda st: _with(cut(st), lambda blocks: F.flatten(F.zip_with(blocks, ends(F.transform(blocks, total)), within))))
+    return F.when(F.size(values) > 0, folded).otherwise(F.array().cast(kind))
 
 
 def _spans(placed: Column, kind: int) -> Column:
@@ -176,8 +198,8 @@ def scan_secrets(documents: DataFrame, alpha: float = 0.1) -> DataFrame:
     """documents' rows with base (pattern spans) and spans (those and the spans found by the tests that touch none of them).
 
     Spans are structs (start, kind, stop) in code points with kinds by index in KINDS, sorted. Null texts count as empty
-    and have no spans; repeated rows each get a result; other columns stay, but for ones named base or spans. The only
-    thing collected is the strata's histogram: encodings x length classes x p-value bins, a few hundred rows at any size.
+    and have no spans; a very long text is scanned whole; repeated rows each get a result; an empty table gives no rows; other
+    columns stay, but for ones named base or spans, whatever the case. The only thing collected is the strata's histogram: encodings x length classes x p-value bins, a few hundred rows at any size.
     """
     bins = sum((F.when(F.col("t.p") >= c, 1).otherwise(0) for c in CUTS[1:]), F.lit(0))
     tested = documents.select(F.explode(tested_tokens(F.col("text"))).alias("t"))
