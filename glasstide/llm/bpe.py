@@ -30,11 +30,26 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+#: The settings of a tokenizer file that encoding follows.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
 def load_vocabulary(path: str) -> dict:
-    """What encoding needs of a tokenizer file with word ends: ids, merge ranks, special tokens, pieces by id."""
+    """What encoding needs of a tokenizer file with word ends: ids, merge ranks, special tokens, pieces by id.
+
+    A file that asks for other normalising, decoding or fallbacks than are built here is refused.
+    """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model = spec["model"]
+    normal = spec.get("normalizer") or {}
+    asked = {
+        "normalizer": normal.get("normalizers", [normal]) != NORMALIZERS, "decoder": spec.get("decoder") is not None, "post_processor": spec.get("post_processor") is not None,
+        "model": model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "added_tokens": any(t.get("normalized") or t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])),
+    }
+    if any(asked.values()):
+        raise ValueError(f"{path}: unknown settings of {', '.join(k for k, v in asked.items() if v)}")
     ids = model["vocab"]
     ranks = {}
     for rank, pair in enumerate(model["merges"]):
@@ -116,12 +131,12 @@ class Encoder:
         return sum(counts), " ".join(ids), " ".join(strings)
 
 
-#: What decoding does to a concatenation of vocabulary strings when the file names no decoder: nothing.
 def encode_texts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     """documents' rows with n_tokens (long), ids (decimal, joined by a space) and decoded (vocabulary strings, so joined).
 
-    A null text counts as empty: no tokens, empty ids and decoded text. Repeated rows each get a result. Other columns
-    stay, but for ones named like a result. The vocabulary is read on the driver and broadcast: its size is fixed.
+    A null text counts as empty: no tokens, empty ids and decoded text; a very long text is encoded whole; repeated rows each get
+    a result; an empty table gives no rows. Other columns stay, but for ones named like a result, whatever the case. The file
+    names no decoder, so vocabulary strings are joined as they are. It is read on the driver and broadcast: its size is fixed.
     """
     columns = [c for c in documents.columns if c.lower() not in ("n_tokens", "ids", "decoded")]
     source = documents.select(*columns)
