@@ -49,8 +49,8 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     Kinds: message, edit and regenerate set a message's text anew, delta appends, delete removes the message.
     A message stands where its first event stood. A null text is empty, a null role is that of an earlier event or
-    else empty, null keys form groups of their own; an empty log gives no rows; other columns are ignored.
-    Events of one message with equal seq are taken by kind, role and text.
+    else empty, null keys form groups of their own; a very long text is taken whole; an empty log gives no rows; other columns,
+    whatever they are called, are ignored. Events of one message with equal seq are taken by kind, role and text.
     """
     event = F.struct("seq", F.coalesce("kind", F.lit("message")).alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
     grouped = events.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(event)).alias("log"))
@@ -113,5 +113,8 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 
 
 def format_chats(events: DataFrame, train_on: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """The formatted text and loss mask of each conversation in an event log; see fold_events and render."""
+    """The formatted text and loss mask of each conversation in an event log; see fold_events and render.
+
+    A conversation is one row, as its format asks for, so a group is as large as the conversation is. Rows without conv_id are one.
+    """
     return render(fold_events(events), train_on)
