@@ -8,10 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glasstide.llm import ann, bpe, chat, decontaminate, lm, ngram_join, quality, secret_scan, substrings, toxicity
+from glasstide.llm.arrays import text_buffers
 from glasstide.llm.queries import word_vocabulary
 
 from . import brute
@@ -99,7 +101,8 @@ def test_toxicity_finds_disguised_words(spark):
     model = toxicity.train(frame(spark, docs), labels)
     disguised = ["1d10t", "m0r0n", "s.c.u.m", "idiooooot", "i d i o t", "$cum", "a i d i o t", "id io t", "id" + "i" * 100 + "o" * 100 + "t", "m 0 r 0 n s c u m", " ".join("moron" * 20), " ".join("scumidiot" * 9)]
     tests = [(1000 + i, f"{prose(30, 2000 + i)} {w} {prose(5, i)}") for i, w in enumerate(disguised)]
-    clean = [(2000 + i, prose(50, 7000 + i)) for i in range(20)] + [(3000, None), (3001, "")]
+    tests += [(1100, prose(30_000, 5) + " m0r0n " + prose(30_000, 6)), (1000, tests[0][1])]  # a very long text, a repeated row
+    clean = [(2000 + i, prose(50, 7000 + i)) for i in range(20)] + [(3000, None), (3001, ""), (3002, prose(60_000, 7))]
     got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(frame(spark, tests + clean), model).collect()}
     assert [got[i] for i, _ in tests] == [1] * len(tests)
     assert not any(got[i] for i, _ in clean)
@@ -148,11 +151,39 @@ def test_plain_words_have_one_reading():
 # ---- 2: language model ---------------------------------------------------------------------------------------------
 
 
-def test_base_scores_equal_plain_counts(spark, monkeypatch):
-    monkeypatch.setattr(lm, "HEAD_WORDS", 50)  # so that most words reach their texts by the join
+def plain_score(text, model, counts):
+    """log10 probability of a text by loops: a softmax over all outputs, one inside the class, then the word's smoothed share of its rest."""
+    raw, offsets = text_buffers(pa.array([text]))
+    h, kind, _ = lm.tokens(raw, offsets)
+    p = lm.Parameters(model.flat)
+    single, place = ({int(x): int(i) for x, i in zip(*pair)} for pair in ((model.singles, range(len(model.singles))), (model.own, model.places)))
+    out = [single.get(int(x), lm.SINGLES + int(c)) for x, c in zip(h, kind)]
+
+    def log_share(wanted, vectors, bias, at):
+        energy = [sum(w * v for w, v in zip(wanted, x)) + b for x, b in zip(vectors, bias)]
+        return (energy[at] - max(energy) - math.log(sum(math.exp(e - max(energy)) for e in energy))) / math.log(10)
+
+    total = 0.0
+    for t, o in enumerate(out):
+        before = [out[t - k] if t >= k else single[int(lm.END)] for k in range(1, lm.CONTEXT + 1)]
+        wanted = [sum(p.context[b][j] * p.position[k][j] for k, b in enumerate(before)) for j in range(lm.WIDTH)]
+        total += log_share(wanted, p.output, p.bias, o)
+        if o >= lm.SINGLES:
+            c, inside = o - lm.SINGLES, place.get(int(h[t]), 0)
+            total += log_share(wanted, p.inner[c], p.inner_bias[c], inside)
+            if not inside:
+                total += math.log10((counts.get(int(h[t : t + 1].view(np.int64)[0]), 0) + 0.5) / (model.class_n[c] + 0.5 * (model.class_v[c] + 1)))
+    return total
+
+
+@pytest.mark.parametrize("head", [50, 3])
+def test_base_scores_equal_plain_counts(spark, monkeypatch, head):
+    monkeypatch.setattr(lm, "HEAD_WORDS", head)  # so that most words reach their texts by the join; under 3 ties with the end overflow
     monkeypatch.setattr(lm, "SINGLES", 16)
+    monkeypatch.setattr(lm, "INNER", 3)
     docs = awkward()[:-1] + [(i, prose(30, i, 60)) for i in range(20, 60)]
-    got = lm.score_texts(frame(spark, docs), *lm.train(frame(spark, docs))).toPandas()
+    model, table = lm.train(frame(spark, docs))
+    got = lm.score_texts(frame(spark, docs), model, table).toPandas()
     words = lambda t: brute.WORD.findall(brute.lower_ascii(t or "")) + [None]
     fold = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     c = Counter(w for i, t in docs if not fold(i) for w in words(t))
@@ -160,13 +191,38 @@ def test_base_scores_equal_plain_counts(spark, monkeypatch):
     want = sorted((len(words(t)), sum(c[w] > 0 for w in words(t)), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words(t)), 4)) for _, t in docs)
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got.itertuples()) == want
     assert (got["score"] < 0).all() and len(got) == len(docs)
+    counts, texts = {r.h: r.c for r in table.collect()}, dict(docs)
+    for r in got.itertuples():
+        if r.doc_id in range(20, 40) or r.doc_id in (2, 3):
+            assert r.score == pytest.approx(plain_score(texts[r.doc_id] or "", model, counts), rel=1e-4)
 
 
 def test_probabilities_sum_to_one():
-    p = lm.Parameters.start(np.full(lm.SINGLES + lm.CLASSES, 1 / (lm.SINGLES + lm.CLASSES)))
+    k = lm.SINGLES + lm.CLASSES
+    p = lm.Parameters.start(np.full(k, 1 / k), np.full((lm.CLASSES, lm.INNER), 1 / lm.INNER))
     p.output[:] *= 20
-    context = np.tile(np.arange(lm.CONTEXT)[:, None], (1, lm.SINGLES + lm.CLASSES))
-    assert np.exp(lm.log_probabilities(p, np.arange(lm.SINGLES + lm.CLASSES), context)).sum() == pytest.approx(1, abs=1e-4)
+    p.inner[:] = np.random.default_rng(1).normal(size=p.inner.shape)
+    target = np.concatenate([np.arange(lm.SINGLES), np.repeat(np.arange(lm.SINGLES, k), lm.INNER)])
+    place = np.concatenate([np.zeros(lm.SINGLES, int), np.tile(np.arange(lm.INNER), lm.CLASSES)])
+    context = np.tile(np.arange(lm.CONTEXT)[:, None], (1, len(target)))
+    assert np.exp(lm.log_probabilities(p, target, place, context)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_training_learns_what_follows_what():
+    """After word 1 comes word 2; inside class 0, place 3 follows word 5 and place 4 follows word 6."""
+    draw, k = np.random.default_rng(2), lm.SINGLES + lm.CLASSES
+    noise, inner_noise = np.full(k, 1 / k), np.full((lm.CLASSES, lm.INNER), 1 / lm.INNER)
+    trainer = lm.Trainer(lm.Parameters.start(noise, inner_noise).flat, noise, inner_noise, 1)
+    for _ in range(60):
+        first = draw.choice([1, 5, 6], 2000)
+        target, place = np.where(first == 1, 2, lm.SINGLES), np.where(first == 5, 3, 4)
+        context = np.concatenate([first[None], draw.integers(0, k, (lm.CONTEXT - 1, 2000))])
+        trainer.step(target, context)
+        inside = first > 1
+        trainer.inner_steps(target[inside] - lm.SINGLES, place[inside], context[:, inside])
+    context = np.array([[1, 5, 6, 5]] + [[0] * 4] * (lm.CONTEXT - 1))
+    chance = np.exp(lm.log_probabilities(trainer.p, np.array([2, *[lm.SINGLES] * 3]), np.array([0, 3, 4, 4]), context))
+    assert chance[:3].min() > 0.3 > 3 * chance[3]
 
 
 def test_empty_corpus(spark):
@@ -216,7 +272,16 @@ def test_texts_under_one_id_and_links_without_ids(spark):
 def test_prefixes_shorten_until_the_recall_is_met():
     n = ngram_join.prefix_length()
     assert 1 - (1 - 0.8**n) ** 32 >= 0.9999 > 1 - (1 - 0.8 ** (n + 1)) ** 32
-    assert ngram_join.prefix_lengths() == [10, 8, n] and ngram_join.prefix_lengths(10, 7) == [10, 8, 7] and ngram_join.prefix_lengths(4, 4) == [4]
+
+
+def test_neighbours_are_met_until_one_holds():
+    """Paths a0 a1 share the prefix and hold; a2 is a stranger to both; b1 is beyond the prefix; batches do not matter."""
+    zeros, ones = bytes(ngram_join.JUDGED // 8), bytes([255] * (ngram_join.JUDGED // 8))
+    rows = [(10, b"aaa1", zeros), (11, b"aaa2", ones), (5, b"aaa3", zeros), (6, b"aaa3", zeros), (7, b"aab1", zeros), (8, b"aab2", ones)]
+    for size in (1, 2, 6):
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows[i : i + size])], names=["node", "path", "bits"]) for i in range(0, len(rows), size)]
+        got = [(a, b) for x in ngram_join._neighbours(iter(batches), 3, 0.79) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+        assert sorted(got) == [(5, 6), (5, 10)]
 
 
 def test_pairs_at_the_threshold_are_found_among_their_like(spark):
@@ -247,6 +312,13 @@ def test_hostile_texts_come_back(spark):
     assert chat.format_chats(chat.log_of_rows(df.limit(0))).count() == 0
 
 
+def test_long_chats_and_other_columns(spark):
+    long = "<|im_end|> é\\ " * 60_000
+    df = frame(spark, [(1, 0, "assistant", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string").withColumns({"SEQ": F.lit(9), "formatted": F.lit("x")})
+    row = chat.format_chats(chat.log_of_rows(df)).select(chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.size(chat.parse(F.col("formatted"))).alias("n")).first()
+    assert row.loss == long * 2 and row.n == 2
+
+
 def test_events_are_folded(spark):
     events = [
         (1, 1, "a", "message", "user", "hi"), (1, 2, "b", "message", "assistant", ""), (1, 3, "b", "delta", None, "he"), (1, 4, "b", "delta", None, "llo"),
@@ -302,7 +374,7 @@ def test_buckets_and_scan_find_the_same_codes():
     for radius in (0, 3, 15, 16, 40):
         near = index.near(queries, radius)
         plain = np.bitwise_count(queries[:, None] ^ codes[None]).sum(axis=2) <= radius
-        for i, j in (index.probed(queries, near, radius), index.within(queries, radius)):
+        for i, j in (index.probed(queries, near, radius), index.within(queries, radius)[:2]):
             assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(plain))))
         assert sum(index.shares(radius)) == radius - 16 + 1
     assert index.listed(index.near(queries, 15)) < 0.2 * 20 * 500  # work is that of the probed buckets
@@ -402,7 +474,8 @@ SECRETS = [
 ]
 
 
-def test_base_spans_against_plain_patterns(spark):
+def test_base_spans_against_plain_patterns(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "BLOCK", 4)
     rows = [(i, t) for i, t in enumerate(SECRETS)] + [(100, " ".join(x for x in SECRETS if x) * 30)]
     for r in frame(spark, rows).select("text", secret_scan.base_spans(F.col("text")).alias("s")).collect():
         assert [(s.start, s.kind, s.stop) for s in r.s] == [(a, k, b) for a, k, _, b in brute.base_secrets(r.text)]
@@ -452,6 +525,24 @@ def test_encoding_equals_the_library(spark):
     assert bpe.encode_texts(frame(spark, []), word_vocabulary()).count() == 0
 
 
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    with open(word_vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFKC"}}, {"decoder": {"type": "ByteLevel"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match=next(iter(change))):
+            bpe.load_vocabulary(str(tmp_path / "other.json"))
+
+
+def test_long_texts(spark):
+    long = "It's 12 idiots! " * 30_000
+    (row,) = bpe.encode_texts(frame(spark, [(1, long)]), word_vocabulary()).collect()
+    one = bpe.Encoder(bpe.load_vocabulary(word_vocabulary())).encode("It's 12 idiots! ")
+    assert row.n_tokens == 30_000 * one[0] and row.ids == " ".join([one[1]] * 30_000)
+
+
 def test_merging_takes_the_lowest_rank_first():
     ranks = {("a", "b"): 1, ("b", "c"): 0, ("a", "bc"): 2, ("c", "c"): 3}
     assert bpe.merge_word(list("abc"), ranks) == ["abc"]

@@ -1,5 +1,6 @@
 """The registered text queries over given tables: SQL where there is some, plain versions, folds and the pipeline elsewhere."""
 
+import math
 import os
 import zlib
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glasstide.llm import bpe, toxicity
+from glasstide.llm import bpe, quality, toxicity
 from glasstide.llm.queries import ORACLE_SQL, QUERIES, word_vocabulary
 from tests.oracle import same
 
@@ -42,6 +43,22 @@ def test_held_out_quality(spark):
     assert (held["predicted"].to_numpy() == labels.loc[held["doc_id"], "quality"].to_numpy()).mean() >= 0.9
 
 
+def test_quality_scores_are_a_plain_walk_over_plain_statistics(spark, docs):
+    raw = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    trees = quality.train(raw, spark.read.parquet(f"{SF}/labels.parquet"))
+    extra = [(-1, None), (-2, ""), (-3, "\n \t"), (-4, "é" * 3000 + " ÀB\x0b!! A")]
+    odd = spark.createDataFrame(extra, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score_quality(raw.unionByName(odd), trees).collect()}
+    for i, text in docs + extra:
+        x, margin = brute.statistics(text), trees.base
+        for t in range(len(trees.value)):
+            node = 0
+            for _ in range(trees.depth):
+                node = 2 * node + 1 + int(x[trees.feature[t, node]] > trees.threshold[t, node] + 1e-12)
+            margin += trees.value[t, node - 2**trees.depth + 1]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-6), i
+
+
 def test_model_beats_base(spark):
     got = QUERIES["op2_lm_scoring"](spark, SF).toPandas()
     held = got[got["held_out"]]
@@ -53,12 +70,14 @@ def test_similar(spark, docs):
     assert got == brute.similar(docs)
 
 
-def test_base_secrets(spark, docs):
+def test_secrets(spark, docs):
+    spans = brute.secret_spans(docs)
+    assert any("random" in s for s in spans.values())
     for r in QUERIES["op9_secret_scans"](spark, SF).collect():
         base = brute.base_secrets(dict(docs)[r.doc_id])
         written = [f"{k}:{a}:{b}" for a, _, k, b in base]
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == name for _, _, k, _ in base) for name in ("assign", "access", "hex"))
-        assert r.base_sha256 == brute.sha(",".join(written)) and set(written) <= set(r.spans.split(","))
+        assert r.base_sha256 == brute.sha(",".join(written)) and r.spans == spans[r.doc_id]
 
 
 def test_pipeline(spark, docs):
@@ -87,8 +106,30 @@ def test_pipeline(spark, docs):
             assert got[i].ids == encoder.encode(out + text[at:])[1]
 
 
-def test_stages_keep_the_columns(spark):
-    raw = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(1))
+def test_stages_keep_the_columns_and_their_values(spark):
+    raw = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.col("doc_id") + k for k, c in enumerate(("Score", "predicted", "N_WORDS", "n_hit", "items", "base", "spans", "kept"))})
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, raw, SF).columns == raw.columns
+        out = stage(spark, raw, SF)
+        assert out.columns == raw.columns and out.count() > 0
+        assert out.where(F.array_max(F.array(*[F.col(c) - F.col("doc_id") != k for k, c in enumerate(raw.columns[-8:])]))).count() == 0
         assert stage(spark, raw.limit(0), SF).count() == 0
+
+
+def test_similar_rows_go_by_row(spark):
+    """Texts that share an id are judged each by itself; rows without id or words, exact repeats and other columns have their say."""
+    a, b, c = (" ".join(f"w{i}x{k}" for i in range(60)) for k in range(3))
+    near = b.replace("w30x1", "other")
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (2, b, 3), (None, near, 4), (None, c, 5), (None, c, 5), (7, None, 6), (8, "", 7), (None, " ", 8), (3, b, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    got = corpus_pipeline.keep_one_of_similar(spark, docs, SF).collect()
+    assert sorted(r.n for r in got) == [1, 3, 5, 6, 7, 8]
+
+
+def test_pipeline_with_awkward_rows(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, None, None, None, None), (None, "", "en", None, 0), (None, text + " more", "en", "s", 7), (3, "x " * 50_000, "en", "s", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(r.doc_id), r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert [i for i, _ in got] == ["1", "2", "3", "None"] and dict(got)["2"] == dict(got)["None"] == 0 and dict(got)["3"] == 50_000
