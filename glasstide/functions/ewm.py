@@ -1,7 +1,9 @@
 """Recursive exponential means of many series in one pass.
 
 Bars are partitioned by symbol, sorted, and streamed through Arrow batches. Of a symbol only the running means travel from
-batch to batch, so neither a long series nor many symbols have to fit in memory.
+batch to batch, so neither a long series nor many symbols have to fit in memory. Where one series is much of all rows,
+``blocked_means`` cuts it into ranges of time: a mean is affine in the mean before its range, so ranges are summed up side by side,
+a few numbers for each are chained, and every range starts from what the chain hands it.
 
 Contract: the first non-null value seeds the mean, leading nulls stay null. A null leaves the mean as it was, and the next
 value meets the old weight (1 - alpha)^g against alpha, where g is the number of rows since the last value.
@@ -15,9 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .storage import kept
+
 
 @dataclass(frozen=True)
 class Mean:
@@ -48,29 +53,127 @@ def continue_mean(values: np.ndarray, alpha: float, last: float, gap: int) -> tu
     return means, float(means[-1]) if len(means) else last, gap
 
 
+def _segments(keys: pa.Array) -> list[tuple[int, int]]:
+    """Stretches of equal keys, from dictionary codes; nulls are equal."""
+    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+    return list(zip(edges[:-1], edges[1:]))
+
+
+State = list[tuple[float, int]]
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], means: list[Mean], key: int, begun: tuple[object, State] | None = None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches with their means; begun: a symbol and the state in which its series is met."""
+    fresh: State = [(float("nan"), 0)] * len(means)
+    current, state = begun or (object(), fresh)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = [batch.schema.get_field_index(m.source) for m in means]
+        values = [batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in at]
+        out = [np.empty(batch.num_rows) for _ in means]
+        for a, b in _segments(batch.column(key)):
+            own = batch.column(key)[a].as_py()
+            if own != current:
+                current, state = own, list(fresh)
+            for k, m in enumerate(means):
+                out[k][a:b], *new = continue_mean(values[k][a:b], m.alpha, *state[k])
+                state = [*state[:k], tuple(new), *state[k + 1 :]]
+        yield batch, out
+
+
+def _with_means(batch: pa.RecordBatch, out: list[np.ndarray], means: list[Mean]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(o, from_pandas=True) for o in out)], names=[*batch.schema.names, *(m.name for m in means)])
+
+
+def _widened(df: DataFrame, means: list[Mean]) -> T.StructType:
+    return T.StructType([*df.schema.fields, *(T.StructField(m.name, T.DoubleType()) for m in means)])
+
+
 def recursive_means(df: DataFrame, means: list[Mean], symbol: str = "symbol", ts: str = "ts") -> DataFrame:
     """df with one double column per Mean, computed along ts within each symbol. Ties in ts are taken in any order."""
-    names = df.columns
-    at = [names.index(m.source) for m in means]
-    key = names.index(symbol)
+    key = df.columns.index(symbol)
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = None, [(float("nan"), 0)] * len(means)
+        for batch, out in _streamed(batches, means, key):
+            yield _with_means(batch, out, means)
+
+    return df.repartition(symbol).sortWithinPartitions(symbol, ts).mapInArrow(streamed, _widened(df, means))
+
+
+class _Summary:
+    """How a range changes a mean that comes in: the first value's place and size, then mean -> decay * mean + offset, and rows since the last value."""
+
+    def __init__(self, alpha: float):
+        self.alpha, self.rows, self.place, self.value = alpha, 0, -1, 0.0
+        self.ends: list[tuple[float, int]] = [(0.0, 0), (1.0, 0)]  # what means of 0 and 1 after the first value become
+
+    def add(self, values: np.ndarray) -> None:
+        seen = np.flatnonzero(~np.isnan(values)) if self.place < 0 else None
+        if seen is not None and len(seen):
+            self.place, self.value = self.rows + int(seen[0]), float(values[seen[0]])
+            rest = values[seen[0] + 1 :]
+        else:
+            rest = values if seen is None else values[:0]
+        self.ends = [continue_mean(rest, self.alpha, *e)[1:] for e in self.ends]
+        self.rows += len(values)
+
+    def told(self) -> list[float]:
+        (low, gap), (high, _) = self.ends
+        return [float(self.rows), float(self.place), self.value, high - low, low, float(gap)]
+
+    @staticmethod
+    def carried(alpha: float, told: list[float], last: float, gap: int) -> tuple[float, int]:
+        """The state after the range, from the one before it."""
+        rows, place, value, decay, offset, after = told
+        if place < 0:
+            return (last, gap + int(rows)) if not np.isnan(last) else (last, 0)
+        mean, _, _ = continue_mean(np.concatenate([np.full(int(place), np.nan), [value]]), alpha, last, gap)
+        return decay * float(mean[-1]) + offset, int(after)
+
+
+def blocked_means(df: DataFrame, means: list[Mean], symbol: str = "symbol", ts: str = "ts", blocks: int | None = None) -> DataFrame:
+    """As recursive_means, with every series cut into ranges of ts, so that no task holds more than its share of all rows.
+
+    ts has no ties across a range's ends, as all equal (symbol, ts) fall into one range. Rows are dealt once, kept in the shared
+    checkpoint folder, and read twice; the driver gets a few numbers for each range.
+    """
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(df.repartitionByRange(n, symbol, ts).sortWithinPartitions(symbol, ts))
+    key = df.columns.index(symbol)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For the first and the last symbol of a range: its place, the symbol, and the summaries."""
+        first: tuple | None = None
+        last: tuple | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(key).to_pandas().to_numpy(object)
-            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
-            values = [batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in at]
-            out = [np.empty(len(keys)) for _ in means]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if keys[a] != current:
-                    current, state = keys[a], [(float("nan"), 0)] * len(means)
-                for k, m in enumerate(means):
-                    out[k][a:b], last, gap = continue_mean(values[k][a:b], m.alpha, *state[k])
-                    state[k] = (last, gap)
-            new = [pa.array(o, from_pandas=True) for o in out]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, *(m.name for m in means)])
-
-    schema = T.StructType([*df.schema.fields, *(T.StructField(m.name, T.DoubleType()) for m in means)])
-    return df.repartition(symbol).sortWithinPartitions(symbol, ts).mapInArrow(streamed, schema)
+            for a, b in _segments(batch.column(key)) if batch.num_rows else ():
+                own = batch.column(key)[a].as_py()
+                if last is None or own != last[0]:
+                    last = (own, [_Summary(m.alpha) for m in means])
+                    first = first or last
+                for m, s in zip(means, last[1]):
+                    s.add(batch.column(batch.schema.get_field_index(m.source))[a:b].cast(pa.float64()).to_numpy(zero_copy_only=False))
+        number = TaskContext.get().partitionId()
+        for is_last, end in ((False, first), (True, last)) if first else ():
+            told = pa.array([[x for s in end[1] for x in s.told()]], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([is_last]), pa.array([end[0]], batch.schema.field(key).type), told], names=["n", "is_last", "symbol", "told"])
+
+    kind = df.schema[symbol].dataType.simpleString()
+    rows = sorted(dealt.mapInArrow(summed, f"n int, is_last boolean, symbol {kind}, told array<double>").collect(), key=lambda r: (r["n"], r["is_last"]))
+    starts: dict[int, tuple[object, State]] = {}
+    current, state = object(), []
+    for head, tail in zip(rows[::2], rows[1::2]):
+        if head["symbol"] == current:
+            starts[head["n"]] = (current, state)
+        for r, begun in ((head, head["symbol"] == current), (tail, False))[: 1 if head["symbol"] == tail["symbol"] else 2]:
+            before = state if begun else [(float("nan"), 0)] * len(means)
+            state = [_Summary.carried(m.alpha, r["told"][6 * k : 6 * k + 6], *before[k]) for k, m in enumerate(means)]
+        current = tail["symbol"]
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, out in _streamed(batches, means, key, starts.get(TaskContext.get().partitionId())):
+            yield _with_means(batch, out, means)
+
+    return dealt.mapInArrow(streamed, _widened(df, means))

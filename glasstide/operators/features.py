@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Universe
 from ..functions.ewm import Mean, recursive_means, span
 from ..functions.expressions import bars_in_order, last_rows, rank_share, ratio
+from ..functions.storage import kept
 
 # The features in the order that a state model expects.
 FEATURE_NAMES = (
@@ -98,7 +99,7 @@ def feature_matrix(bars: DataFrame, universe: Universe, warmup: int = 252) -> Da
     Terms of other symbols are computed on their own bars, then put on the target's dates and filled forward. A missing
     part gives 0; a missing target or vol_index is an error.
     """
-    bars = bars.where(F.col("symbol").isin(universe.symbols()))
+    bars = kept(bars.where(F.col("symbol").isin(universe.symbols())).select("symbol", "ts", "close"))  # read for four purposes
     counts = {r["symbol"]: r["count"] for r in bars.groupBy("symbol").count().collect()}  # a row per part of the universe
     for part in (universe.target, universe.vol_index):
         if part not in counts:

@@ -62,15 +62,23 @@ class StateModel:
         return out
 
 
+def model_to_json(model: StateModel) -> str:
+    return json.dumps(asdict(model))
+
+
+def model_from_json(text: str) -> StateModel:
+    raw = json.loads(text)
+    return StateModel(**{**raw, "states": [State(**s) for s in raw["states"]]})
+
+
 def save_model(model: StateModel, path: str) -> None:
     with open(path, "w") as f:
-        json.dump(asdict(model), f)
+        f.write(model_to_json(model))
 
 
 def load_model(path: str) -> StateModel:
     with open(path) as f:
-        raw = json.load(f)
-    return StateModel(**{**raw, "states": [State(**s) for s in raw["states"]]})
+        return model_from_json(f.read())
 
 
 def posterior(features: DataFrame, model: StateModel) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Universe
 from ..functions.expressions import bars_in_order, ratio, rule_coarse, rule_direction, state_coarse
+from ..functions.storage import kept
 
 HORIZONS = (5, 21, 63)
 # The order in which labels are shown.
@@ -20,25 +21,46 @@ def forward_return(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> Dat
     return bars.withColumns({f"fwd_{h}": ratio(F.lead("close", h).over(w), F.col("close")) - 1 for h in horizons})
 
 
-def forward_stats(labels: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = HORIZONS, approximate: bool = False) -> DataFrame:
+def exact_medians(df: DataFrame, by: list[str], value: str, accuracy: int = 10_000) -> DataFrame:
+    """by, median of the non-null values of each group, exactly, however large a group is.
+
+    A sketch of bounded size brackets the middle; values below the bracket are only counted, and of those inside it the
+    counts by value are run through in order. df is read twice: let it be kept.
+    """
+    rows = df.select(*by, F.col(value).alias("v")).where("v is not null")
+    slack = 4.0 / accuracy  # twice what the sketch's ranks may be off on either side
+    marks = rows.groupBy(*by).agg(F.percentile_approx("v", [0.5 - slack, 0.5 + slack], accuracy).alias("m")).select(*by, F.col("m")[0].alias("lo"), F.col("m")[1].alias("hi"))
+    met = rows.join(marks, by)
+    counted = met.where("v <= hi").groupBy(*by, F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    total = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("v")))
+    placed = counted.withColumn("upto", upto).join(total, by)
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
+    n = F.col("n")
+    lower, upper = at(F.floor((n + 1) / 2)), at(F.floor(n / 2) + 1)
+    return placed.where("v is not null").groupBy(*by).agg(lower.alias("a"), upper.alias("b")).select(*by, (F.col("a") + (F.col("b") - F.col("a")) * 0.5).alias("median"))
+
+
+def forward_stats(labels: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """engine, horizon, regime, mean, median (percent, 2 places), hit_rate (percent, 1 place), n, first, last.
 
-    labels: engine, symbol, ts, regime. Labels without a bar are left out. The median is exact unless ``approximate``, which
-    bounds its memory for very large groups. Returns are computed on all bars before labels pick theirs.
+    labels: engine, symbol, ts, regime. Labels without a bar are left out. The median is exact. Returns are computed on all bars
+    before labels pick theirs, and kept in the shared checkpoint folder.
     """
     ahead = forward_return(bars.select("symbol", "ts", "close"), horizons)
     joined = labels.select("engine", "symbol", "ts", "regime").join(ahead, ["symbol", "ts"])
     pairs = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("r")) for h in horizons]))
-    long = joined.select("engine", "regime", "ts", pairs.alias("x")).select("engine", "regime", "ts", "x.horizon", "x.r").where("r is not null")
-    median = F.percentile_approx("r", 0.5, 10_000) if approximate else F.median("r")
-    return long.groupBy("engine", "horizon", "regime").agg(
+    long = kept(joined.select("engine", "regime", "ts", pairs.alias("x")).select("engine", "regime", "ts", "x.horizon", "x.r").where("r is not null"))
+    by = ["engine", "horizon", "regime"]
+    plain = long.groupBy(*by).agg(
         F.bround(F.avg("r") * 100, 2).alias("mean"),
-        F.bround(median * 100, 2).alias("median"),
         F.bround(F.avg((F.col("r") > 0).cast("double")) * 100, 1).alias("hit_rate"),
         F.count("*").alias("n"),
         F.min("ts").alias("first"),
         F.max("ts").alias("last"),
     )
+    medians = exact_medians(long, by, "r").select(*by, F.bround(F.col("median") * 100, 2).alias("median"))
+    return plain.join(medians, by).select(*by, "mean", "median", "hit_rate", "n", "first", "last")
 
 
 def order_stats(stats: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ewm import Mean, blocked_means, span
 from ..functions.expressions import log_price, rule_coarse, rule_direction
+from ..functions.storage import kept, shared_folder
 from ..operators import features, indicators, rules, state_model, timeline, validation
 from ..sources import bars as sources
 from . import reports
@@ -146,6 +149,27 @@ _on_flags(
     _by_bar(f"{_r('k20', 2, 'kc_middle')}, {_r('k20 + 2 * a20', 2, 'kc_upper')}, {_r('k20 - 2 * a20', 2, 'kc_lower')}, {_r('4 * a20', 2, 'kc_width')}, {_r('4 * a20 / nullif(k20, 0)', 6, 'kc_bandwidth')}"),
     lambda b: _out(indicators.keltner(b), kc_middle=2, kc_upper=2, kc_lower=2, kc_width=2, kc_bandwidth=6),
 )
+_on_flags(
+    "keltner_sma",
+    _by_bar(f"{_r('bm', 2, 'kc_middle')}, {_r('bm + 2 * a20', 2, 'kc_upper')}, {_r('bm - 2 * a20', 2, 'kc_lower')}, {_r('CASE WHEN bm IS NOT NULL THEN 4 * a20 END', 2, 'kc_width')}, {_r('4 * a20 / nullif(bm, 0)', 6, 'kc_bandwidth')}"),
+    lambda b: _out(indicators.keltner(b, ma_type="sma"), kc_middle=2, kc_upper=2, kc_lower=2, kc_width=2, kc_bandwidth=6),
+)
+_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@_register(
+    "ema_one_series",
+    f"""SELECT {", ".join(_KEYS)}, {_r(f"list_sum(list_transform(l, lambda v, k: v * power({1 - 2 / 22!r}::DOUBLE, len(l) - k) * CASE WHEN k = 1 THEN 1.0::DOUBLE ELSE {2 / 22!r}::DOUBLE END))", 2, "ema_21")}
+    FROM (SELECT *, list({_PRICE}) OVER (ORDER BY {", ".join(_KEYS)} ROWS 499 PRECEDING) AS l FROM lineitem)""",
+)
+def _one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as one series, cut into ranges; in the SQL, weights beyond 500 rows are too small to tell."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    price = (F.col("l_extendedprice") / F.col("l_quantity")).cast("double")
+    series = items.select(*_KEYS, F.lit("all").alias("symbol"), F.struct(*_KEYS).alias("ts"), price.alias("close"))
+    return blocked_means(series, [Mean("close", span(21), "ema_21")]).select(*_KEYS, (F.round("ema_21", 2) + F.lit(0.0)).alias("ema_21"))
+
+
 _REG = f"regr_slope(close, i) {_W} ROWS 49 PRECEDING)"
 _MEAN50, _VAR50 = f"avg(close) {_W} ROWS 49 PRECEDING)", f"var_pop(close) {_W} ROWS 49 PRECEDING)"
 _FIT50 = f", fifty AS (SELECT *, CASE WHEN i >= 50 THEN {_REG} END AS b, CASE WHEN i >= 50 THEN {_MEAN50} END AS m, CASE WHEN i >= 50 THEN {_VAR50} * 50 END AS yy FROM named)"
@@ -173,7 +197,7 @@ _on_flags(
     _sql(
         f"""SELECT symbol, {SQL_DAY}, {_r("atrp", 6, "atr_percent")}, CASE WHEN share >= 65 THEN 'high' WHEN share <= 25 THEN 'low' ELSE 'normal' END AS vol_pctl
         FROM (SELECT *, 100 * (len(list_filter(l, lambda x: x < atrp)) + (len(list_filter(l, lambda x: x = atrp)) + 1) / 2) / len(l) AS share FROM ranked)""",
-        more=f", ranked AS (SELECT *, list(atrp) {_W} ROWS 59 PRECEDING) AS l FROM named)",
+        more=f", ranked AS (SELECT *, list(atrp) FILTER (WHERE atrp IS NOT NULL) {_W} ROWS 59 PRECEDING) AS l FROM named)",
     ),
     lambda b: _out(rules.vol_label_pctl(b), "vol_pctl", atr_percent=6),
 )
@@ -191,7 +215,23 @@ _on_flags(
     _sql(f"""SELECT symbol, '1d' AS timeframe, "start", "end", regime, {_r("conf", 6, "confidence")}, trend, {_r("slope", 8, "trend_slope")}, {_r("r2", 6, "trend_r2")}, stack AS ema_stack, vol, {_r("atrp", 6, "atr_percent")}, squeeze, chop, {_r("adx", 6, "adx")}, structure FROM snap""", more=_SNAPSHOT),
     lambda b: rules.regime_snapshot(b).withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("start", "end")} | {c: F.round(c, d) for c, d in (("confidence", 6), ("trend_slope", 8), ("trend_r2", 6), ("atr_percent", 6), ("adx", 6))}),
 )
-_on_flags("get_regime", _sql(f"SELECT symbol, regime, {_r('conf', 6, 'confidence')}, trend, vol, chop FROM snap", more=_SNAPSHOT), lambda b: rules.get_regime(b).select("symbol", "regime", F.round("confidence", 6).alias("confidence"), "diagnostics.trend", "diagnostics.vol", "diagnostics.chop"))
+_SHOWN = {"trend_slope": 8, "trend_r2": 6, "atr_percent": 6, "adx": 6}
+_on_flags(
+    "get_regime",
+    _sql(f"""SELECT symbol, regime, {_r("conf", 6, "confidence")}, trend, {_r("slope", 8, "trend_slope")}, {_r("r2", 6, "trend_r2")}, stack AS ema_stack, vol, {_r("atrp", 6, "atr_percent")}, squeeze, chop, {_r("adx", 6, "adx")}, structure FROM snap""", more=_SNAPSHOT),
+    lambda b: rules.get_regime(b).select("symbol", "regime", F.round("confidence", 6).alias("confidence"), *[F.round(f"diagnostics.{d}", _SHOWN[d]).alias(d) if d in _SHOWN else F.col(f"diagnostics.{d}") for d in rules.DIAGNOSTICS]),
+)
+# 25 bars are too few for a regression: trend and stack fall back, slope and r2 are 0.
+_SHORT = """, short AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back FROM named), fallen AS (
+  SELECT *, CASE WHEN simple = 'up' AND vol IN ('high', 'extreme') THEN 'bull_high_vol' WHEN simple = 'up' THEN 'bull' WHEN simple = 'down' AND vol IN ('high', 'extreme') THEN 'bear_high_vol' WHEN simple = 'down' THEN 'bear'
+    WHEN vol IN ('high', 'extreme') AND chop = 'trending' THEN 'high_vol' ELSE 'range' END AS label, (CASE vol WHEN 'low' THEN 0.4 WHEN 'normal' THEN 0.7 WHEN 'high' THEN 0.9 ELSE 0.8 END + CASE chop WHEN 'trending' THEN 1.0 ELSE 0.4 END) / 3 AS c
+  FROM short WHERE back = 1)"""
+_on_flags(
+    "regime_snapshot_short",
+    _sql(f"SELECT symbol, label AS regime, {_r('c', 6, 'confidence')}, simple AS trend, 0.0::DOUBLE AS trend_slope, 0.0::DOUBLE AS trend_r2, 'mixed' AS ema_stack, vol, {_r('atrp', 6, 'atr_percent')}, squeeze, chop, {_r('adx', 6, 'adx')}, structure FROM fallen", more=_SHORT,
+         bars=FLAG_BARS.replace("bars AS", "all_bars AS") + ", bars AS (SELECT symbol, ts, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM all_bars) WHERE n <= 25)"),
+    lambda b: rules.regime_snapshot(validation.tail_n(b, 25)).select("symbol", "regime", F.round("confidence", 6).alias("confidence"), *[F.round(d, _SHOWN[d]).alias(d) if d in _SHOWN else F.col(d) for d in rules.DIAGNOSTICS]),
+)
 _on_flags(
     "summary_line",
     _sql("""SELECT symbol, format('{} 1d {} → {} | Regime: {} (conf={:.2f}) | Trend={} (slope={:.4f}, r2={:.2f}), Vol={}, Chop={}', symbol, "start", "end", regime, conf, trend, slope, r2, vol, chop) AS summary FROM snap""", more=_SNAPSHOT),
@@ -243,6 +283,34 @@ _on_flags(
     _sql(f"SELECT symbol, {SQL_DAY}, regime FROM history WHERE ts >= (SELECT max(ts) FROM bars WHERE symbol = 'NO') - INTERVAL 2 YEAR"),
     lambda b: _out(sources.history_window(rules.rule_history(b), b, "NO", 2), "regime"),
 )
+_CENTS = "CAST(CAST(close AS VARCHAR) AS DECIMAL(32, 18)) * 100"  # the number's shortest decimal digits; halves go to the even cent
+_on_flags(
+    "history_closes",
+    f"""WITH {FLAG_BARS}, cents AS (SELECT symbol, ts, floor({_CENTS}) AS f, {_CENTS} - floor({_CENTS}) AS rest FROM bars WHERE ts >= (SELECT max(ts) FROM bars WHERE symbol = 'NO') - INTERVAL 2 YEAR)
+    SELECT symbol, {SQL_DAY}, CAST(f + CASE WHEN rest > 0.5 OR (rest = 0.5 AND f % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 100 AS close FROM cents""",
+    lambda b: _out(sources.history_window(b.select("symbol", "ts", "close"), b, "NO", 2), "close"),
+)
+
+
+def _stored(b: DataFrame, write: Callable[[DataFrame, str], None], read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    path = f"{shared_folder(b.sparkSession)}/bars-{uuid.uuid4().hex}"
+    write(b, path)
+    return read(b.sparkSession, path)
+
+
+_on_flags("read_bars", f"WITH {FLAG_BARS} {_BARS_OUT} bars", lambda b: _bars_out(_stored(b, lambda df, path: df.write.parquet(path), sources.read_bars)))
+_on_flags("write_json_report", f"WITH {FLAG_BARS} {_BARS_OUT} bars", lambda b: _bars_out(_stored(b, sources.write_json_report, lambda spark, path: spark.read.schema(b.schema).json(path))))
+def _adjusted(b: DataFrame) -> DataFrame:
+    """Closes of bars that have an adjusted close only: as a column pick gives them, and as cleaning does."""
+    raw = b.withColumnRenamed("close", "Adj Close")
+    return raw.select("symbol", "ts", sources.close_column(raw)).unionByName(sources.normalize_bars(raw).select("symbol", "ts", "close")).distinct()
+
+
+_on_flags(
+    "close_column",
+    f"WITH {FLAG_BARS} SELECT symbol, {SQL_DAY}, close FROM bars WHERE close > 30000",
+    lambda b: _out(_adjusted(b).where("close > 30000"), "close"),
+)
 _on_flags("latest_per_symbol", f"WITH {FLAG_BARS} {_BARS_OUT} (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM bars) WHERE n = 1", lambda b: _bars_out(validation.latest_per_symbol(b)))
 _on_flags("tail_n", f"WITH {FLAG_BARS} {_BARS_OUT} (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM bars) WHERE n <= 60", lambda b: _bars_out(validation.tail_n(b, 60)))
 _on_flags(
@@ -263,7 +331,7 @@ _on_flags("slope_n", _by_bar(_r(f"(close - lag(close, 5) {_W})) / CASE WHEN clos
 _RANK = "CASE WHEN len(l) >= 60 AND v IS NOT NULL THEN (len(list_filter(l, lambda x: x < v)) + (len(list_filter(l, lambda x: x = v)) + 1) / 2) / len(l) END"
 _on_flags(
     "trailing_rank_pct",
-    f"WITH {FLAG_BARS} SELECT symbol, {SQL_DAY}, {_r(_RANK, 6, 'rank_pct')} FROM (SELECT symbol, ts, close AS v, list(close) {_W} ROWS 251 PRECEDING) AS l FROM bars)",
+    f"WITH {FLAG_BARS} SELECT symbol, {SQL_DAY}, {_r(_RANK, 6, 'rank_pct')} FROM (SELECT symbol, ts, close AS v, list(close) FILTER (WHERE close IS NOT NULL) {_W} ROWS 251 PRECEDING) AS l FROM bars)",
     lambda b: _out(features.trailing_rank_pct(b, "close"), rank_pct=6),
 )
 _on_flags("diff_n", _by_bar(f"coalesce(close - lag(close, 5) {_W}), 0) AS diff"), lambda b: _out(features.diff_n(b, "close", 5), "diff"))
@@ -299,7 +367,7 @@ def _feature_sql(u, more: str = "") -> str:
   SELECT t.ts, t.close, t.i, t.e21, t.e50, t.e200, b.breadth, {ff("vix")} AS vix, {", ".join(f"coalesce({ff(c)}, 0) AS {c}" for c in ("growth", "hyg", "ief", "tlt", "gold", "copper", "irx", "curve"))}
   FROM (SELECT * FROM named WHERE symbol = '{u.target}') t LEFT JOIN wide USING (ts) LEFT JOIN breadth b USING (ts)
 ), base AS (
-  SELECT *, list(vix) OVER (ORDER BY ts ROWS 251 PRECEDING) AS l, vix AS v, coalesce(close / nullif(lag(close, 21) OVER (ORDER BY ts), 0) - 1, 0) AS t21, coalesce(close / nullif(lag(close, 126) OVER (ORDER BY ts), 0) - 1, 0) AS t126,
+  SELECT *, list(vix) FILTER (WHERE vix IS NOT NULL) OVER (ORDER BY ts ROWS 251 PRECEDING) AS l, vix AS v, coalesce(close / nullif(lag(close, 21) OVER (ORDER BY ts), 0) - 1, 0) AS t21, coalesce(close / nullif(lag(close, 126) OVER (ORDER BY ts), 0) - 1, 0) AS t126,
     (vix - lag(vix, 10) OVER (ORDER BY ts)) / nullif(10 * vix, 0) AS vs, hyg - ief AS cs FROM cal
 ), feats AS (
   SELECT ts, i, (close - e21) / nullif(e21, 0) AS spy_ema21_spread, (close - e50) / nullif(e50, 0) AS spy_ema50_spread, (close - e200) / nullif(e200, 0) AS spy_ema200_spread, growth - t21 AS qqq_spy_rel_21d,
@@ -345,13 +413,37 @@ _on_flags(
 
 @_register("fit_state_model")
 def _fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = features.feature_matrix(flag_bars(spark, sf_dir), UNIVERSE).cache()
+    matrix = kept(features.feature_matrix(flag_bars(spark, sf_dir), UNIVERSE))
     if matrix.count() < 4 * (11 + 1):  # four states in eleven components: too few rows for full covariances, so no model and no labels
         return _out(state_model.score_history(matrix.limit(0), demo_model()), "regime", "confidence")
     model = state_model.fit_state_model(matrix, labels={0: "Risk-On", 1: "Risk-Off", 2: "Risk-On-Retreat", 3: "Risk-Off-Stable"})
     return _out(state_model.score_history(matrix, model), "regime", "confidence")
 
 
+_on_flags(
+    "model_round_trip",
+    _sql(f"SELECT symbol, {SQL_DAY}, regime, confidence FROM scored", more=_MODEL_SQL),
+    lambda b: _out(state_model.score_history(features.feature_matrix(b, UNIVERSE), _stored_model(b.sparkSession)), "regime", "confidence"),
+)
+
+
+def _stored_model(spark: SparkSession) -> state_model.StateModel:
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    spark.createDataFrame([(state_model.model_to_json(demo_model()),)], "value string").write.text(path)
+    return state_model.model_from_json(spark.read.text(path).first()[0])
+
+
+@_register(
+    "fit_state_scaler",
+    _sql("SELECT feature, round(avg(v), 6) + 0.0 AS mean, round(stddev_samp(v), 6) + 0.0 AS deviation FROM (UNPIVOT matrix ON " + ", ".join(features.FEATURE_NAMES) + " INTO NAME feature VALUE v) GROUP BY feature", more=_feature_sql(UNIVERSE)),
+)
+def _fitted_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a fit standardises by: the part of a fitted model that SQL can tell."""
+    model = state_model.fit_state_model(kept(features.feature_matrix(flag_bars(spark, sf_dir), UNIVERSE)))
+    rows = [(n, float(m), float(d)) for n, m, d in zip(model.feature_names, model.scaler_mean, model.scaler_scale)]
+    return spark.createDataFrame(rows, "feature string, mean double, deviation double").select("feature", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("mean", "deviation")])
+
+
 # ---- validation and timelines --------------------------------------------------------------------------------------
 
 _FWD = ", ".join(f"lead(close, {h}) {_W}) / nullif(close, 0) - 1 AS f{h}" for h in validation.HORIZONS)
@@ -390,7 +482,7 @@ _on_flags(
         FROM (SELECT * FROM named WHERE symbol = 'NO' ORDER BY ts DESC LIMIT 1) n, (SELECT * FROM scored ORDER BY ts DESC LIMIT 1) s""",
         more=_MODEL_SQL,
     ),
-    lambda b: validation.latest_report(rules.regime_snapshot(b), _scores(b), b, UNIVERSE, NOW).select(
+    lambda b: reports.latest_report(b, UNIVERSE, demo_model(), NOW).select(
         "symbol", "rule_regime", "direction", "rule_confidence", "state_regime", *_PCTS.split(", "), "agreement", "close", "symbols", F.col("age_days").cast("long").alias("age_days")
     ),
 )

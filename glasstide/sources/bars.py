@@ -26,13 +26,15 @@ def close_column(df: DataFrame):
 
 def _number(df: DataFrame, name: str):
     own = next((c for c in df.columns if c.lower() == name), None)
-    value = F.col(f"`{own}`").cast("double") if own else F.lit(None).cast("double")
+    value = F.col(f"`{own}`").cast("double") if own else close_column(df) if name == "close" else F.lit(None).cast("double")
     return F.when(~F.isnan(value), value).alias(name)
 
 
 def normalize_bars(raw: DataFrame, arrival: str | None = None) -> DataFrame:
     """Clean bars of raw: names in any case, known columns only, NaN as null, one bar per (symbol, ts), none without close.
 
+    Without a close column an adjusted close stands in (see close_column).
+
     Of bars with one key the last by ``arrival`` stays, before those without close go: a last bar without close removes
     its key. Without arrival any one of them stays.
     """

@@ -192,3 +192,13 @@ def test_nearness_of_plans(spark):
     plan = rules.rule_history(series(spark, wave(40)))._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange" in line]
     assert exchanges and all("hashpartitioning(symbol" in line for line in exchanges) and len(exchanges) <= 5
+
+
+@pytest.mark.parametrize("accuracy", [100, 10_000])
+def test_exact_medians(spark, accuracy):
+    """Groups of one to many values, with ties, extremes and nulls; the coarse sketch brackets the middle of the large ones."""
+    draw = np.random.default_rng(3)
+    groups = {"one": [4.0], "two": [1.0, 4.0], "tied": [2.0] * 50 + [3.0], "halves": [1.0] * 30 + [9.0] * 30, "odd": list(draw.normal(size=3001)), "even": list(draw.exponential(size=4000)), "round": list(draw.integers(0, 9, 5000).astype(float))}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("one", None), ("none", None)]
+    got = {r.g: r.median for r in validation.exact_medians(spark.createDataFrame(rows, "g string, v double").repartition(6), ["g"], "v", accuracy).collect()}
+    assert got == pytest.approx({g: float(np.median(v)) for g, v in groups.items()}, rel=1e-14)

@@ -7,15 +7,23 @@ import pytest
 from glasstide.plans.queries import ORACLE_SQL, QUERIES
 from tests.oracle import same
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"  # brands have too few bars at the smaller size
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, name):
-    if name == "feature_matrix_brands":
-        pytest.skip("brands have too few bars at this size")
-    same(spark, QUERIES[name], ORACLE_SQL[name], SF)
+    same(spark, QUERIES[name], ORACLE_SQL[name], LARGER if name == "feature_matrix_brands" else SF)
+
+
+def exchanges(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("Exchange" in line and "Broadcast" not in line for line in plan.split("\n"))
+
+
+def test_reports_read_their_bars_once(spark):
+    for name in ("latest_report", "both_validations", "feature_matrix"):
+        assert exchanges(QUERIES[name](spark, SF)) < 15, name
 
 
 def test_names():
