@@ -56,10 +56,10 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     distinct, most = _distinct(doc, hashed, n)
     same = np.zeros(len(doc), bool)
     same[1:] = (hashed[1:] == hashed[:-1]) & (doc[1:] == doc[:-1])
-    last = raw[words.ends - 1] if len(doc) else raw
-    second = raw[np.maximum(words.ends - 2, words.starts)] if len(doc) else raw
+    last = raw[words.ends - 1] if len(doc) else raw[:0]
+    second = raw[np.maximum(words.ends - 2, words.starts)] if len(doc) else raw[:0]
     symbol = (last < 128) & (BYTE_CLASS[last] < len(SYMBOLS)) if len(doc) else same
-    first = raw[words.starts] if len(doc) else raw
+    first = raw[words.starts] if len(doc) else raw[:0]
     upper = (first >= 65) & (first <= 90)
     shout = upper & (second >= 65) & (second <= 90)
     lines = Words(raw, offsets, np.arange(256) == 10)
