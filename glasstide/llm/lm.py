@@ -29,8 +29,10 @@ SINGLES, CLASSES, INNER, CONTEXT, WIDTH = 128, 128, 16, 4, 16
 HEAD_WORDS = 1 << 18
 #: Passes over disjoint halves of the training rows; copies are averaged after each.
 ROUNDS = 2
-#: Noise samples per token in the loss, noise words drawn per batch, tokens per batch, tokens of a class per batch, step size.
-NOISE, DRAWN, BATCH, INNER_BATCH, STEP = 12.0, 96, 2048, 512, 0.25
+#: Occurrences from which a class's word can have an output of its own.
+OWN_LEAST = 10
+#: Noise samples per token in the loss, noise words drawn per batch, tokens per batch, tokens of a class per batch, step sizes.
+NOISE, DRAWN, BATCH, INNER_BATCH, STEP, INNER_STEP = 12.0, 96, 2048, 512, 0.25, 0.25
 #: Bytes of text whose words are counted together.
 COUNT_BYTES = 3 << 20
 END = np.uint64(0)
@@ -125,9 +127,9 @@ class Trainer:
         self.grown = Parameters(np.full(len(start), 1e-3, np.float32))
         self.seen = 0
 
-    def _move(self, values: np.ndarray, grown: np.ndarray, slope: np.ndarray) -> None:
+    def _move(self, values: np.ndarray, grown: np.ndarray, slope: np.ndarray, size: float) -> None:
         grown += slope * slope
-        values -= STEP * slope / np.sqrt(grown)
+        values -= size * slope / np.sqrt(grown)
 
     def step(self, target: np.ndarray, context: np.ndarray) -> None:
         """One step of the first outputs, for tokens and their contexts."""
@@ -147,7 +149,7 @@ class Trainer:
         slope.context[:] = _gathered(context.ravel(), (back[None] * p.position[:, None]).reshape(-1, WIDTH), k)
         slope.position[:] = np.einsum("nd,cnd->cd", back, vectors)
         first = slice(0, p.first_step)
-        self._move(p.flat[first], self.grown.flat[first], slope.flat[first] / np.float32(n))
+        self._move(p.flat[first], self.grown.flat[first], slope.flat[first] / np.float32(n), STEP)
         self.seen += n
 
     def inner_steps(self, kind: np.ndarray, place: np.ndarray, context: np.ndarray) -> None:
@@ -163,9 +165,9 @@ class Trainer:
                 chance = _sigmoid(x @ self.p.inner[c].T + (self.p.inner_bias[c] - log_noise))
                 slope = chance * np.exp(log_noise)
                 slope[rows, t] += chance[rows, t] - 1
-                slope /= np.float32(len(at))
-                self._move(self.p.inner[c], self.grown.inner[c], slope.T @ x)
-                self._move(self.p.inner_bias[c], self.grown.inner_bias[c], slope.sum(0))
+                slope /= np.float32(INNER_BATCH)  # a few tokens move little
+                self._move(self.p.inner[c], self.grown.inner[c], slope.T @ x, INNER_STEP)
+                self._move(self.p.inner_bias[c], self.grown.inner_bias[c], slope.sum(0), INNER_STEP)
 
 
 def _log_softmax_at(score: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -255,7 +257,7 @@ def train(documents: DataFrame, modulus: int = 5, rounds: int = ROUNDS) -> tuple
     head = _frequent(vocabulary, HEAD_WORDS).toPandas().sort_values(["c", "h"], ascending=[False, True])
     keys = head["h"].to_numpy(np.int64).view(np.uint64)
     singles = np.unique(np.concatenate([[END], keys[keys != END][: SINGLES - 1]]).astype(np.uint64))
-    apart = head.iloc[np.flatnonzero(~np.isin(keys, singles))]  # frequent words that are no outputs of the first step
+    apart = head.iloc[np.flatnonzero(~np.isin(keys, singles) & (head["c"].to_numpy(np.int64) >= OWN_LEAST))]  # no outputs of the first step
     apart = apart.assign(place=apart.groupby("kind").cumcount() + 1)
     apart = apart[apart["place"] < INNER].sort_values("h", key=lambda h: h.to_numpy(np.int64).view(np.uint64))
     own, places = apart["h"].to_numpy(np.int64).view(np.uint64), apart["place"].to_numpy(np.int64)
@@ -273,7 +275,10 @@ def train(documents: DataFrame, modulus: int = 5, rounds: int = ROUNDS) -> tuple
         at = np.minimum(np.searchsorted(keys, singles), len(keys) - 1)
         single_n[: len(singles)] = np.where(keys[at] == singles, counts[at], 0)
     unigram = (np.concatenate([single_n, inner_n.sum(1)]) + 0.5) / (n + 0.5 * (SINGLES + CLASSES))
-    inner_unigram = (inner_n + 0.5) / (inner_n + 0.5).sum(1, keepdims=True)
+    taken = inner_n > 0
+    taken[:, 0] = True
+    inner_unigram = np.where(taken, inner_n + 0.5, 1e-9)  # places that no word takes have next to no share
+    inner_unigram /= inner_unigram.sum(1, keepdims=True)
     model = Model(n, v, singles, own, places, keys, counts, class_n, class_v, Parameters.start(unigram, inner_unigram).flat)
     for turn in range(rounds):
         part = training.where(F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.lit(rounds)) == turn) if rounds > 1 else training
