@@ -181,6 +181,7 @@ def test_base_scores_equal_plain_counts(spark, monkeypatch, head):
     monkeypatch.setattr(lm, "HEAD_WORDS", head)  # so that most words reach their texts by the join; under 3 ties with the end overflow
     monkeypatch.setattr(lm, "SINGLES", 16)
     monkeypatch.setattr(lm, "INNER", 3)
+    monkeypatch.setattr(lm, "OWN_LEAST", 2)
     docs = awkward()[:-1] + [(i, prose(30, i, 60)) for i in range(20, 60)]
     model, table = lm.train(frame(spark, docs))
     got = lm.score_texts(frame(spark, docs), model, table).toPandas()
@@ -493,6 +494,9 @@ def test_random_tokens_are_found_and_words_left(spark):
     rows += [(2000, None), (2001, "")]
     got = {r.doc_id: r for r in secret_scan.scan_secrets(frame(spark, rows)).collect()}
     assert len(got) == len(rows)
+    shown = secret_scan.scan_secrets(frame(spark, rows)).select("doc_id", secret_scan.written(F.col("spans")).alias("s"))
+    want = brute.secret_spans(rows)
+    assert {r.doc_id: r.s for r in shown.collect()} == want and sum("random" in s for s in want.values()) >= 50
     found = sum(any(s.kind == 3 and got[i].text[s.start : s.stop] == k for s in got[i].spans) for i, k in enumerate(keys))
     wrong = sum(s.kind == 3 for i in range(1000, 1060) for s in got[i].spans)
     assert found >= 50 and wrong <= 0.2 * found

@@ -72,7 +72,6 @@ def test_similar(spark, docs):
 
 def test_secrets(spark, docs):
     spans = brute.secret_spans(docs)
-    assert any("random" in s for s in spans.values())
     for r in QUERIES["op9_secret_scans"](spark, SF).collect():
         base = brute.base_secrets(dict(docs)[r.doc_id])
         written = [f"{k}:{a}:{b}" for a, _, k, b in base]
