@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, lm, ngram_join, quality, secret_scan, substrings, toxicity
+from ..functions.storage import shared_folder
+from . import ann, bpe, chat, decontaminate, lm, ngram_join, quality, secret_scan, substrings, token_files, toxicity
 from .common import held_out, sha256_hex, table
 
 
@@ -145,5 +148,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", sha256_hex(F.col("ids")).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_ngram_jaccard_join, op4_chat_formatting, op5_toxicity, op6_nearest_neighbours, op7_substring_dedup, op8_benchmark_decontamination, op9_secret_scans, op10_bpe)}
+def byte_vocabulary() -> str:
+    """Where the installed public vocabulary of op11 lies; write_token_files takes any such path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_vocabulary(), folder)
+    return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_ngram_jaccard_join, op4_chat_formatting, op5_toxicity, op6_nearest_neighbours, op7_substring_dedup, op8_benchmark_decontamination, op9_secret_scans, op10_bpe, op11_token_files)}
 ORACLE_SQL = {"op4_chat_formatting": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
