@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import kept as cut  # noqa: F401
+from ..functions.storage import shared_folder
 
 #: Separators of the words that keep case and punctuation (fixed by the data contract).
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -53,3 +56,10 @@ def spare(name: str, columns: list[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared folder and read back: smaller than a checkpoint, and read by column."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_folder
-from . import ann, bpe, chat, decontaminate, lm, ngram_join, quality, secret_scan, substrings, token_files, toxicity
+from . import ann, bpe, chat, decontaminate, divergence, lm, ngram_join, quality, secret_scan, substrings, token_files, toxicity
 from .common import held_out, sha256_hex, table
 
 
@@ -161,5 +161,37 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_ngram_jaccard_join, op4_chat_formatting, op5_toxicity, op6_nearest_neighbours, op7_substring_dedup, op8_benchmark_decontamination, op9_secret_scans, op10_bpe, op11_token_files)}
-ORACLE_SQL = {"op4_chat_formatting": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents
+), terms AS (SELECT doc_id, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3),
+vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+own AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total, coalesce(any_value(v), 0) AS v FROM groups g LEFT JOIN counted USING (lang, source) LEFT JOIN vocabulary USING (lang) GROUP BY g.lang, g.source),
+whole AS (SELECT lang, term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM counted GROUP BY lang, term),
+shares AS (
+  SELECT o.lang, o.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (o.total + o.v) AS BIGINT) AS p
+  FROM own o JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = o.lang AND c.source = o.source AND c.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pair p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+), against AS (
+  SELECT s.lang, s.source, s.term, s.n, s.p, CAST(1 + (1000000000::HUGEINT * (w.n + 1)) // (w.total + v) AS BIGINT) AS q FROM shares s JOIN whole w USING (lang, term) JOIN vocabulary USING (lang)
+), telling AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM against WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM telling)
+) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_ngram_jaccard_join, op4_chat_formatting, op5_toxicity, op6_nearest_neighbours, op7_substring_dedup, op8_benchmark_decontamination, op9_secret_scans, op10_bpe, op11_token_files, op12_source_divergence)}
+ORACLE_SQL = {"op4_chat_formatting": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL, "op12_source_divergence": OP12_SQL}
