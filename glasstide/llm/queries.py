@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import shared_folder
-from . import ann, bpe, chat, decontaminate, divergence, lm, ngram_join, quality, secret_scan, substrings, token_files, toxicity
+from . import ann, bpe, chat, decontaminate, divergence, lm, negatives, ngram_join, quality, secret_scan, substrings, token_files, toxicity
 from .common import held_out, sha256_hex, table
 
 
@@ -193,5 +193,27 @@ SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM (
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_ngram_jaccard_join, op4_chat_formatting, op5_toxicity, op6_nearest_neighbours, op7_substring_dedup, op8_benchmark_decontamination, op9_secret_scans, op10_bpe, op11_token_files, op12_source_divergence)}
-ORACLE_SQL = {"op4_chat_formatting": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL, "op12_source_divergence": OP12_SQL}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_lm_scoring, op3_ngram_jaccard_join, op4_chat_formatting, op5_toxicity, op6_nearest_neighbours, op7_substring_dedup, op8_benchmark_decontamination, op9_secret_scans, op10_bpe, op11_token_files, op12_source_divergence, op13_hard_negatives)}
+ORACLE_SQL = {"op4_chat_formatting": OP4_SQL, "op7_substring_dedup": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL, "op12_source_divergence": OP12_SQL, "op13_hard_negatives": OP13_SQL}
