@@ -6,50 +6,109 @@ integers, and the documents' own ids as an Arrow file. A shard's place in the wh
 written last, names the files of the attempts that succeeded, so that files of a lost or repeated task are never read. Readers map
 shards into memory and take document by document from them.
 
-The library meets each distinct piece of a run of texts once: pieces begin at spaces before which a byte-level pre-tokenizer always
-breaks, so that the ids of a text are those of its pieces, one after another.
+The library meets each distinct piece of a run of texts once: pieces begin where a byte-level pre-tokenizer surely breaks, so that the
+ids of a text are those of its pieces, one after another. With other tokenizers a whole text is one piece.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import chunks, ragged, text_buffers
+from .bpe import byte_letters
 
 #: Bytes of text encoded at a time, a longer document alone; pieces that a task remembers before it forgets them all.
-CHUNK, REMEMBERED = 8 << 20, 400_000
+CHUNK, REMEMBERED = 8 << 20, 1_000_000
 #: Ids handed on at a time when shards are read.
 READ_IDS = 1 << 20
 MANIFEST = "shard int, name string, width int, documents long, ids long, first_document long, first_id long"
 
 
-def breaks_at_spaces(spec: dict) -> bool:
-    """Whether the tokenizer treats what follows a space after a non-space apart from what comes before it."""
+def breaks_by_class(spec: dict) -> bool:
+    """Whether the tokenizer is a plain byte-level one, whose pre-tokenizer breaks wherever piece_starts() says."""
     before = spec.get("pre_tokenizer") or {}
-    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-    spaced = any(any(c.isspace() for c in t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
-    return plain and not spaced and not spec.get("normalizer") and not spec.get("post_processor") and not (spec.get("truncation") or spec.get("padding"))
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec["model"]["type"] == "BPE"
+    special = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec.get("added_tokens", []))
+    return plain and not special and not spec.get("normalizer") and not spec.get("post_processor")
 
 
-def piece_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at every document that is not empty, and at each space after a byte that surely ends no white space."""
-    at = np.flatnonzero(raw == 0x20)
-    at = at[at > 0]
-    last, lead = raw[at - 1], raw[np.maximum(at - 2, 0)]
-    solid = (last > 0x20) & (last < 0x7F) | (last >= 0x80) & (lead >= 0xC3) & (lead < 0xE0)
-    firsts = offsets[:-1][np.diff(offsets) > 0]
-    return np.union1d(at[solid], firsts)
+_OTHER, _LETTER, _DIGIT, _MARK, _APOSTROPHE, _SPACE, _WHITE = range(7)
+
+
+def _classes() -> np.ndarray:
+    """By byte: ASCII letter, digit, mark, apostrophe, space, other white space, or something else."""
+    out = np.full(256, _OTHER, np.uint8)
+    out[33:127] = _MARK
+    out[[*range(65, 91), *range(97, 123)]] = _LETTER
+    out[48:58] = _DIGIT
+    out[39], out[32], out[9:14] = _APOSTROPHE, _SPACE, _WHITE
+    return out
+
+
+def _class_of(raw: np.ndarray) -> np.ndarray:
+    """The class of each byte; both bytes of accented Latin letters (U+00C0 to U+023F, without the signs for times and divided by) are letters."""
+    c = CLASS[raw]
+    lead = np.flatnonzero((raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC8))
+    lead = lead[(raw[lead] != 0xC3) | (raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+    c[lead] = c[lead + 1] = _LETTER
+    return c
+
+
+def _breaks() -> np.ndarray:
+    """By class of a byte and of the next, 8 * one + other: whether a piece surely ends between them.
+
+    White space after something else begins a piece; letters, digits and marks never share one. An apostrophe may belong to either
+    side (a contraction), so nothing is cut beside it.
+    """
+    out = np.zeros(64, bool)
+    solid = (_LETTER, _DIGIT, _MARK)
+    for a in (*solid, _APOSTROPHE):
+        out[[8 * a + _SPACE, 8 * a + _WHITE]] = True
+    for a in solid:
+        out[[8 * a + b for b in solid if b != a]] = True
+    return out
+
+
+CLASS, BREAKS = _classes(), _breaks()
+#: Pieces that are one stretch of one class, with a space before it or none: no pre-tokenizer need look at them.
+PLAIN = re.compile(r" ?(?:[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u023F]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+
+
+def piece_starts(raw: np.ndarray, offsets: np.ndarray, uncut: np.ndarray | None = None) -> np.ndarray:
+    """Where pieces begin: at every document that is not empty and wherever a byte-level pre-tokenizer surely breaks.
+
+    uncut: documents that stay one piece.
+    """
+    starts = np.zeros(len(raw) + 1, bool)
+    if len(raw) > 1:
+        c = _class_of(raw)
+        pair = c[:-1] * np.uint8(8) + c[1:]
+        starts[1:-1] = BREAKS[pair]
+        # Other two-byte characters before white space: their first byte tells that they are no white space themselves.
+        white = np.flatnonzero((c[2:] >= _SPACE) & (raw[1:-1] >= 0x80)) + 2
+        lead = raw[white - 2]
+        starts[white[(lead >= 0xC3) & (lead < 0xE0)]] = True
+        # A single line end between two other characters is a piece of its own.
+        alone = np.flatnonzero(starts[:-1] & (c == _WHITE)[: len(starts) - 1]) + 1
+        alone = alone[alone < len(raw)]
+        starts[alone[(c[alone] >= _LETTER) & (c[alone] <= _MARK)]] = True
+    for i in uncut if uncut is not None else ():
+        starts[offsets[i] : offsets[i + 1]] = False
+    starts[offsets[:-1]] = True
+    return np.flatnonzero(starts[:-1])
 
 
 class TextEncoder:
@@ -62,35 +121,68 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.apart = breaks_at_spaces(json.loads(content) | {"truncation": None, "padding": None})
-        self.remembered, self.known = remembered, {}
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece as unsigned 32-bit integers."""
+        spec = json.loads(content)
+        self.apart = breaks_by_class(spec)
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", []) if t["content"]]
+        self.letters = dict(enumerate(byte_letters()))
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        """known: the pieces; ids: their ids end to end; ends: how many ids there are up to each piece's end."""
+        self.known, self.ids, self.ends = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+        """The library's ids of each piece. A plain piece is a word of the library's model as it stands, with its bytes written as letters."""
+        if not self.apart:
+            return [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        words, plain, letters = self.tokenizer.model.tokenize, PLAIN.fullmatch, self.letters
+        out = [[t.id for t in words(p.encode().decode("latin-1").translate(letters))] if plain(p) else None for p in pieces]
+        rest = [i for i, o in enumerate(out) if o is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch([pieces[i] for i in rest], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each piece stands among the known ones; new ones are encoded first."""
         if len(self.known) >= self.remembered:
-            self.known.clear()
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[p] = array("I", e.ids).tobytes()
-        return [known[p] for p in pieces]
+            self._forget()
+        new = pieces.filter(pc.invert(pc.is_in(pieces, value_set=self.known)))
+        if len(new):
+            found = []
+            for a in range(0, len(new), 4096):
+                found += self._encoded(new.slice(a, 4096).to_pylist())
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(f) for f in found])])
+        return pc.index_in(pieces, value_set=self.known).to_numpy().astype(np.int64)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a run of texts end to end, and how many each text has."""
-        starts = piece_starts(raw, offsets) if self.apart else offsets[:-1][np.diff(offsets) > 0]
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        if self.apart:
+            starts = piece_starts(raw, offsets, self._with_special(raw, offsets))
+        else:
+            starts = np.unique(offsets[:-1][np.diff(offsets) > 0])
         bounds = pa.py_buffer(np.append(starts, len(raw)).astype(np.int64))
         pieces = pa.Array.from_buffers(pa.large_string(), len(starts), [None, bounds, pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
-        parts = self._ids(pieces.dictionary.to_pylist())
-        size = np.array([len(p) // 4 for p in parts], np.int64)
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        codes = pieces.indices.to_numpy()
-        lengths = size[codes]
-        ids = flat[ragged((np.cumsum(size) - size)[codes], lengths)]
+        place = self._places(pieces.dictionary)[pieces.indices.to_numpy()]
+        lengths = self.ends[place + 1] - self.ends[place]
+        ids = self.ids[ragged(self.ends[place], lengths)]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(upto[np.searchsorted(starts, offsets)])
 
+    def _with_special(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Documents in which the name of a special token stands: the library cuts these itself."""
+        content, found = raw.tobytes(), []
+        for name in self.special:
+            at = content.find(name)
+            while at >= 0:
+                found.append(int(np.searchsorted(offsets, at, side="right")) - 1)
+                at = content.find(name, at + 1)
+        return np.unique(np.array(found, np.int64))
+
 
 _ENCODERS: dict[int, TextEncoder] = {}
 
