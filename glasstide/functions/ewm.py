@@ -1,9 +1,9 @@
 """Recursive exponential means of many series in one pass.
 
 Bars are partitioned by symbol, sorted, and streamed through Arrow batches. Of a symbol only the running means travel from
-batch to batch, so neither a long series nor many symbols have to fit in memory. Where one series is much of all rows,
-``blocked_means`` cuts it into ranges of time: a mean is affine in the mean before its range, so ranges are summed up side by side,
-a few numbers for each are chained, and every range starts from what the chain hands it.
+batch to batch, so neither a long series nor many symbols have to fit in memory. On a ranged frame (see ``ranges``), where a long
+series lies in pieces on many tasks, a mean is affine in the mean before its piece: pieces are summed up side by side, a few numbers
+for each are chained, and every piece starts from what the chain hands it.
 
 Contract: the first non-null value seeds the mean, leading nulls stay null. A null leaves the mean as it was, and the next
 value meets the old weight (1 - alpha)^g against alpha, where g is the number of rows since the last value.
@@ -17,10 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranges import HALO, in_ranges, is_ranged, whole
 from .storage import kept
 
 
@@ -54,19 +55,28 @@ def continue_mean(values: np.ndarray, alpha: float, last: float, gap: int) -> tu
 
 
 def _segments(keys: pa.Array) -> list[tuple[int, int]]:
-    """Stretches of equal keys, from dictionary codes; nulls are equal."""
-    codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-    edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+    """Stretches of equal keys, from dictionary codes; nulls are equal. A struct changes where one of its fields does."""
+    new = np.zeros(max(0, len(keys) - 1), bool)
+    for part in keys.flatten() if pa.types.is_struct(keys.type) else [keys]:
+        codes = part.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new |= codes[1:] != codes[:-1]
+    edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(keys)]
     return list(zip(edges[:-1], edges[1:]))
 
 
+def _own(keys: pa.Array, at: int) -> object:
+    """A key as something that can be looked up: a struct as the tuple of its fields."""
+    key = keys[at].as_py()
+    return tuple(key.values()) if isinstance(key, dict) else key
+
+
 State = list[tuple[float, int]]
 
 
-def _streamed(batches: Iterator[pa.RecordBatch], means: list[Mean], key: int, begun: tuple[object, State] | None = None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Batches with their means; begun: a symbol and the state in which its series is met."""
+def _streamed(batches: Iterator[pa.RecordBatch], means: list[Mean], key: int, starts: dict[object, State] | None = None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches with their means; starts: the state in which a piece of a series begins, where that is not afresh."""
     fresh: State = [(float("nan"), 0)] * len(means)
-    current, state = begun or (object(), fresh)
+    current, state = object(), fresh
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -74,9 +84,9 @@ def _streamed(batches: Iterator[pa.RecordBatch], means: list[Mean], key: int, be
         values = [batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in at]
         out = [np.empty(batch.num_rows) for _ in means]
         for a, b in _segments(batch.column(key)):
-            own = batch.column(key)[a].as_py()
+            own = _own(batch.column(key), a)
             if own != current:
-                current, state = own, list(fresh)
+                current, state = own, list((starts or {}).get(own, fresh))
             for k, m in enumerate(means):
                 out[k][a:b], *new = continue_mean(values[k][a:b], m.alpha, *state[k])
                 state = [*state[:k], tuple(new), *state[k + 1 :]]
@@ -91,17 +101,6 @@ def _widened(df: DataFrame, means: list[Mean]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(m.name, T.DoubleType()) for m in means)])
 
 
-def recursive_means(df: DataFrame, means: list[Mean], symbol: str = "symbol", ts: str = "ts") -> DataFrame:
-    """df with one double column per Mean, computed along ts within each symbol. Ties in ts are taken in any order."""
-    key = df.columns.index(symbol)
-
-    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, out in _streamed(batches, means, key):
-            yield _with_means(batch, out, means)
-
-    return df.repartition(symbol).sortWithinPartitions(symbol, ts).mapInArrow(streamed, _widened(df, means))
-
-
 class _Summary:
     """How a range changes a mean that comes in: the first value's place and size, then mean -> decay * mean + offset, and rows since the last value."""
 
@@ -133,47 +132,63 @@ class _Summary:
         return decay * float(mean[-1]) + offset, int(after)
 
 
-def blocked_means(df: DataFrame, means: list[Mean], symbol: str = "symbol", ts: str = "ts", blocks: int | None = None) -> DataFrame:
-    """As recursive_means, with every series cut into ranges of ts, so that no task holds more than its share of all rows.
+def recursive_means(df: DataFrame, means: list[Mean], symbol: str = "symbol", ts: str = "ts") -> DataFrame:
+    """df with one double column per Mean, computed along ts within each symbol. Ties in ts are taken in any order.
 
-    ts has no ties across a range's ends, as all equal (symbol, ts) fall into one range. Rows are dealt once, kept in the shared
-    checkpoint folder, and read twice; the driver gets a few numbers for each range.
+    On a ranged frame copies of other pieces' rows (see ``ranges.with_halo``) are left out, and so is their mark.
     """
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = kept(df.repartitionByRange(n, symbol, ts).sortWithinPartitions(symbol, ts))
     key = df.columns.index(symbol)
+    starts: dict[object, State] | None = None
+    if is_ranged(df, symbol):
+        df = (df.where(f"not {HALO}").drop(HALO) if HALO in df.columns else df).repartition(symbol).sortWithinPartitions(symbol, ts)
+        df = kept(df)  # read twice
+        starts = _chained(df, means, symbol)
+    else:
+        df = df.repartition(symbol).sortWithinPartitions(symbol, ts)
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, out in _streamed(batches, means, key, starts):
+            yield _with_means(batch, out, means)
+
+    return df.mapInArrow(streamed, _widened(df, means))
+
+
+def _chained(frame: DataFrame, means: list[Mean], symbol: str) -> dict[object, State]:
+    """The state in which each piece of a cut series begins: the driver gets a few numbers for each piece and chains them."""
+    sources = list(dict.fromkeys(m.source for m in means))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For the first and the last symbol of a range: its place, the symbol, and the summaries."""
-        first: tuple | None = None
-        last: tuple | None = None
+        current, sums = None, []
+
+        def told(keys: pa.DataType) -> Iterator[pa.RecordBatch]:
+            if current is not None:
+                numbers = pa.array([[x for s in sums for x in s.told()]], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([current[0]], pa.int32()), pa.array([current[1]], keys), numbers], names=["range", "own", "told"])
+
         for batch in batches:
-            for a, b in _segments(batch.column(key)) if batch.num_rows else ():
-                own = batch.column(key)[a].as_py()
-                if last is None or own != last[0]:
-                    last = (own, [_Summary(m.alpha) for m in means])
-                    first = first or last
-                for m, s in zip(means, last[1]):
-                    s.add(batch.column(batch.schema.get_field_index(m.source))[a:b].cast(pa.float64()).to_numpy(zero_copy_only=False))
-        number = TaskContext.get().partitionId()
-        for is_last, end in ((False, first), (True, last)) if first else ():
-            told = pa.array([[x for s in end[1] for x in s.told()]], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([is_last]), pa.array([end[0]], batch.schema.field(key).type), told], names=["n", "is_last", "symbol", "told"])
-
-    kind = df.schema[symbol].dataType.simpleString()
-    rows = sorted(dealt.mapInArrow(summed, f"n int, is_last boolean, symbol {kind}, told array<double>").collect(), key=lambda r: (r["n"], r["is_last"]))
-    starts: dict[int, tuple[object, State]] = {}
-    current, state = object(), []
-    for head, tail in zip(rows[::2], rows[1::2]):
-        if head["symbol"] == current:
-            starts[head["n"]] = (current, state)
-        for r, begun in ((head, head["symbol"] == current), (tail, False))[: 1 if head["symbol"] == tail["symbol"] else 2]:
-            before = state if begun else [(float("nan"), 0)] * len(means)
-            state = [_Summary.carried(m.alpha, r["told"][6 * k : 6 * k + 6], *before[k]) for k, m in enumerate(means)]
-        current = tail["symbol"]
+            for a, b in _segments(batch.column(0)) if batch.num_rows else ():
+                own = _own(batch.column(0), a)
+                if own != current:
+                    yield from told(batch.schema.field(0).type.field(1).type)
+                    current, sums = own, [_Summary(m.alpha) for m in means]
+                for m, s in zip(means, sums):
+                    s.add(batch.column(1 + sources.index(m.source))[a:b].cast(pa.float64()).to_numpy(zero_copy_only=False))
+        if current is not None:
+            yield from told(batch.schema.field(0).type.field(1).type)
+
+    kind = frame.schema[symbol].dataType["symbol"].dataType.simpleString()
+    pieces = frame.where(F.col(f"{symbol}.range") >= 0).select(symbol, *sources)
+    rows = pieces.mapInArrow(summed, f"range int, own {kind}, told array<double>").collect()  # two for each range at most
+    starts: dict[object, State] = {}
+    states: dict[object, State] = {}
+    for r in sorted(rows, key=lambda r: r["range"]):
+        before = states.get(r["own"], [(float("nan"), 0)] * len(means))
+        starts[(r["range"], r["own"])] = before
+        states[r["own"]] = [_Summary.carried(m.alpha, r["told"][6 * k : 6 * k + 6], *before[k]) for k, m in enumerate(means)]
+    return starts
 
-    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, out in _streamed(batches, means, key, starts.get(TaskContext.get().partitionId())):
-            yield _with_means(batch, out, means)
 
-    return dealt.mapInArrow(streamed, _widened(df, means))
+def blocked_means(df: DataFrame, means: list[Mean], symbol: str = "symbol", ts: str = "ts", blocks: int | None = None) -> DataFrame:
+    """As recursive_means, with every series cut into ranges of ts, so that no task holds more than its share of all rows."""
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return whole(recursive_means(in_ranges(df, n, symbol, ts), means, symbol, ts), symbol)

@@ -64,10 +64,3 @@ def state_coarse(label: Column) -> Column:
 def report_round(value: Column, digits: int) -> Column:
     """Half-even rounding, as reports are rounded."""
     return F.bround(value, digits)
-
-
-def rank_share(values: Column, current: Column) -> Column:
-    """Rank of current among values, ties averaged, divided by their number; null without current or values."""
-    below = F.size(F.filter(values, lambda x: x < current))
-    equal = F.size(F.filter(values, lambda x: x == current))
-    return F.when(current.isNotNull() & (F.size(values) > 0), (below + (equal + 1) / 2) / F.size(values))

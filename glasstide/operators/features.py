@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import Universe
 from ..functions.ewm import Mean, recursive_means, span
-from ..functions.expressions import bars_in_order, last_rows, rank_share, ratio
+from ..functions.expressions import bars_in_order, ratio
+from ..functions.ranges import AT, before_each, in_ranges, over_ranges, whole
+from ..functions.ranks import trailing_ranks
 from ..functions.storage import kept
 
 # The features in the order that a state model expects.
@@ -23,35 +25,57 @@ def filled(value: Column, order) -> Column:
     return F.last(value, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def align_ffill(calendar: DataFrame, df: DataFrame, cols: list[str]) -> DataFrame:
+def forward_fill(df: DataFrame, cols: list[str], blocks: int | None = None) -> DataFrame:
+    """symbol, ts and cols, each null filled by the last value before it in its symbol; a leading gap stays null.
+
+    With blocks a range of time begins with the last value of all ranges before it.
+    """
+    frame = in_ranges(df.select("symbol", "ts", *cols), blocks) if blocks else df
+    values = {c: filled(F.col(c), bars_in_order()) for c in cols}
+    if not blocks:
+        return frame.select("symbol", "ts", *[v.alias(c) for c, v in values.items()])
+    last = {f"_last{i}": F.max_by(c, F.when(F.col(c).isNotNull(), F.col(AT))) for i, c in enumerate(cols)}
+    frame = before_each(frame, last, {n: (lambda n, before: F.last(n, ignorenulls=True).over(before)) for n in last})
+    return whole(frame.select("symbol", "ts", AT, *[F.coalesce(values[c], n).alias(c) for c, n in zip(cols, last)]))
+
+
+def align_ffill(calendar: DataFrame, df: DataFrame, cols: list[str], blocks: int | None = None) -> DataFrame:
     """cols of df at the dates of calendar (symbol, ts), gaps filled from before. df: ts and cols, one row per ts.
 
     Only rows whose ts stands in the calendar count; a value between two dates is dropped, not carried on.
     """
     joined = calendar.select("symbol", "ts").join(df.select("ts", *cols), "ts", "left")
-    return joined.select("symbol", "ts", *[filled(F.col(c), bars_in_order()).alias(c) for c in cols])
+    return forward_fill(joined, cols, blocks)
 
 
-def ret_n(bars: DataFrame, n: int, name: str = "ret") -> DataFrame:
+def ret_n(bars: DataFrame, n: int, name: str = "ret", blocks: int | None = None) -> DataFrame:
     """Return over n bars of a symbol's own."""
+    if blocks:
+        return over_ranges(bars, lambda df: ret_n(df, n, name), blocks, back=n)
     return bars.withColumn(name, ratio(F.col("close"), F.lag("close", n).over(bars_in_order())) - 1)
 
 
-def slope_n(bars: DataFrame, n: int = 5, name: str = "slope") -> DataFrame:
+def slope_n(bars: DataFrame, n: int = 5, name: str = "slope", blocks: int | None = None) -> DataFrame:
     """Change over n bars of a symbol's own, as a share of the close (of 1e-8 where that is 0)."""
+    if blocks:
+        return over_ranges(bars, lambda df: slope_n(df, n, name), blocks, back=n)
     price = F.when(F.col("close") == 0, 1e-8).otherwise(F.col("close"))
     return bars.withColumn(name, (F.col("close") - F.lag("close", n).over(bars_in_order())) / price)
 
 
-def trailing_rank_pct(df: DataFrame, col: str, window: int = 252, min_periods: int = 60, name: str = "rank_pct") -> DataFrame:
-    """Rank of col among the non-null values of the last rows, ties averaged, divided by their number."""
-    frame = last_rows(window)
-    df = df.withColumn("_values", F.collect_list(col).over(frame))
-    return df.withColumn(name, F.when(F.size("_values") >= min_periods, rank_share(F.col("_values"), F.col(col)))).drop("_values")
+def trailing_rank_pct(df: DataFrame, col: str, window: int = 252, min_periods: int = 60, name: str = "rank_pct", blocks: int | None = None) -> DataFrame:
+    """Rank of col among the non-null values of the last rows, ties averaged, divided by their number.
+
+    Null where col is, or where fewer than min_periods values are not. An ordered window travels along each sorted series, so a row
+    costs the logarithm of the window, and no row carries the window's values.
+    """
+    return over_ranges(df, lambda d: trailing_ranks(d, col, window, min_periods, name), blocks, back=window - 1)
 
 
-def diff_n(df: DataFrame, col: str, n: int = 5, name: str = "diff") -> DataFrame:
+def diff_n(df: DataFrame, col: str, n: int = 5, name: str = "diff", blocks: int | None = None) -> DataFrame:
     """Change of col over n rows; 0 where either is missing."""
+    if blocks:
+        return over_ranges(df, lambda d: diff_n(d, col, n, name), blocks, back=n)
     return df.withColumn(name, F.coalesce(F.col(col) - F.lag(col, n).over(bars_in_order()), F.lit(0.0)))
 
 
@@ -93,19 +117,24 @@ def market_frame(bars: DataFrame, universe: Universe) -> DataFrame:
     return wide.withColumn("curve", F.col("_long") - F.col("_short")).drop("_long", "_short")
 
 
-def feature_matrix(bars: DataFrame, universe: Universe, warmup: int = 252) -> DataFrame:
-    """symbol, ts and the 18 features of the target's bars after the first ``warmup``, rows with any null left out.
+def feature_matrix(bars: DataFrame, universe: Universe, warmup: int = 252, targets: tuple[str, ...] | None = None, keep: bool = True) -> DataFrame:
+    """symbol, ts and the 18 features of each target's bars after its first ``warmup``, rows with any null left out.
 
-    Terms of other symbols are computed on their own bars, then put on the target's dates and filled forward. A missing
-    part gives 0; a missing target or vol_index is an error.
+    targets: symbols that the features are computed for, the universe's target if not given. What they share, the market frame and
+    each sector's standing, is computed once and met by every target's own dates; all windows are by target. Terms of other symbols
+    are computed on their own bars, then put on the target's dates and filled forward. A missing part gives 0; a missing target or
+    vol_index is an error. keep: compute the bars once and keep them, unless the caller has done so.
     """
-    bars = kept(bars.where(F.col("symbol").isin(universe.symbols())).select("symbol", "ts", "close"))  # read for four purposes
-    counts = {r["symbol"]: r["count"] for r in bars.groupBy("symbol").count().collect()}  # a row per part of the universe
-    for part in (universe.target, universe.vol_index):
+    targets = tuple(dict.fromkeys(targets or (universe.target,)))
+    wanted = sorted({*targets, *(s for s in universe.symbols() if s != universe.target)})
+    bars = bars.where(F.col("symbol").isin(wanted)).select("symbol", "ts", "close")
+    bars = kept(bars) if keep else bars  # read for four purposes
+    counts = {r["symbol"]: r["count"] for r in bars.groupBy("symbol").count().collect()}  # a row per target and part of the universe
+    for part in (*targets, universe.vol_index):
         if part not in counts:
             raise ValueError(f"no bars for {part}")
     usable = tuple(s for s in universe.sectors if counts.get(s, 0) >= 60)
-    target = bars.where(F.col("symbol") == universe.target)
+    target = bars.where(F.col("symbol").isin(list(targets)))
     calendar = target.select("symbol", "ts")
     w, c = bars_in_order(), F.col("close")
     means = recursive_means(target.select("symbol", "ts", "close"), [Mean("close", span(n), f"m{n}") for n in (21, 50, 200)])

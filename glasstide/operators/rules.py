@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import ChopSettings, RuleSettings, TrendSettings, VolSettings
 from ..functions.ewm import Mean, recursive_means, span, wilder
-from ..functions.expressions import bars_in_order, last_rows, rank_share, ratio
+from ..functions.expressions import bars_in_order, last_rows, ratio
+from ..functions.ranges import HALO, in_ranges, is_ranged, over_ranges, whole, with_halo
+from ..functions.ranks import trailing_ranks
+from ..functions.storage import kept
 from ..sources.bars import slice_window
 from .indicators import bollinger, directional_moves, ema_slope, reg_slope_r2, true_range, with_adx
 
@@ -36,9 +39,19 @@ def trend_label(df: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
     return df.withColumn("trend", trend_of(F.col("ema_stack"), F.col("reg_slope"), F.col("reg_r2"), cfg.trend))
 
 
-def trend_label_simple(bars: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
+def trend_label_simple(bars: DataFrame, cfg: RuleSettings = RuleSettings(), blocks: int | None = None) -> DataFrame:
     """up, down or flat from the slope of the middle mean, in price points per bar; null until there is a slope."""
-    return _simple_trend(recursive_means(bars, [Mean("close", span(cfg.trend.ema_mid), "_mid")]), "_mid", cfg.trend).drop("_mid")
+    df = recursive_means(in_ranges(bars, blocks) if blocks else bars, [Mean("close", span(cfg.trend.ema_mid), "_mid")])
+    return _own(_simple_trend(_seen(df, cfg.trend.slope_lookback), "_mid", cfg.trend)).drop("_mid")
+
+
+def _seen(df: DataFrame, back: int) -> DataFrame:
+    """df, with copies of the rows before each piece if it is a ranged frame."""
+    return with_halo(kept(df), back) if is_ranged(df) else df
+
+
+def _own(df: DataFrame) -> DataFrame:
+    return whole(df) if is_ranged(df) else df
 
 
 def _simple_trend(df: DataFrame, mid: str, t: TrendSettings) -> DataFrame:
@@ -58,34 +71,45 @@ def vol_label(df: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
     return df.withColumn("vol", vol_of(F.col("atr_percent"), cfg.vol))
 
 
-def vol_label_pctl(bars: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
+def vol_label_pctl(bars: DataFrame, cfg: RuleSettings = RuleSettings(), blocks: int | None = None) -> DataFrame:
     """atr_percent and vol_pctl: where atr_percent ranks among the last non-null ones; nothing to rank is normal."""
     v = cfg.vol
-    df = recursive_means(true_range(bars), [Mean("true_range", wilder(v.atr_lookback), "_atr")])
-    df = df.withColumn("atr_percent", 100 * ratio(F.col("_atr"), F.col("close")))
-    known = Window.partitionBy("symbol", F.col("atr_percent").isNull()).orderBy("ts").rowsBetween(-(v.pctl_lookback - 1), 0)
-    share = 100 * rank_share(F.collect_list("atr_percent").over(known), F.col("atr_percent"))
-    df = df.withColumn("_share", share)
-    label = F.when(F.col("_share") >= v.pctl_high, "high").when(F.col("_share") <= v.pctl_low, "low").otherwise("normal")
-    return df.withColumn("vol_pctl", label).drop("_atr", "_share", "true_range")
+    df = over_ranges(bars, lambda d: recursive_means(true_range(d), [Mean("true_range", wilder(v.atr_lookback), "_atr")]), blocks, back=1)
+    df = df.withColumn("atr_percent", 100 * ratio(F.col("_atr"), F.col("close"))).drop("_atr", "true_range")
+    if blocks:  # rows without a value would push others out of reach
+        df = kept(df)
+        known = over_ranges(df.where("atr_percent is not null"), lambda d: trailing_ranks(d, "atr_percent", v.pctl_lookback, 1, "_share"), blocks, back=v.pctl_lookback - 1)
+        df = known.unionByName(df.where("atr_percent is null").withColumn("_share", F.lit(None).cast("double")))
+    else:
+        df = trailing_ranks(df, "atr_percent", v.pctl_lookback, 1, "_share", skip_nulls=True)
+    share = 100 * F.col("_share")
+    return df.withColumn("vol_pctl", F.when(share >= v.pctl_high, "high").when(share <= v.pctl_low, "low").otherwise("normal")).drop("_share")
+
+
+def _bollinger_width(df: DataFrame, v: VolSettings) -> DataFrame:
+    """bb_width as a share of the close."""
+    banded = bollinger(df, v.bb_length, v.bb_std)
+    return banded.withColumn("bb_width", ratio(F.col("bb_upper") - F.col("bb_lower"), F.col("close"))).select(*df.columns, "bb_width")
 
 
-def _widths(df: DataFrame, v: VolSettings) -> DataFrame:
-    """bb_width and kc_width as shares of the close, from bars that hold _kc_atr."""
-    banded = bollinger(df, v.bb_length, v.bb_std)
-    banded = banded.withColumn("bb_width", ratio(F.col("bb_upper") - F.col("bb_lower"), F.col("close")))
-    return banded.withColumn("kc_width", ratio(2 * v.kc_atr_mult * F.col("_kc_atr"), F.col("close"))).select(*df.columns, "bb_width", "kc_width")
+def _keltner_width(df: DataFrame, v: VolSettings) -> DataFrame:
+    """kc_width as a share of the close, from bars that hold _kc_atr."""
+    return df.withColumn("kc_width", ratio(2 * v.kc_atr_mult * F.col("_kc_atr"), F.col("close")))
 
 
-def band_widths(bars: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
+def band_widths(bars: DataFrame, cfg: RuleSettings = RuleSettings(), blocks: int | None = None) -> DataFrame:
     """bb_width and kc_width: the bands' widths as shares of the close."""
-    df = recursive_means(true_range(bars), [Mean("true_range", wilder(cfg.vol.kc_length), "_kc_atr")])
-    return _widths(df, cfg.vol).drop("_kc_atr", "true_range")
+    if blocks:
+        return over_ranges(bars, lambda df: band_widths(df, cfg), blocks, back=max(1, cfg.vol.bb_length - 1))
+    df = recursive_means(_bollinger_width(true_range(bars), cfg.vol), [Mean("true_range", wilder(cfg.vol.kc_length), "_kc_atr")])
+    return _keltner_width(df, cfg.vol).drop("_kc_atr", "true_range")
 
 
-def squeeze_state(df: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
+def squeeze_state(df: DataFrame, cfg: RuleSettings = RuleSettings(), blocks: int | None = None) -> DataFrame:
     """compressed, expanding or normal from bb_width and kc_width."""
     v = cfg.vol
+    if blocks:
+        return over_ranges(df, lambda d: squeeze_state(d, cfg), blocks, back=v.expansion_lookback - 1)
     share = ratio(F.col("bb_width"), F.col("kc_width"))
     least = F.min("bb_width").over(last_rows(v.expansion_lookback))
     grows = (share > v.squeeze_out) & (F.col("bb_width") > least)
@@ -103,11 +127,13 @@ def structure_of(adx: Column, change: Column, c: ChopSettings) -> Column:
     return F.when((adx >= c.adx_trend) & rising, "trending").when((adx < c.adx_trend) & rising, "coil").otherwise("choppy")
 
 
-def chop_structure(df: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
+def chop_structure(df: DataFrame, cfg: RuleSettings = RuleSettings(), blocks: int | None = None) -> DataFrame:
     """structure: trending, coil or choppy from adx and its change over the last three values; null before the first adx.
 
     adx is null at a series' beginning only, so with fewer than three values the first one stands in.
     """
+    if blocks:
+        return over_ranges(df, lambda d: chop_structure(d, cfg), blocks, back=2)
     w = bars_in_order()
     first = F.first("adx", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     change = F.col("adx") - F.coalesce(F.lag("adx", 2).over(w), first)
@@ -158,38 +184,46 @@ def confidence(df: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
 def diagnosed(bars: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
     """bars with everything that labels need: means, atr, adx, regression and band widths; two streamed passes."""
     t, v, c = cfg.trend, cfg.vol, cfg.chop
-    moved = directional_moves(true_range(bars))
+    moved = _bollinger_width(reg_slope_r2(directional_moves(true_range(bars)), "close", t.reg_length, use_log=True, normalize=True), v)
     w = wilder(c.adx_lookback)
     means = [
         Mean("close", span(t.ema_short), "ema_short"), Mean("close", span(t.ema_mid), "ema_mid"), Mean("close", span(t.ema_long), "ema_long"),
         Mean("true_range", wilder(v.atr_lookback), "atr"), Mean("true_range", wilder(v.kc_length), "_kc_atr"),
         Mean("true_range", w, "tr_mean"), Mean("plus_dm", w, "plus_mean"), Mean("minus_dm", w, "minus_mean"),
     ]
-    df = with_adx(recursive_means(moved, means), c.adx_lookback)
-    df = reg_slope_r2(df, "close", t.reg_length, use_log=True, normalize=True)
-    return _widths(df, v).drop("true_range", "plus_dm", "minus_dm", "tr_mean", "plus_mean", "minus_mean", "plus_di", "minus_di", "dx", "_kc_atr")
+    df = _keltner_width(with_adx(recursive_means(moved, means), c.adx_lookback), v)
+    return df.drop("true_range", "plus_dm", "minus_dm", "tr_mean", "plus_mean", "minus_mean", "plus_di", "minus_di", "dx", "_kc_atr")
+
+
+def _structured(bars: DataFrame, cfg: RuleSettings, blocks: int | None) -> DataFrame:
+    """diagnosed() with squeeze, structure and trend_simple; with blocks still a ranged frame, without copies."""
+    t, v = cfg.trend, cfg.vol
+    if blocks:
+        bars = with_halo(in_ranges(bars, blocks), max(1, t.reg_length - 1, v.bb_length - 1))
+    df = _seen(diagnosed(bars, cfg), max(2, v.expansion_lookback - 1, t.slope_lookback))
+    df = _simple_trend(chop_structure(squeeze_state(df, cfg), cfg), "ema_mid", t)
+    return df.where(f"not {HALO}").drop(HALO) if HALO in df.columns else df
 
 
-def labelled(bars: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
+def labelled(bars: DataFrame, cfg: RuleSettings = RuleSettings(), blocks: int | None = None) -> DataFrame:
     """Every bar's labels, confidence included, also where too little came before it for a regime."""
-    df = chop_label(vol_label(trend_label(ema_stack(diagnosed(bars, cfg), cfg), cfg), cfg), cfg)
-    return confidence(composite_regime(chop_structure(squeeze_state(df, cfg), cfg)), cfg)
+    df = _own(_structured(bars, cfg, blocks)).drop("trend_simple")
+    return confidence(composite_regime(chop_label(vol_label(trend_label(ema_stack(df, cfg), cfg), cfg), cfg)), cfg)
 
 
-def rule_history(bars: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
+def rule_history(bars: DataFrame, cfg: RuleSettings = RuleSettings(), blocks: int | None = None) -> DataFrame:
     """symbol, ts, regime of every bar that has a slope, an r2 and a long mean."""
-    return labelled(bars, cfg).where("reg_slope is not null and reg_r2 is not null and ema_long is not null").select("symbol", "ts", "regime")
+    return labelled(bars, cfg, blocks).where("reg_slope is not null and reg_r2 is not null and ema_long is not null").select("symbol", "ts", "regime")
 
 
-def regime_snapshot(bars: DataFrame, cfg: RuleSettings = RuleSettings(), timeframe: str = "1d", start=None, end=None) -> DataFrame:
+def regime_snapshot(bars: DataFrame, cfg: RuleSettings = RuleSettings(), timeframe: str = "1d", start=None, end=None, blocks: int | None = None) -> DataFrame:
     """One row per symbol: its labels as of the last bar.
 
     Means, atr, adx and the pair of slope and r2 take their last non-null value, price and widths those of the last bar.
     Symbols with too few bars for a regression fall back on the simple trend with slope and r2 of 0; with too few for
     that as well they have no row.
     """
-    window = slice_window(bars, start, end)
-    df = _simple_trend(chop_structure(squeeze_state(diagnosed(window, cfg), cfg), cfg), "ema_mid", cfg.trend)
+    df = _own(_structured(slice_window(bars, start, end), cfg, blocks))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c)
     fit = F.when(F.col("reg_slope").isNotNull() & F.col("reg_r2").isNotNull(), F.col("ts"))
     rows = df.groupBy("symbol").agg(

@@ -16,7 +16,7 @@ from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,13 +72,13 @@ def model_from_json(text: str) -> StateModel:
 
 
 def save_model(model: StateModel, path: str) -> None:
-    with open(path, "w") as f:
-        f.write(model_to_json(model))
+    """model as JSON in a folder of whatever store Spark writes to; what stood there goes."""
+    SparkSession.active().createDataFrame([(model_to_json(model),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def load_model(path: str) -> StateModel:
-    with open(path) as f:
-        return model_from_json(f.read())
+    """The model that save_model() put under path, or that a single JSON file holds."""
+    return model_from_json("".join(r["value"] for r in SparkSession.active().read.text(path, wholetext=True).collect()))
 
 
 def posterior(features: DataFrame, model: StateModel) -> DataFrame:
@@ -135,13 +135,21 @@ def score_history(features: DataFrame, model: StateModel) -> DataFrame:
     return bucketed(posterior(features, model), model)
 
 
+def least_rows(k: int, components: int) -> int:
+    """Rows that a fit takes at least: as many for each state as its covariance has dimensions, and one."""
+    return k * (components + 1)
+
+
 def fit_state_model(features: DataFrame, k: int = 4, components: int = 11, labels: dict[int, str] | None = None, names: tuple[str, ...] = FEATURE_NAMES, seed: int = 7) -> StateModel:
     """A model fitted by Spark's scaler, principal components and Gaussian mixture; all rows count.
 
     The mixture takes rows as independent draws: it gives states as Gaussians, which is all that scoring uses, but it is no
-    hidden Markov training. States are numbered by their first component's mean; labels name them by that number.
+    hidden Markov training. States are numbered by their first component's mean; labels name them by that number. Fewer rows than
+    k full covariances take are an error.
     """
     rows = features.dropna("any", subset=list(names)).select(array_to_vector(F.array(*names)).alias("x"))
+    if (n := rows.count()) < least_rows(k, min(components, len(names))):
+        raise ValueError(f"{n} rows are too few for {k} states in {components} components")
     scaler = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True).fit(rows)
     scaled = scaler.transform(rows)
     components = min(components, len(names))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bars_in_order, looked_up
-from .features import filled
+from ..functions.ranges import HALO, before_each, in_ranges, whole, with_halo
+from ..functions.storage import kept
+from .features import forward_fill
 
 # Labels of both engines that share a colour.
 COLOURS = {
@@ -28,18 +30,27 @@ def colour_key(label: Column) -> Column:
     return F.when(label.isNotNull(), looked_up(label, COLOURS, F.lit("neutral")))
 
 
-def label_timeline(calendar: DataFrame, labels: DataFrame) -> DataFrame:
+def label_timeline(calendar: DataFrame, labels: DataFrame, blocks: int | None = None) -> DataFrame:
     """symbol, ts, regime on calendar: gaps are filled from before, a leading gap stays null. labels are by symbol and ts."""
     joined = calendar.select("symbol", "ts").join(labels.select("symbol", "ts", "regime"), ["symbol", "ts"], "left")
-    return joined.select("symbol", "ts", filled(F.col("regime"), bars_in_order()).alias("regime"))
+    return forward_fill(joined, ["regime"], blocks)
 
 
-def regime_runs(timeline: DataFrame) -> DataFrame:
-    """symbol, run, colour, start, end, bars of the longest stretches of consecutive bars of one colour; null ones are left out."""
+def regime_runs(timeline: DataFrame, blocks: int | None = None) -> DataFrame:
+    """symbol, run, colour, start, end, bars of the longest stretches of consecutive bars of one colour; null ones are left out.
+
+    With blocks, runs are counted in ranges of time, numbered on from the ranges before, and joined where they cross an end.
+    """
     w = bars_in_order()
-    df = timeline.withColumn("colour", colour_key(F.col("regime")))
+    df = timeline.select("symbol", "ts", colour_key(F.col("regime")).alias("colour"))
+    df = with_halo(in_ranges(df, blocks), back=1) if blocks else df
     df = df.withColumn("_new", (~F.col("colour").eqNullSafe(F.lag("colour").over(w)) | (F.row_number().over(w) == 1)).cast("int"))
-    df = df.withColumn("run", F.sum("_new").over(w))
+    if blocks:
+        df = kept(df.where(f"not {HALO}").drop(HALO))
+        df = before_each(df, {"_runs": F.sum("_new")}, {"_runs": lambda c, before: F.sum(c).over(before)})
+        df = whole(df.withColumn("run", F.sum("_new").over(w) + F.coalesce("_runs", F.lit(0))))
+    else:
+        df = df.withColumn("run", F.sum("_new").over(w))
     runs = df.groupBy("symbol", "run").agg(F.first("colour").alias("colour"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("bars"))
     return runs.where("colour is not null")
 

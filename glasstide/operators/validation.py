@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Universe
 from ..functions.expressions import bars_in_order, ratio, rule_coarse, rule_direction, state_coarse
+from ..functions.ranges import over_ranges
 from ..functions.storage import kept
 
 HORIZONS = (5, 21, 63)
@@ -15,8 +16,10 @@ RULE_ORDER = ("bull", "bull_high_vol", "range", "high_vol", "bear_high_vol", "be
 STATE_ORDER = ("Risk-On", "Risk-On-Retreat", "Risk-Off", "Risk-Off-Stable")
 
 
-def forward_return(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """bars with fwd_<h>: the return over the next h bars, null for the last h."""
+def forward_return(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS, blocks: int | None = None) -> DataFrame:
+    """bars with fwd_<h>: the return over the next h bars, null for the last h. blocks cuts series (see ``indicators``)."""
+    if blocks:
+        return over_ranges(bars, lambda df: forward_return(df, horizons), blocks, ahead=max(horizons))
     w = bars_in_order()
     return bars.withColumns({f"fwd_{h}": ratio(F.lead("close", h).over(w), F.col("close")) - 1 for h in horizons})
 

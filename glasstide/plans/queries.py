@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ewm import Mean, blocked_means, span
 from ..functions.expressions import log_price, rule_coarse, rule_direction
 from ..functions.storage import kept, shared_folder
 from ..operators import features, indicators, rules, state_model, timeline, validation
@@ -157,17 +156,120 @@ _on_flags(
 _KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
+def _one_series_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as the bars of one symbol, in the order of their keys; label: a regime by return flag."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    price = (F.col("l_extendedprice") / F.col("l_quantity")).cast("double")
+    label = F.when(F.col("l_returnflag") == "A", "bull").when(F.col("l_returnflag") == "R", "bear").otherwise("range")
+    return items.select(
+        F.lit("all").alias("symbol"), F.struct(*_KEYS).alias("ts"), price.alias("close"), (price * (1 + F.col("l_discount"))).alias("high"),
+        (price * (1 - F.col("l_tax"))).alias("low"), label.alias("regime"),
+    )
+
+
+def _blocks(spark: SparkSession) -> int:
+    """Ranges that a series is cut into: some for each partition, so that hashing evens them out."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _by_item(df: DataFrame, *plain: str, **rounded: int) -> DataFrame:
+    return df.select(*[F.col(f"ts.{k}").alias(k) for k in _KEYS], *plain, *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in rounded.items()])
+
+
+_ORDER_OF_ITEMS = ", ".join(_KEYS)
+#: One series in SQL. Recursive means are sums of the last 400 values by weight: those before weigh too little to tell.
+_ONE_SERIES = f"""s AS (
+  SELECT {_ORDER_OF_ITEMS}, row_number() OVER (ORDER BY {_ORDER_OF_ITEMS}) AS i, {_PRICE} AS close, {_PRICE} * (1 + l_discount) AS high, {_PRICE} * (1 - l_tax) AS low,
+    CASE l_returnflag WHEN 'A' THEN 'bull' WHEN 'R' THEN 'bear' ELSE 'range' END AS regime FROM lineitem
+), m AS (
+  SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0::DOUBLE END AS pdm, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0::DOUBLE END AS mdm
+  FROM (SELECT *, lag(close) OVER (ORDER BY i) AS pc, high - lag(high) OVER (ORDER BY i) AS up, lag(low) OVER (ORDER BY i) - low AS dn FROM s)
+)"""
+
+
+def _weighed(values: str, alpha: float) -> str:
+    return f"list_sum(list_transform({values}, lambda v, k: v * power({1 - alpha!r}::DOUBLE, len({values}) - k) * CASE WHEN k = 1 THEN 1.0::DOUBLE ELSE {alpha!r}::DOUBLE END))"
+
+
+def _listed(**columns: str) -> str:
+    return ", ".join(f"list({c}) FILTER (WHERE {c} IS NOT NULL) OVER (ORDER BY i ROWS 399 PRECEDING) AS {n}" for n, c in columns.items())
+
+
 @_register(
     "ema_one_series",
-    f"""SELECT {", ".join(_KEYS)}, {_r(f"list_sum(list_transform(l, lambda v, k: v * power({1 - 2 / 22!r}::DOUBLE, len(l) - k) * CASE WHEN k = 1 THEN 1.0::DOUBLE ELSE {2 / 22!r}::DOUBLE END))", 2, "ema_21")}
-    FROM (SELECT *, list({_PRICE}) OVER (ORDER BY {", ".join(_KEYS)} ROWS 499 PRECEDING) AS l FROM lineitem)""",
+    f"""WITH {_ONE_SERIES} SELECT {_ORDER_OF_ITEMS}, {_r(_weighed('l', 2 / 22), 2, 'ema_21')} FROM (SELECT *, {_listed(l='close')} FROM s)""",
 )
-def _one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All line items as one series, cut into ranges; in the SQL, weights beyond 500 rows are too small to tell."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    price = (F.col("l_extendedprice") / F.col("l_quantity")).cast("double")
-    series = items.select(*_KEYS, F.lit("all").alias("symbol"), F.struct(*_KEYS).alias("ts"), price.alias("close"))
-    return blocked_means(series, [Mean("close", span(21), "ema_21")]).select(*_KEYS, (F.round("ema_21", 2) + F.lit(0.0)).alias("ema_21"))
+def _ema_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_item(indicators.ema(_one_series_bars(spark, sf_dir), 21, blocks=_blocks(spark)), ema_21=2)
+
+
+@_register(
+    "adx_one_series",
+    f"""WITH {_ONE_SERIES}, w AS (SELECT *, {_weighed('lt', 1 / 14)} AS t14, {_weighed('lp', 1 / 14)} AS p14, {_weighed('lm', 1 / 14)} AS m14 FROM (SELECT *, {_listed(lt='tr', lp='pdm', lm='mdm')} FROM m)),
+    di AS (SELECT *, 100 * p14 / nullif(t14, 0) AS pdi, 100 * m14 / nullif(t14, 0) AS mdi FROM w), dx AS (SELECT *, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS dx FROM di)
+    SELECT {_ORDER_OF_ITEMS}, {_r(_weighed('ld', 1 / 14), 6, 'adx')}, {_r('pdi', 6, 'plus_di')}, {_r('mdi', 6, 'minus_di')} FROM (SELECT *, {_listed(ld='dx')} FROM dx)""",
+)
+def _adx_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_item(indicators.adx_full(_one_series_bars(spark, sf_dir), blocks=_blocks(spark)), adx=6, plus_di=6, minus_di=6)
+
+
+@_register(
+    "keltner_one_series",
+    f"""WITH {_ONE_SERIES}, w AS (SELECT *, {_weighed('lt', 1 / 10)} AS a, {_weighed('lc', 2 / 21)} AS k FROM (SELECT *, {_listed(lt='tr', lc='close')} FROM m))
+    SELECT {_ORDER_OF_ITEMS}, {_r('k', 2, 'kc_middle')}, {_r('k + 2 * a', 2, 'kc_upper')}, {_r('k - 2 * a', 2, 'kc_lower')}, {_r('4 * a', 2, 'kc_width')}, {_r('4 * a / nullif(k, 0)', 6, 'kc_bandwidth')} FROM w""",
+)
+def _keltner_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_item(indicators.keltner(_one_series_bars(spark, sf_dir), atr_length=10, blocks=_blocks(spark)), kc_middle=2, kc_upper=2, kc_lower=2, kc_width=2, kc_bandwidth=6)
+
+
+_OVER30 = "OVER (ORDER BY i ROWS 29 PRECEDING)"
+
+
+@_register(
+    "reg_slope_one_series",
+    f"""WITH {_ONE_SERIES}, f AS (SELECT *, CASE WHEN i >= 30 THEN regr_slope(ln(close), i) {_OVER30} END AS b, CASE WHEN i >= 30 THEN abs(avg(ln(close)) {_OVER30}) END AS m, CASE WHEN i >= 30 THEN var_pop(ln(close)) {_OVER30} * 30 END AS y FROM s)
+    SELECT {_ORDER_OF_ITEMS}, {_r('b / m', 8, 'reg_slope')}, {_r('(2 * b / m * b - b / m * b / m) * 2247.5 / nullif(y, 0)', 6, 'reg_r2')} FROM f""",
+)
+def _reg_slope_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_item(indicators.reg_slope_r2(_one_series_bars(spark, sf_dir), length=30, use_log=True, blocks=_blocks(spark)), reg_slope=8, reg_r2=6)
+
+
+@_register(
+    "forward_return_one_series",
+    f"""WITH {_ONE_SERIES} SELECT {_ORDER_OF_ITEMS}, {", ".join(_r(f"lead(close, {h}) OVER (ORDER BY i) / nullif(close, 0) - 1", 6, f"fwd_{h}") for h in validation.HORIZONS)} FROM s""",
+)
+def _forward_return_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_item(validation.forward_return(_one_series_bars(spark, sf_dir), blocks=_blocks(spark)), **{f"fwd_{h}": 6 for h in validation.HORIZONS})
+
+
+@_register(
+    "rank_one_series",
+    f"""WITH {_ONE_SERIES}, r AS (SELECT *, list(close) OVER (ORDER BY i ROWS 251 PRECEDING) AS l FROM s)
+    SELECT {_ORDER_OF_ITEMS}, {_r("CASE WHEN len(l) >= 60 THEN (len(list_filter(l, lambda x: x < close)) + (len(list_filter(l, lambda x: x = close)) + 1) / 2) / len(l) END", 6, "rank_pct")} FROM r""",
+)
+def _rank_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_item(features.trailing_rank_pct(_one_series_bars(spark, sf_dir), "close", blocks=_blocks(spark)), rank_pct=6)
+
+
+@_register(
+    "fill_one_series",
+    f"""WITH {_ONE_SERIES} SELECT {_ORDER_OF_ITEMS}, last_value(CASE WHEN l_linenumber = 2 THEN regime END IGNORE NULLS) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS regime FROM s""",
+)
+def _fill_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = _one_series_bars(spark, sf_dir)
+    return _by_item(timeline.label_timeline(bars, bars.where("ts.l_linenumber = 2"), blocks=_blocks(spark)), "regime")
+
+
+@_register(
+    "runs_one_series",
+    f"""WITH {_ONE_SERIES}, n AS (SELECT *, CASE WHEN i > 1 AND regime = lag(regime) OVER (ORDER BY i) THEN 0 ELSE 1 END AS new FROM s), r AS (SELECT *, sum(new) OVER (ORDER BY i) AS run FROM n)
+    SELECT CAST(run AS BIGINT) AS run, CASE regime WHEN 'bull' THEN 'risk-on' WHEN 'bear' THEN 'risk-off' ELSE 'neutral' END AS colour, count(*) AS bars,
+      arg_min(l_orderkey, i) AS first_order, arg_min(l_linenumber, i) AS first_line, arg_max(l_orderkey, i) AS last_order, arg_max(l_linenumber, i) AS last_line FROM r GROUP BY run, regime""",
+)
+def _runs_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = timeline.regime_runs(_one_series_bars(spark, sf_dir), blocks=_blocks(spark))
+    ends = [F.col(f"{end}.{key}").alias(f"{name}_{what}") for end, name in (("start", "first"), ("end", "last")) for key, what in (("l_orderkey", "order"), ("l_linenumber", "line"))]
+    return runs.select("run", "colour", "bars", *ends)
 
 
 _REG = f"regr_slope(close, i) {_W} ROWS 49 PRECEDING)"
@@ -271,6 +373,23 @@ def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(sources.normalize_bars(raw, "event_id"), "high", "close")
 
 
+@_register(
+    "normalize_offsets",
+    f"""WITH raw AS (
+      SELECT event_type AS symbol, date_trunc('second', ts) AS ts, value AS close, event_id AS seq FROM events
+    ), last AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY seq DESC) AS n FROM raw)
+    SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, close FROM last WHERE n = 1 AND close IS NOT NULL""",
+)
+def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as text with all kinds of offsets and zones behind them: bars keep the wall time."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    behind = F.element_at(F.array(*[F.lit(x) for x in ("", "Z", "+05:00", "-0330", " +01", " UTC", ".000-11:00")]), (F.col("event_id") % 7 + 1).cast("int"))
+    between = F.when(F.col("event_id") % 2 == 0, "T").otherwise(" ")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd"), between, F.date_format("ts", "HH:mm:ss"), behind)
+    bars = sources.normalize_bars(events.select(F.col("event_type").alias("symbol"), text.alias("ts"), F.col("value").alias("close"), "event_id"), "event_id")
+    return bars.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "close")
+
+
 _on_flags(
     "merge_bars",
     f"WITH {FLAG_BARS}, later AS (SELECT symbol, ts, open, high, low, close * 2 AS close, volume FROM bars WHERE ts >= TIMESTAMP '1998-01-01'), kept AS (SELECT * FROM bars WHERE ts < TIMESTAMP '1999-01-01') {_BARS_OUT} (SELECT * FROM later UNION ALL SELECT * FROM kept WHERE ts < TIMESTAMP '1998-01-01')",
@@ -308,8 +427,8 @@ def _adjusted(b: DataFrame) -> DataFrame:
 
 _on_flags(
     "close_column",
-    f"WITH {FLAG_BARS} SELECT symbol, {SQL_DAY}, close FROM bars WHERE close > 30000",
-    lambda b: _out(_adjusted(b).where("close > 30000"), "close"),
+    f"WITH {FLAG_BARS} SELECT symbol, {SQL_DAY}, close FROM bars",
+    lambda b: _out(_adjusted(b), "close"),
 )
 _on_flags("latest_per_symbol", f"WITH {FLAG_BARS} {_BARS_OUT} (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM bars) WHERE n = 1", lambda b: _bars_out(validation.latest_per_symbol(b)))
 _on_flags("tail_n", f"WITH {FLAG_BARS} {_BARS_OUT} (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM bars) WHERE n <= 60", lambda b: _bars_out(validation.tail_n(b, 60)))
@@ -337,45 +456,49 @@ _on_flags(
 _on_flags("diff_n", _by_bar(f"coalesce(close - lag(close, 5) {_W}), 0) AS diff"), lambda b: _out(features.diff_n(b, "close", 5), "diff"))
 
 
-def _breadth_sql(sectors: tuple[str, ...], target: str) -> str:
-    names = ", ".join(repr(s) for s in sectors)
+def _in(names) -> str:
+    return ", ".join(repr(s) for s in names)
+
+
+def _breadth_sql(sectors: tuple[str, ...], *targets: str) -> str:
     return f""", above AS (
-  SELECT symbol AS sector, ts, CASE WHEN close > e50 THEN 1.0 ELSE 0.0 END AS above FROM named WHERE symbol IN (SELECT symbol FROM bars WHERE symbol IN ({names}) GROUP BY symbol HAVING count(*) >= 60)
+  SELECT symbol AS sector, ts, CASE WHEN close > e50 THEN 1.0 ELSE 0.0 END AS above FROM named WHERE symbol IN (SELECT symbol FROM bars WHERE symbol IN ({_in(sectors)}) GROUP BY symbol HAVING count(*) >= 60)
 ), grid AS (
-  SELECT c.ts, s.sector, last_value(a.above IGNORE NULLS) OVER (PARTITION BY s.sector ORDER BY c.ts ROWS UNBOUNDED PRECEDING) AS above
-  FROM (SELECT ts FROM bars WHERE symbol = '{target}') c CROSS JOIN (SELECT DISTINCT sector FROM above) s LEFT JOIN above a ON a.ts = c.ts AND a.sector = s.sector
-), breadth AS (SELECT ts, avg(above) AS breadth FROM grid GROUP BY ts)"""
+  SELECT c.symbol, c.ts, s.sector, last_value(a.above IGNORE NULLS) OVER (PARTITION BY c.symbol, s.sector ORDER BY c.ts ROWS UNBOUNDED PRECEDING) AS above
+  FROM (SELECT symbol, ts FROM bars WHERE symbol IN ({_in(targets)})) c CROSS JOIN (SELECT DISTINCT sector FROM above) s LEFT JOIN above a ON a.ts = c.ts AND a.sector = s.sector
+), breadth AS (SELECT symbol, ts, avg(above) AS breadth FROM grid GROUP BY symbol, ts)"""
 
 
 _on_flags(
     "sector_breadth",
-    _sql(f"SELECT 'NO' AS symbol, {SQL_DAY}, {_r('breadth', 6, 'breadth')} FROM breadth", more=_breadth_sql(UNIVERSE.sectors, "NO")),
+    _sql(f"SELECT symbol, {SQL_DAY}, {_r('breadth', 6, 'breadth')} FROM breadth", more=_breadth_sql(UNIVERSE.sectors, "NO")),
     lambda b: _out(features.sector_breadth(b, b.where("symbol = 'NO'"), UNIVERSE.sectors), breadth=6),
 )
 
 
-def _feature_sql(u, more: str = "") -> str:
-    """feats: ts and the 18 features of the target."""
-    ff = lambda e: f"last_value({e} IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+def _feature_sql(u, more: str = "", targets: tuple[str, ...] = ()) -> str:
+    """matrix: symbol, ts and the 18 features of each target."""
+    targets = targets or (u.target,)
+    ff = lambda e: f"last_value({e} IGNORE NULLS) {_W} ROWS UNBOUNDED PRECEDING)"
     part = lambda s, v: f"max(CASE WHEN symbol = '{s}' THEN {v} END)"
-    return f"""{_breadth_sql(u.sectors, u.target)}, own AS (
+    return f"""{_breadth_sql(u.sectors, *targets)}, own AS (
   SELECT symbol, ts, close, close / nullif(lag(close, 21) {_W}), 0) - 1 AS r21, (close - lag(close, 5) {_W})) / CASE WHEN close = 0 THEN 1e-8 ELSE close END AS s5 FROM bars
 ), wide AS (
   SELECT ts, {part(u.vol_index, "close")} AS vix, {part(u.growth, "r21")} AS growth, {part(u.high_yield, "r21")} AS hyg, {part(u.mid_duration, "r21")} AS ief, {part(u.long_duration, "r21")} AS tlt,
     {part(u.gold, "r21")} AS gold, {part(u.copper, "r21")} AS copper, {part(u.short_rate, "s5")} AS irx, {part(u.long_rate, "close")} - {part(u.short_rate, "close")} AS curve FROM own GROUP BY ts
 ), cal AS (
-  SELECT t.ts, t.close, t.i, t.e21, t.e50, t.e200, b.breadth, {ff("vix")} AS vix, {", ".join(f"coalesce({ff(c)}, 0) AS {c}" for c in ("growth", "hyg", "ief", "tlt", "gold", "copper", "irx", "curve"))}
-  FROM (SELECT * FROM named WHERE symbol = '{u.target}') t LEFT JOIN wide USING (ts) LEFT JOIN breadth b USING (ts)
+  SELECT symbol, ts, close, i, e21, e50, e200, breadth, {ff("vix")} AS vix, {", ".join(f"coalesce({ff(c)}, 0) AS {c}" for c in ("growth", "hyg", "ief", "tlt", "gold", "copper", "irx", "curve"))}
+  FROM (SELECT * FROM named WHERE symbol IN ({_in(targets)})) t LEFT JOIN wide USING (ts) LEFT JOIN breadth b USING (symbol, ts)
 ), base AS (
-  SELECT *, list(vix) FILTER (WHERE vix IS NOT NULL) OVER (ORDER BY ts ROWS 251 PRECEDING) AS l, vix AS v, coalesce(close / nullif(lag(close, 21) OVER (ORDER BY ts), 0) - 1, 0) AS t21, coalesce(close / nullif(lag(close, 126) OVER (ORDER BY ts), 0) - 1, 0) AS t126,
-    (vix - lag(vix, 10) OVER (ORDER BY ts)) / nullif(10 * vix, 0) AS vs, hyg - ief AS cs FROM cal
+  SELECT *, list(vix) FILTER (WHERE vix IS NOT NULL) {_W} ROWS 251 PRECEDING) AS l, vix AS v, coalesce(close / nullif(lag(close, 21) {_W}), 0) - 1, 0) AS t21, coalesce(close / nullif(lag(close, 126) {_W}), 0) - 1, 0) AS t126,
+    (vix - lag(vix, 10) {_W})) / nullif(10 * vix, 0) AS vs, hyg - ief AS cs FROM cal
 ), feats AS (
-  SELECT ts, i, (close - e21) / nullif(e21, 0) AS spy_ema21_spread, (close - e50) / nullif(e50, 0) AS spy_ema50_spread, (close - e200) / nullif(e200, 0) AS spy_ema200_spread, growth - t21 AS qqq_spy_rel_21d,
+  SELECT symbol, ts, i, (close - e21) / nullif(e21, 0) AS spy_ema21_spread, (close - e50) / nullif(e50, 0) AS spy_ema50_spread, (close - e200) / nullif(e200, 0) AS spy_ema200_spread, growth - t21 AS qqq_spy_rel_21d,
     {_RANK} AS vix_pctl_252d, vs AS vix_slope_10d, breadth AS breadth_ema50, t126 AS spy_return_126d, cs AS credit_spread_21d, tlt AS tlt_return_21d, copper - gold AS copper_gold_21d,
-    coalesce(vs - lag(vs, 5) OVER (ORDER BY ts), 0) AS vix_accel_5d, coalesce(cs - lag(cs, 5) OVER (ORDER BY ts), 0) AS credit_spread_momentum, coalesce(breadth - lag(breadth, 5) OVER (ORDER BY ts), 0) AS breadth_acceleration,
+    coalesce(vs - lag(vs, 5) {_W}), 0) AS vix_accel_5d, coalesce(cs - lag(cs, 5) {_W}), 0) AS credit_spread_momentum, coalesce(breadth - lag(breadth, 5) {_W}), 0) AS breadth_acceleration,
     irx AS tsy_3m_yield_slope, 0.0::DOUBLE AS fed_funds_futures_slope, curve AS yield_curve_slope_10y2y, 0.0::DOUBLE AS recession_probability_nyfed
   FROM base
-), matrix AS (SELECT '{u.target}' AS symbol, * FROM feats WHERE i > 252 AND vix_pctl_252d IS NOT NULL AND vix_slope_10d IS NOT NULL AND breadth_ema50 IS NOT NULL){more}"""
+), matrix AS (SELECT * FROM feats WHERE i > 252 AND vix_pctl_252d IS NOT NULL AND vix_slope_10d IS NOT NULL AND breadth_ema50 IS NOT NULL){more}"""
 
 
 _FEATURES_OUT = f"SELECT symbol, {SQL_DAY}, {', '.join(_r(c, 6, c) for c in features.FEATURE_NAMES)} FROM matrix"
@@ -383,6 +506,9 @@ _features_out = lambda df: _out(df, **dict.fromkeys(features.FEATURE_NAMES, 6))
 _on_flags("feature_matrix", _sql(_FEATURES_OUT, more=_feature_sql(UNIVERSE)), lambda b: _features_out(features.feature_matrix(b, UNIVERSE)))
 _register("feature_matrix_brands", _sql(_FEATURES_OUT, bars=BRAND_BARS, more=_feature_sql(BRANDS)))(lambda spark, sf_dir: _features_out(features.feature_matrix(brand_bars(spark, sf_dir), BRANDS)))
 
+PANEL = ("NO", "AO", "RF")
+_on_flags("feature_matrix_panel", _sql(_FEATURES_OUT, more=_feature_sql(UNIVERSE, targets=PANEL)), lambda b: _features_out(features.feature_matrix(b, UNIVERSE, targets=PANEL)))
+
 # ---- state model ---------------------------------------------------------------------------------------------------
 
 
@@ -414,7 +540,7 @@ _on_flags(
 @_register("fit_state_model")
 def _fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = kept(features.feature_matrix(flag_bars(spark, sf_dir), UNIVERSE))
-    if matrix.count() < 4 * (11 + 1):  # four states in eleven components: too few rows for full covariances, so no model and no labels
+    if matrix.count() < state_model.least_rows(4, 11):  # no model, so no labels
         return _out(state_model.score_history(matrix.limit(0), demo_model()), "regime", "confidence")
     model = state_model.fit_state_model(matrix, labels={0: "Risk-On", 1: "Risk-Off", 2: "Risk-On-Retreat", 3: "Risk-Off-Stable"})
     return _out(state_model.score_history(matrix, model), "regime", "confidence")
@@ -429,8 +555,8 @@ _on_flags(
 
 def _stored_model(spark: SparkSession) -> state_model.StateModel:
     path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
-    spark.createDataFrame([(state_model.model_to_json(demo_model()),)], "value string").write.text(path)
-    return state_model.model_from_json(spark.read.text(path).first()[0])
+    state_model.save_model(demo_model(), path)
+    return state_model.load_model(path)
 
 
 @_register(
@@ -478,13 +604,12 @@ _on_flags(
     "latest_report",
     _sql(
         f"""SELECT n.symbol, n.regime AS rule_regime, CASE n.regime WHEN 'bull' THEN 'Risk-On' WHEN 'bull_high_vol' THEN 'Risk-On (high vol)' WHEN 'bear' THEN 'Risk-Off' WHEN 'bear_high_vol' THEN 'Risk-Off (high vol)' WHEN 'high_vol' THEN 'High Volatility' ELSE 'Range / Neutral' END AS direction,
-        round_even(n.conf, 3) AS rule_confidence, s.regime AS state_regime, {_PCTS}, {_READ.replace("h.", "n.")} = {_READ2} AS agreement, round_even(n.close, 2) AS close, (SELECT count(DISTINCT symbol) FROM bars) AS symbols, date_diff('day', n.ts, TIMESTAMP '{NOW}') AS age_days
+        round_even(n.conf, 3) AS rule_confidence, n.trend, n.stack AS ema_stack, n.vol, round_even(n.atrp, 2) AS atr_percent, n.chop, round_even(n.adx, 1) AS adx, s.regime AS state_regime, {_PCTS}, s.transition_risk, s.confidence, strftime(s.ts, '%Y-%m-%d') AS scored_at,
+        {_READ.replace("h.", "n.")} = {_READ2} AS agreement, round_even(n.close, 2) AS close, strftime(n.ts, '%Y-%m-%d') AS as_of, (SELECT count(DISTINCT symbol) FROM bars) AS symbols, date_diff('day', n.ts, TIMESTAMP '{NOW}') AS age_days, date_diff('day', n.ts, TIMESTAMP '{NOW}') > 4 AS stale
         FROM (SELECT * FROM named WHERE symbol = 'NO' ORDER BY ts DESC LIMIT 1) n, (SELECT * FROM scored ORDER BY ts DESC LIMIT 1) s""",
         more=_MODEL_SQL,
     ),
-    lambda b: reports.latest_report(b, UNIVERSE, demo_model(), NOW).select(
-        "symbol", "rule_regime", "direction", "rule_confidence", "state_regime", *_PCTS.split(", "), "agreement", "close", "symbols", F.col("age_days").cast("long").alias("age_days")
-    ),
+    lambda b: reports.latest_report(b, UNIVERSE, demo_model(), NOW).withColumns({"scored_at": F.date_format("scored_at", "yyyy-MM-dd"), "as_of": F.date_format("as_of", "yyyy-MM-dd"), "age_days": F.col("age_days").cast("long")}),
 )
 _TIMELINE = f""", line AS (SELECT b.symbol, b.ts, last_value(h.regime IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.ts ROWS UNBOUNDED PRECEDING) AS regime FROM bars b LEFT JOIN (SELECT * FROM history WHERE i % 7 <> 0) h ON b.symbol = h.symbol AND b.ts = h.ts),
 coloured AS (SELECT *, CASE WHEN regime LIKE 'bull%' THEN 'risk-on' WHEN regime LIKE 'bear%' THEN 'risk-off' WHEN regime = 'range' THEN 'neutral' WHEN regime = 'high_vol' THEN 'volatile' END AS colour FROM line),

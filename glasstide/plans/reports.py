@@ -22,12 +22,12 @@ def both_validations(bars: DataFrame, universe: Universe, model: state_model.Sta
     bars = kept(bars)
     target = bars.where(F.col("symbol") == universe.target)
     ruled = rules.rule_history(target, cfg).select(F.lit("rules").alias("engine"), "symbol", "ts", "regime")
-    scored = state_model.score_history(features.feature_matrix(bars, universe), model).select(F.lit("state").alias("engine"), "symbol", "ts", "regime")
+    scored = state_model.score_history(features.feature_matrix(bars, universe, keep=False), model).select(F.lit("state").alias("engine"), "symbol", "ts", "regime")
     return validation.order_stats(validation.forward_stats(ruled.unionByName(scored), target))
 
 
 def latest_report(bars: DataFrame, universe: Universe, model: state_model.StateModel, now: str, cfg: RuleSettings = RuleSettings()) -> DataFrame:
     """The latest state of each symbol that both engines know. Bars are computed once and kept for the four branches that read them."""
     bars = kept(bars)
-    scores = state_model.score_history(features.feature_matrix(bars, universe), model)
+    scores = state_model.score_history(features.feature_matrix(bars, universe, keep=False), model)
     return validation.latest_report(rules.regime_snapshot(bars, cfg), scores, bars, universe, now)

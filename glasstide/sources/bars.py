@@ -30,17 +30,24 @@ def _number(df: DataFrame, name: str):
     return F.when(~F.isnan(value), value).alias(name)
 
 
+def wall_time(df: DataFrame, name: str):
+    """Column name of df as a timestamp. Text keeps the wall time it shows: an offset or zone behind it is dropped, not converted by."""
+    if dict(df.dtypes)[name] != "string":
+        return F.col(f"`{name}`").cast("timestamp")
+    plain = F.regexp_replace(F.trim(F.col(f"`{name}`")), r"(:\d{2}(?:[.,]\d+)?)\s*(?:[Zz]|UTC|GMT|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)$", "$1")
+    return F.to_timestamp_ntz(plain).cast("timestamp")
+
+
 def normalize_bars(raw: DataFrame, arrival: str | None = None) -> DataFrame:
     """Clean bars of raw: names in any case, known columns only, NaN as null, one bar per (symbol, ts), none without close.
 
-    Without a close column an adjusted close stands in (see close_column).
+    Without a close column an adjusted close stands in (see close_column). Times given as text keep their wall time (see wall_time).
 
     Of bars with one key the last by ``arrival`` stays, before those without close go: a last bar without close removes
     its key. Without arrival any one of them stays.
     """
     lower = {c.lower(): c for c in raw.columns}
-    ts = F.to_timestamp(F.col(f"`{lower['ts']}`")) if dict(raw.dtypes)[lower["ts"]] != "timestamp" else F.col(f"`{lower['ts']}`")
-    rows = raw.select(F.col(f"`{lower['symbol']}`").cast("string").alias("symbol"), ts.alias("ts"), *[_number(raw, c) for c in PRICES], (F.col(arrival) if arrival else F.lit(0)).alias("_at"))
+    rows = raw.select(F.col(f"`{lower['symbol']}`").cast("string").alias("symbol"), wall_time(raw, lower["ts"]).alias("ts"), *[_number(raw, c) for c in PRICES], (F.col(arrival) if arrival else F.lit(0)).alias("_at"))
     last = Window.partitionBy("symbol", "ts").orderBy(F.desc("_at"))
     kept = rows.where("symbol is not null and ts is not null").withColumn("_n", F.row_number().over(last)).where("_n = 1")
     return kept.where("close is not null").select("symbol", "ts", *PRICES)
