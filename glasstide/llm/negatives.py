@@ -25,8 +25,8 @@ from .common import stored
 POSITIVES, NEGATIVES, LOWEST, HIGHEST = 5, 3, 50, 95
 #: What components are multiplied by before they are cut to integers.
 FINENESS = 256
-#: Dimensions read between two looks at the bounds; rows and anchors of a block.
-STEP, BLOCK_ROWS, BLOCK_ANCHORS = 16, 65_536, 16_384
+#: Dimensions read between two looks at the bounds; rows of a block at most, and at least where there are enough; anchors of a block.
+STEP, BLOCK_ROWS, LEAST_ROWS, BLOCK_ANCHORS = 16, 65_536, 1024, 16_384
 
 
 class Block:
@@ -113,7 +113,7 @@ def _answered(batches: Iterator[pa.RecordBatch], kind: type, same: bool, k: int)
 def _scanned(rows: DataFrame, anchors: DataFrame, n: int, asked: int, kind: type, same: bool, k: int) -> DataFrame:
     """anchor_id, positive_id, vec_id, positive_score, score: the k first rows of all blocks for each window of each anchor."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    row_blocks, anchor_blocks = max(partitions, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(asked / BLOCK_ANCHORS))
+    row_blocks, anchor_blocks = max(min(partitions, math.ceil(n / LEAST_ROWS)), math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(asked / BLOCK_ANCHORS))
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     place = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     own = ("vec_id", "label", "v")
