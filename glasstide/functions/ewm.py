@@ -192,3 +192,53 @@ def blocked_means(df: DataFrame, means: list[Mean], symbol: str = "symbol", ts:
     """As recursive_means, with every series cut into ranges of ts, so that no task holds more than its share of all rows."""
     n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return whole(recursive_means(in_ranges(df, n, symbol, ts), means, symbol, ts), symbol)
+
+
+def gap_of(name: str) -> str:
+    """The column that holds, beside a mean, how many rows ago its last value came."""
+    return f"_gap_{name}"
+
+
+def continued_means(df: DataFrame, means: list[Mean], symbol: str = "symbol", ts: str = "ts") -> DataFrame:
+    """df with the means of its new rows, continued from rows that have theirs already.
+
+    df holds for each Mean a column of its name and one called gap_of(name). Rows marked by ``_halo`` come first in their symbol and
+    hold both from an earlier time; the other rows get theirs. A symbol without marked rows begins afresh.
+    """
+    key, marked = df.columns.index(symbol), df.columns.index(HALO)
+    columns = [c for m in means for c in (m.name, gap_of(m.name))]
+    places = [df.columns.index(c) for c in columns]
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh: State = [(float("nan"), 0)] * len(means)
+        current, state = object(), fresh
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            halo = batch.column(marked).to_numpy(zero_copy_only=False).astype(bool)
+            values = [batch.column(batch.schema.get_field_index(m.source)).cast(pa.float64()).to_numpy(zero_copy_only=False) for m in means]
+            out = [batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False).copy() for i in places]
+            for a, b in _segments(batch.column(key)):
+                own = _own(batch.column(key), a)
+                if own != current:
+                    current, state = own, list(fresh)
+                first = a + int(halo[a:b].sum())
+                for k, m in enumerate(means):
+                    means_of, gaps = out[2 * k], out[2 * k + 1]
+                    if first > a:
+                        state[k] = (means_of[first - 1], int(gaps[first - 1]))
+                    last, gap = state[k]
+                    seen = ~np.isnan(values[k][first:b])
+                    at = np.arange(b - first)
+                    since = np.maximum.accumulate(np.where(seen, at, -1)) if b > first else at
+                    begun = 0 if np.isnan(last) else gap + 1
+                    gaps[first:b] = np.where(since >= 0, at - since, begun + at if begun else 0)
+                    means_of[first:b], *new = continue_mean(values[k][first:b], m.alpha, last, gap)
+                    state[k] = tuple(new)
+            arrays = list(batch.columns)
+            for i, o in zip(places, out):
+                arrays[i] = pa.array(o, from_pandas=True)
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in columns else f for f in df.schema.fields])
+    return df.repartition(symbol).sortWithinPartitions(symbol, ts).mapInArrow(streamed, schema)

@@ -67,13 +67,17 @@ def directional_moves(bars: DataFrame, blocks: int | None = None) -> DataFrame:
     )
 
 
-def with_adx(df: DataFrame, length: int = 14) -> DataFrame:
-    """adx, plus_di, minus_di from columns that already hold the means tr_mean, plus_mean and minus_mean."""
+def with_dx(df: DataFrame) -> DataFrame:
+    """plus_di, minus_di and dx from columns that already hold the means tr_mean, plus_mean and minus_mean."""
     base = F.nullif(F.col("tr_mean"), F.lit(0.0))
     df = df.withColumn("plus_di", 100 * ratio(F.col("plus_mean"), base)).withColumn("minus_di", 100 * ratio(F.col("minus_mean"), base))
     total = F.nullif(F.col("plus_di") + F.col("minus_di"), F.lit(0.0))
-    df = df.withColumn("dx", 100 * ratio(F.abs(F.col("plus_di") - F.col("minus_di")), total))
-    return recursive_means(df, [Mean("dx", wilder(length), "adx")])
+    return df.withColumn("dx", 100 * ratio(F.abs(F.col("plus_di") - F.col("minus_di")), total))
+
+
+def with_adx(df: DataFrame, length: int = 14) -> DataFrame:
+    """adx, plus_di, minus_di from columns that already hold the means tr_mean, plus_mean and minus_mean."""
+    return recursive_means(with_dx(df), [Mean("dx", wilder(length), "adx")])
 
 
 def adx_full(bars: DataFrame, length: int = 14, blocks: int | None = None) -> DataFrame:

@@ -181,18 +181,45 @@ def confidence(df: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
     return df.withColumn("confidence", confidence_of(F.col("reg_slope"), F.col("reg_r2"), F.col("vol"), F.col("chop"), cfg))
 
 
-def diagnosed(bars: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
-    """bars with everything that labels need: means, atr, adx, regression and band widths; two streamed passes."""
-    t, v, c = cfg.trend, cfg.vol, cfg.chop
-    moved = _bollinger_width(reg_slope_r2(directional_moves(true_range(bars)), "close", t.reg_length, use_log=True, normalize=True), v)
-    w = wilder(c.adx_lookback)
-    means = [
+def label_windows(bars: DataFrame, cfg: RuleSettings) -> DataFrame:
+    """bars with what labels need of a bounded number of rows before: ranges, moves, regression, the inner bands' width."""
+    fitted = reg_slope_r2(directional_moves(true_range(bars)), "close", cfg.trend.reg_length, use_log=True, normalize=True)
+    return _bollinger_width(fitted, cfg.vol)
+
+
+def label_means(cfg: RuleSettings) -> list[Mean]:
+    """The recursive means that labels need; that of the directional index follows from the last three."""
+    t, v, w = cfg.trend, cfg.vol, wilder(cfg.chop.adx_lookback)
+    return [
         Mean("close", span(t.ema_short), "ema_short"), Mean("close", span(t.ema_mid), "ema_mid"), Mean("close", span(t.ema_long), "ema_long"),
         Mean("true_range", wilder(v.atr_lookback), "atr"), Mean("true_range", wilder(v.kc_length), "_kc_atr"),
         Mean("true_range", w, "tr_mean"), Mean("plus_dm", w, "plus_mean"), Mean("minus_dm", w, "minus_mean"),
     ]
-    df = _keltner_width(with_adx(recursive_means(moved, means), c.adx_lookback), v)
-    return df.drop("true_range", "plus_dm", "minus_dm", "tr_mean", "plus_mean", "minus_mean", "plus_di", "minus_di", "dx", "_kc_atr")
+
+
+def label_reach(cfg: RuleSettings) -> int:
+    """How many rows before its own a label looks at, besides what recursive means carry."""
+    t, v = cfg.trend, cfg.vol
+    return max(2, t.reg_length - 1, v.bb_length + v.expansion_lookback - 2, t.slope_lookback)
+
+
+_SCRATCH = ("true_range", "plus_dm", "minus_dm", "tr_mean", "plus_mean", "minus_mean", "plus_di", "minus_di", "dx", "_kc_atr")
+
+
+def diagnosed(bars: DataFrame, cfg: RuleSettings = RuleSettings()) -> DataFrame:
+    """bars with everything that labels need: means, atr, adx, regression and band widths; two streamed passes."""
+    means = recursive_means(label_windows(bars, cfg), label_means(cfg))
+    return _keltner_width(with_adx(means, cfg.chop.adx_lookback), cfg.vol).drop(*_SCRATCH)
+
+
+def shaped(df: DataFrame, cfg: RuleSettings) -> DataFrame:
+    """diagnosed() with squeeze, structure and trend_simple, which look a few rows back at means and widths."""
+    return _simple_trend(chop_structure(squeeze_state(df, cfg), cfg), "ema_mid", cfg.trend)
+
+
+def named(df: DataFrame, cfg: RuleSettings) -> DataFrame:
+    """shaped() with all labels, which look at their own row only."""
+    return confidence(composite_regime(chop_label(vol_label(trend_label(ema_stack(df, cfg), cfg), cfg), cfg)), cfg)
 
 
 def _structured(bars: DataFrame, cfg: RuleSettings, blocks: int | None) -> DataFrame:
@@ -200,15 +227,13 @@ def _structured(bars: DataFrame, cfg: RuleSettings, blocks: int | None) -> DataF
     t, v = cfg.trend, cfg.vol
     if blocks:
         bars = with_halo(in_ranges(bars, blocks), max(1, t.reg_length - 1, v.bb_length - 1))
-    df = _seen(diagnosed(bars, cfg), max(2, v.expansion_lookback - 1, t.slope_lookback))
-    df = _simple_trend(chop_structure(squeeze_state(df, cfg), cfg), "ema_mid", t)
+    df = shaped(_seen(diagnosed(bars, cfg), max(2, v.expansion_lookback - 1, t.slope_lookback)), cfg)
     return df.where(f"not {HALO}").drop(HALO) if HALO in df.columns else df
 
 
 def labelled(bars: DataFrame, cfg: RuleSettings = RuleSettings(), blocks: int | None = None) -> DataFrame:
     """Every bar's labels, confidence included, also where too little came before it for a regime."""
-    df = _own(_structured(bars, cfg, blocks)).drop("trend_simple")
-    return confidence(composite_regime(chop_label(vol_label(trend_label(ema_stack(df, cfg), cfg), cfg), cfg)), cfg)
+    return named(_own(_structured(bars, cfg, blocks)).drop("trend_simple"), cfg)
 
 
 def rule_history(bars: DataFrame, cfg: RuleSettings = RuleSettings(), blocks: int | None = None) -> DataFrame:

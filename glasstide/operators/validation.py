@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,24 +27,66 @@ def forward_return(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS, blocks
     return bars.withColumns({f"fwd_{h}": ratio(F.lead("close", h).over(w), F.col("close")) - 1 for h in horizons})
 
 
-def exact_medians(df: DataFrame, by: list[str], value: str, accuracy: int = 10_000) -> DataFrame:
+#: Values of a group that may meet in one window, once its bracket holds no more.
+MET = 10_000
+
+
+def _cuts(met: DataFrame, accuracy: int) -> DataFrame:
+    """target, c1, c2: a sketch's guess at values just below and above the wanted rank, of the values inside each target's bracket."""
+    share = (F.col("rank") - F.col("before")) / F.col("inside")
+    slack = 4.0 / accuracy  # twice what the sketch's ranks may be off on either side
+    grid = [i / 1000 for i in range(1001)]
+    sketch = met.groupBy("target").agg(F.percentile_approx("v", grid, accuracy).alias("q"), F.first(share).alias("s"))
+    at = lambda x: F.element_at("q", (F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * 1000).cast("int") + 1)
+    return sketch.select("target", at(F.floor((F.col("s") - slack) * 1000) / 1000).alias("c1"), at(F.ceil((F.col("s") + slack) * 1000) / 1000).alias("c2"))
+
+
+def exact_medians(df: DataFrame, by: list[str], value: str, accuracy: int = 10_000, met: int = MET) -> DataFrame:
     """by, median of the non-null values of each group, exactly, however large a group is.
 
-    A sketch of bounded size brackets the middle; values below the bracket are only counted, and of those inside it the
-    counts by value are run through in order. df is read twice: let it be kept.
+    Each wanted rank has a bracket of values that surely holds it, at first the group's whole range. While more than ``met`` values
+    lie inside, a sketch guesses two cuts around the rank, values are counted on both sides and between them, and the part whose
+    count reaches the rank is the next bracket: a wrong guess costs a round, not the result. What is left is run through in order.
+    df is read a few times: let it be kept. A group may have null keys; values that are all null make no group.
     """
-    rows = df.select(*by, F.col(value).alias("v")).where("v is not null")
-    slack = 4.0 / accuracy  # twice what the sketch's ranks may be off on either side
-    marks = rows.groupBy(*by).agg(F.percentile_approx("v", [0.5 - slack, 0.5 + slack], accuracy).alias("m")).select(*by, F.col("m")[0].alias("lo"), F.col("m")[1].alias("hi"))
-    met = rows.join(marks, by)
-    counted = met.where("v <= hi").groupBy(*by, F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
-    total = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("v")))
-    placed = counted.withColumn("upto", upto).join(total, by)
-    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
-    n = F.col("n")
-    lower, upper = at(F.floor((n + 1) / 2)), at(F.floor(n / 2) + 1)
-    return placed.where("v is not null").groupBy(*by).agg(lower.alias("a"), upper.alias("b")).select(*by, (F.col("a") + (F.col("b") - F.col("a")) * 0.5).alias("median"))
+    rows = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col(value).cast("double").alias("v")).where("v is not null")
+    keys = [f"_k{i}" for i in range(len(by))]
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ranks = F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))
+    asked = groups.withColumn("rank", F.explode(ranks)).withColumn("target", F.struct(*keys, "rank"))
+    asked = kept(asked.select("target", "rank", "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("inside"), F.lit(False).alias("stuck")))
+
+    def inside(targets: DataFrame) -> DataFrame:
+        same = reduce(operator.and_, [rows[k].eqNullSafe(F.col(f"target.{k}")) for k in keys]) if keys else F.lit(True)
+        return rows.join(targets, same & F.col("v").between(F.col("lo"), F.col("hi")))
+
+    is_open = "inside > %d and lo < hi" % met
+    while asked.where(is_open).limit(1).count():
+        still = asked.where(is_open)
+        guess = _cuts(inside(still), accuracy)
+        half = F.col("lo") + (F.col("hi") - F.col("lo")) / 2
+        cut = still.join(guess, "target", "left").withColumns({"c1": F.when(F.col("stuck"), half).otherwise(F.coalesce("c1", half)), "c2": F.when(F.col("stuck"), half).otherwise(F.coalesce("c2", half))})
+        low, high = F.col("v") < F.col("c1"), F.col("v") > F.col("c2")
+        told = inside(cut).groupBy("target").agg(
+            F.count_if(low).alias("n1"), F.max(F.when(low, F.col("v"))).alias("hi1"), F.count_if(~low & ~high).alias("n2"),
+            F.min(F.when(~low & ~high, F.col("v"))).alias("lo2"), F.max(F.when(~low & ~high, F.col("v"))).alias("hi2"), F.min(F.when(high, F.col("v"))).alias("lo3"),
+        )
+        left = F.col("rank") - F.col("before")
+        first, second = left <= F.col("n1"), left <= F.col("n1") + F.col("n2")
+        pick = lambda a, b, c: F.when(first, a).when(second, b).otherwise(c)
+        new = still.withColumnRenamed("inside", "was").join(told, "target").select(
+            "target", "rank", pick(F.col("lo"), F.col("lo2"), F.col("lo3")).alias("lo"), pick(F.col("hi1"), F.col("hi2"), F.col("hi")).alias("hi"),
+            (F.col("before") + pick(F.lit(0), F.col("n1"), F.col("n1") + F.col("n2"))).alias("before"),
+            pick(F.col("n1"), F.col("n2"), F.col("was") - F.col("n1") - F.col("n2")).alias("inside"), "was",
+        )
+        new = new.withColumn("stuck", F.col("inside") * 2 > F.col("was")).drop("was")  # the next cut halves the range instead
+        asked = kept(asked.where(f"not ({is_open})").unionByName(new))
+
+    place = F.row_number().over(Window.partitionBy("target").orderBy("v"))
+    few = inside(asked.where("lo < hi")).withColumn("_at", place).where(F.col("_at") == F.col("rank") - F.col("before")).select("target", "v")
+    found = few.unionByName(asked.where("lo = hi").select("target", F.col("lo").alias("v")))
+    ends = found.groupBy(*[F.col(f"target.{k}").alias(k) for k in keys]).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return ends.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], (F.col("a") + (F.col("b") - F.col("a")) * 0.5).alias("median"))
 
 
 def forward_stats(labels: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
@@ -63,7 +108,8 @@ def forward_stats(labels: DataFrame, bars: DataFrame, horizons: tuple[int, ...]
         F.max("ts").alias("last"),
     )
     medians = exact_medians(long, by, "r").select(*by, F.bround(F.col("median") * 100, 2).alias("median"))
-    return plain.join(medians, by).select(*by, "mean", "median", "hit_rate", "n", "first", "last")
+    same = reduce(operator.and_, [plain[c].eqNullSafe(medians[c]) for c in by])
+    return plain.join(medians, same).select(*[plain[c] for c in by], "mean", "median", "hit_rate", "n", "first", "last")
 
 
 def order_stats(stats: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from ..functions.expressions import log_price, rule_coarse, rule_direction
 from ..functions.storage import kept, shared_folder
 from ..operators import features, indicators, rules, state_model, timeline, validation
 from ..sources import bars as sources
-from . import reports
+from ..sources import versions
+from ..streaming import labels as label_state
+from . import documents, reports
 from .demo import BRANDS, UNIVERSE, brand_bars, demo_model, event_bars, flag_bars
 
 NOW = "2002-01-01"
@@ -395,6 +398,17 @@ _on_flags(
     f"WITH {FLAG_BARS}, later AS (SELECT symbol, ts, open, high, low, close * 2 AS close, volume FROM bars WHERE ts >= TIMESTAMP '1998-01-01'), kept AS (SELECT * FROM bars WHERE ts < TIMESTAMP '1999-01-01') {_BARS_OUT} (SELECT * FROM later UNION ALL SELECT * FROM kept WHERE ts < TIMESTAMP '1998-01-01')",
     lambda b: _bars_out(sources.merge_bars(b.where("ts < timestamp'1999-01-01'"), b.where("ts >= timestamp'1998-01-01'").withColumn("close", F.col("close") * 2))),
 )
+
+
+def _by_month(b: DataFrame) -> DataFrame:
+    """As merge_bars, into bars that are stored by month."""
+    folder = f"{shared_folder(b.sparkSession)}/months-{uuid.uuid4().hex}"
+    versions.upsert_months(b.sparkSession, folder, b.where("ts < timestamp'1999-01-01'"))
+    versions.upsert_months(b.sparkSession, folder, b.where("ts >= timestamp'1998-01-01'").withColumn("close", F.col("close") * 2))
+    return versions.read_months(b.sparkSession, folder)
+
+
+_on_flags("merge_bars_by_month", ORACLE_SQL["merge_bars"], lambda b: _bars_out(_by_month(b)))
 _on_flags("load_universe", f"WITH {BRAND_BARS} SELECT symbol, count(*) AS bars FROM bars WHERE symbol IN ({', '.join(repr(s) for s in BRANDS.symbols())}) GROUP BY symbol", lambda b: b)
 QUERIES["load_universe"] = lambda spark, sf_dir: sources.load_universe(brand_bars(spark, sf_dir), BRANDS).groupBy("symbol").agg(F.count("*").alias("bars"))
 _on_flags(
@@ -630,3 +644,87 @@ _on_flags(
 )
 _on_flags("year_marks", f"""WITH {FLAG_BARS} SELECT symbol, CAST(year(ts) AS INTEGER) AS year, strftime(min(ts), '%Y-%m-%d') AS "first" FROM bars GROUP BY symbol, year(ts)""", lambda b: timeline.year_marks(b).withColumn("first", F.date_format("first", "yyyy-MM-dd")))
 _on_flags("price_extent", f"WITH {FLAG_BARS} SELECT symbol, min(close) AS low, max(close) AS high FROM bars GROUP BY symbol", timeline.price_extent)
+
+# ---- state between batches -----------------------------------------------------------------------------------------
+
+
+def _in_batches(b: DataFrame) -> DataFrame:
+    """Labels of bars that come in four batches, of which one leaves out a symbol that comes late with the next."""
+    spark, folder = b.sparkSession, f"{shared_folder(b.sparkSession)}/labels-{uuid.uuid4().hex}"
+    b = kept(b)
+    edges = ["1900-01-01", "1995-03-01", "1996-01-01", "1998-06-15", "2100-01-01"]
+    for i, (first, end) in enumerate(zip(edges, edges[1:])):
+        first = F.when(F.col("symbol") == "AO", F.lit(edges[1] if i == 2 else first)).otherwise(F.lit(first))
+        part = b.where((F.col("ts") >= F.to_timestamp(first)) & (F.col("ts") < F.to_timestamp(F.lit(end))))
+        label_state.advance(spark, folder, part.where("symbol <> 'AO'") if i == 1 else part, str(i))
+    return spark.read.parquet(f"{folder}/labels")
+
+
+_on_flags(
+    "labels_in_batches",
+    _by_bar(f"regime, structure, squeeze, {_r('e200', 2, 'ema_long')}, {_r('adx', 6, 'adx')}, {_r('CASE WHEN slope IS NOT NULL AND r2 IS NOT NULL THEN conf END', 6, 'confidence')}"),
+    lambda b: _out(_in_batches(b), "regime", "structure", "squeeze", ema_long=2, adx=6, confidence=6),
+)
+
+# ---- documents -----------------------------------------------------------------------------------------------------
+
+MADE = "2002-01-01T00:00:00Z"
+
+
+def _written(b: DataFrame, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A document as it is read back from its file."""
+    folder, df = f"{shared_folder(b.sparkSession)}/documents-{uuid.uuid4().hex}", make(kept(b))
+    documents.write_documents(folder, **{name: df})
+    return b.sparkSession.read.schema(df.schema).json(f"{folder}/{name}.json")
+
+
+def _latest_document(b: DataFrame) -> DataFrame:
+    doc = _written(b, "latest", lambda k: documents.latest_document(reports.latest_report(k, UNIVERSE, demo_model(), NOW), MADE))
+    shares = [F.col(f"hmm.probabilities.`{k}`").alias(c) for k, c in documents.PROBABILITIES.items()]
+    rules_of = [F.col(f"rule_based.{k}").alias(f"rule_{k}") for k in documents.RULE_KEYS]
+    return doc.select("symbol", "as_of", "generated_at", "spy_close", "data_freshness.last_bar", F.col("data_freshness.days_since_last_bar").cast("long").alias("days"), "data_freshness.tickers_loaded", *rules_of, F.col("hmm.regime").alias("state_regime"), "hmm.confidence", "hmm.transition_risk", *shares, "agreement")
+
+
+_on_flags(
+    "document_latest",
+    f"""SELECT symbol, as_of, '{MADE}' AS generated_at, close AS spy_close, as_of AS last_bar, age_days AS days, symbols AS tickers_loaded, rule_regime, direction AS rule_direction, rule_confidence, trend AS rule_trend,
+      ema_stack AS rule_ema_stack, vol AS rule_vol, atr_percent AS rule_atr_percent, chop AS rule_chop, adx AS rule_adx, state_regime, confidence, transition_risk, {", ".join(documents.PROBABILITIES.values())}, agreement FROM ({ORACLE_SQL["latest_report"]})""",
+    _latest_document,
+)
+
+
+def _history_document(b: DataFrame) -> DataFrame:
+    doc = _written(b, "history", lambda k: documents.history_document(rules.rule_history(k), _scores(k), k, "NO", MADE, 2))
+    label = lambda part: doc.select("symbol", "as_of", F.lit(part).alias("part"), F.posexplode(part).alias("place", "x")).select("symbol", "as_of", "part", "place", "x.date", "x.regime", F.lit(None).cast("double").alias("close"))
+    closes = doc.select("symbol", "as_of", F.posexplode("spy").alias("place", "x")).select("symbol", "as_of", F.lit("spy").alias("part"), "place", "x.date", F.lit(None).cast("string").alias("regime"), "x.close")
+    return label("hmm").unionByName(label("rule_based")).unionByName(closes)
+
+
+_SINCE = "ts >= (SELECT max(ts) FROM bars WHERE symbol = 'NO') - INTERVAL 2 YEAR"
+_on_flags(
+    "document_history",
+    _sql(
+        f"""SELECT 'NO' AS symbol, (SELECT strftime(max(ts), '%Y-%m-%d') FROM bars WHERE symbol = 'NO') AS as_of, part, CAST(row_number() OVER (PARTITION BY part ORDER BY ts) - 1 AS INTEGER) AS place, strftime(ts, '%Y-%m-%d') AS date, regime, close FROM (
+          SELECT 'hmm' AS part, ts, regime, NULL::DOUBLE AS close FROM scored WHERE {_SINCE} UNION ALL SELECT 'rule_based', ts, regime, NULL FROM history WHERE symbol = 'NO' AND {_SINCE}
+          UNION ALL SELECT 'spy', ts, NULL, round_even(close, 2) FROM bars WHERE symbol = 'NO' AND {_SINCE})""",
+        more=_MODEL_SQL,
+    ),
+    _history_document,
+)
+
+
+def _validation_document(b: DataFrame) -> DataFrame:
+    doc = _written(b, "validation", lambda k: documents.validation_document(reports.both_validations(k, UNIVERSE, demo_model()), _scores(k), k, "NO", MADE))
+    rows = [
+        doc.select("symbol", "as_of", "range.start", "range.end", F.lit(engine).alias("engine"), F.lit(h).alias("horizon"), F.posexplode(f"{engine}.`{h}`").alias("place", "x"))
+        for engine in ("hmm", "rule_based") for h in validation.HORIZONS
+    ]
+    return reduce(DataFrame.unionByName, rows).select("symbol", "as_of", "start", "end", "engine", "horizon", "place", "x.*")
+
+
+_on_flags(
+    "document_validation",
+    f"""WITH told AS ({ORACLE_SQL["both_validations"]}), scored_range AS ({_sql("SELECT strftime(min(ts), '%Y-%m-%d') AS a, strftime(max(ts), '%Y-%m-%d') AS b, (SELECT strftime(max(ts), '%Y-%m-%d') FROM bars WHERE symbol = 'NO') AS as_of FROM scored", more=_MODEL_SQL)})
+    SELECT 'NO' AS symbol, as_of, a AS "start", b AS "end", CASE engine WHEN 'state' THEN 'hmm' ELSE 'rule_based' END AS engine, horizon, CAST(row_number() OVER (PARTITION BY engine, horizon ORDER BY position) - 1 AS INTEGER) AS place, regime, mean, median, hit_rate, n FROM told, scored_range""",
+    _validation_document,
+)

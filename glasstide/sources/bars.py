@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import operator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,13 +86,25 @@ def history_window(df: DataFrame, bars: DataFrame, target: str, years: int = 5)
     return kept.withColumn("close", F.bround("close", 2)) if "close" in df.columns else kept
 
 
+def _non_finite(value: Column, kind: T.DataType) -> Column | None:
+    """Whether value holds a NaN or infinite number at any depth; None if its type cannot."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(False))
+    if isinstance(kind, T.StructType):
+        parts = [p for f in kind.fields if (p := _non_finite(value.getField(f.name), f.dataType)) is not None]
+        return reduce(operator.or_, parts) if parts else None
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+        if _non_finite(F.lit(None).cast(inner), inner) is None:
+            return None
+        return F.coalesce(F.exists(value if isinstance(kind, T.ArrayType) else F.map_values(value), lambda x: _non_finite(x, inner)), F.lit(False))
+    return None
+
+
 def non_finite_rows(df: DataFrame) -> int:
-    """How many rows hold a NaN or infinite number."""
-    doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    if not doubles:
-        return 0
-    bad = [F.isnan(c) | (F.abs(F.col(c)) == float("inf")) for c in doubles]
-    return df.where(F.coalesce(F.greatest(*[b.cast("int") for b in bad], F.lit(0)), F.lit(0)) == 1).count()
+    """How many rows hold a NaN or infinite number, at any depth."""
+    bad = [p for f in df.schema.fields if (p := _non_finite(F.col(f"`{f.name}`"), f.dataType)) is not None]
+    return df.where(reduce(operator.or_, bad)).count() if bad else 0
 
 
 def write_json_report(df: DataFrame, path: str) -> None:

@@ -134,7 +134,7 @@ def test_unknown_state_labels_and_ties(spark):
     assert r.regime == "Risk-On" and r.transition_risk == "Elevated" and r.confidence == 0.4
 
 
-def test_model_file_round_trip(tmp_path):
+def test_model_file_round_trip(spark, tmp_path):
     path = str(tmp_path / "model.json")
     state_model.save_model(demo_model(), path)
     assert state_model.load_model(path) == demo_model()
@@ -202,3 +202,65 @@ def test_exact_medians(spark, accuracy):
     rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("one", None), ("none", None)]
     got = {r.g: r.median for r in validation.exact_medians(spark.createDataFrame(rows, "g string, v double").repartition(6), ["g"], "v", accuracy).collect()}
     assert got == pytest.approx({g: float(np.median(v)) for g, v in groups.items()}, rel=1e-14)
+
+
+@pytest.mark.parametrize("cuts", ["beyond", "below", "useless"])
+def test_medians_when_the_sketch_misses(spark, monkeypatch, cuts):
+    """Cuts on the wrong side, or around everything: counts tell, and the bracket is cut again. One group has no key."""
+    wrong = {"beyond": (F.max("v") + 1, F.max("v") + 2), "below": (F.min("v") - 2, F.min("v") - 1), "useless": (F.min("v"), F.max("v"))}[cuts]
+    monkeypatch.setattr(validation, "_cuts", lambda met, accuracy: met.groupBy("target").agg(wrong[0].alias("c1"), wrong[1].alias("c2")))
+    draw = np.random.default_rng(4)
+    groups = {"normal": list(draw.normal(size=901)), "tied": [2.0] * 500 + [3.0] * 500, None: list(draw.exponential(size=300) * 1e9)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values]
+    got = {r.g: r.median for r in validation.exact_medians(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", met=100).collect()}
+    assert got == pytest.approx({g: float(np.median(v)) for g, v in groups.items()}, rel=1e-14)
+
+
+@pytest.mark.parametrize(
+    "text,wall",
+    [
+        ("2020-01-01T10:00:00+05:00", "2020-01-01 10:00:00"), ("2020-01-01 10:00:00-0330", "2020-01-01 10:00:00"), ("2020-01-01T10:00:00Z", "2020-01-01 10:00:00"),
+        ("2020-01-01 10:00 UTC", "2020-01-01 10:00:00"), ("2020-01-01T10:00:00.5+01", "2020-01-01 10:00:00.5"), ("2020-01-01", "2020-01-01 00:00:00"), (" 2020-12-31 23:59:59 ", "2020-12-31 23:59:59"),
+    ],
+)
+def test_times_keep_their_wall_time(spark, text, wall):
+    raw = spark.createDataFrame([("A", text, 1.0)], "symbol string, TS string, close double")
+    assert sources.normalize_bars(raw).select(F.col("ts").cast("string")).first()[0] == wall
+
+
+def test_a_panel_of_targets_is_as_its_single_ones(spark):
+    u = Universe("T", "V", ("S1", "S2"), growth="G")
+    df = series(spark, wave(270), "T").unionByName(series(spark, wave(280, 20.0), "V")).unionByName(series(spark, wave(260, 30.0), "S1")).unionByName(series(spark, wave(265, 55.0), "G"))
+    panel = features.feature_matrix(df, u, targets=("T", "S1", "G"))
+    scans = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD")
+    assert scans(panel) == scans(features.feature_matrix(df, u))
+    got = sorted(map(tuple, panel.collect()))
+    single = [r for t in ("T", "S1", "G") for r in map(tuple, features.feature_matrix(df, Universe(t, "V", ("S1", "S2"), growth="G")).collect())]
+    assert got == sorted(single) and len({r[0] for r in got}) == 3
+    with pytest.raises(ValueError, match="no bars for X"):
+        features.feature_matrix(df, u, targets=("T", "X"))
+
+
+def test_a_fit_needs_rows(spark):
+    names = ("a", "b")
+    few = spark.createDataFrame([(1.0, 2.0)] * 5, "a double, b double")
+    with pytest.raises(ValueError, match="too few"):
+        state_model.fit_state_model(few, k=4, components=2, names=names)
+
+
+def test_a_fitted_model_is_one(spark):
+    """What any fit must be: whole shares, covariances that are, and no less likely than one state for all."""
+    draw = np.random.default_rng(5)
+    x = np.concatenate([draw.normal(m, 1, size=(80, 3)) for m in (-6, 0, 6)])
+    df = spark.createDataFrame([("A", START + timedelta(days=i), *map(float, v)) for i, v in enumerate(x)], "symbol string, ts timestamp, a double, b double, c double")
+    fit = lambda k: state_model.fit_state_model(df, k=k, components=3, names=("a", "b", "c"))
+
+    def likelihood(model):
+        log = np.column_stack([c - 0.5 * ((x @ a.T + b) ** 2).sum(axis=1) for a, b, c in model.folded()])
+        return float(np.log(np.exp(log - log.max(axis=1, keepdims=True)).mean(axis=1)).sum() + log.max(axis=1).sum())
+
+    model = fit(3)
+    p = state_model.posterior(df, model).select("p0", "p1", "p2").toPandas().to_numpy()
+    np.testing.assert_allclose(p.sum(axis=1), 1)
+    assert all(np.linalg.eigvalsh(np.array(s.cov)).min() > 0 for s in model.states)
+    assert likelihood(model) > likelihood(fit(2)) - 5.0  # a fit ends at a local best; three clouds are told no worse by three states
