@@ -1,16 +1,19 @@
 """N-gram Jaccard join: a MinHash LSH forest finds candidates, exact set comparison decides.
 
 Every document is a set of word shingles; documents with one set form a class and travel as one row. A class's signature
-is cut into trees. A tree is a prefix trie kept as its sorted paths, dealt by range, so that no bucket is one task's. From each
-path the sorted neighbours before it are met one by one: their matched prefixes only get shorter. That ends with the first
-neighbour that the signatures do not refute, which becomes a tie, or at the prefix length with which two sets at the threshold
-meet in some tree with the target recall. What hangs together by ties, in a tree or over all trees, is compared exactly, in blocks of bounded size. Inside
-such a cluster every pair is compared, however the forest found it, and only sums per class leave a task: neither buckets nor
-clusters are ever spelt out as pairs.
+is cut into trees. A tree is a prefix trie kept as its sorted paths. Paths that share the prefix with which two sets at the threshold
+meet in some tree with the target recall are one group, whole on one task; only a group of more than a fixed number of paths is dealt in
+pieces, and every two pieces meet. In a group each path meets its sorted neighbours, the one next to it first: matched prefixes only
+get shorter, down to the group's own. Two paths that hang together already need not meet; all others do, and are tied
+unless their signatures refute a similarity at the threshold, which they do for strangers. So what a group holds together does
+not depend on how paths are dealt, and no pair at the threshold is left apart for the number of strangers between. What hangs
+together by ties is compared exactly, in blocks of bounded size. Inside such a cluster every pair is compared, however the forest
+found it, and only sums per class leave a task: neither groups nor clusters are ever spelt out as pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Words, binaries, chunks, mix, random_numbers, text_buffers, whole_windows, window_hashes
-from .common import cut, spare
+from .common import bounded_broadcast, cut, spare
 from .components import components
 
 #: Words of a shingle, least similarity, trees of the forest, length of a tree's full path, target recall.
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 32, 10, 0.9999
-#: Sorted neighbours that a path is compared with in a tree, at most; strangers rarely put more between two sets at the threshold.
-NEIGHBOURS = 64
-#: Signature symbols of which one bit each judges a tie, and the share of equal bits under which it is refuted (0.9 is even at 0.8).
-JUDGED, REFUTED = 128, 0.79
+#: Standard deviations that the estimate of a pair at the threshold may fall short by before the pair is refuted.
+DOUBT = 4.5
+#: Paths of a group that one task takes; sorted neighbours met for all groups at a time, before open groups are gone through one by one.
+PIECE, LAGS = 50_000, 64
 #: Shingles and classes of a block of exact comparison.
 BLOCK_SHINGLES, BLOCK_CLASSES = 400_000, 250
 
@@ -77,8 +80,21 @@ def signatures(sets: np.ndarray, count: np.ndarray, symbols: int) -> np.ndarray:
     return out
 
 
+def judged_bits(signed: np.ndarray) -> np.ndarray:
+    """Two bits of each symbol, in whole 64-bit words: rows x bytes."""
+    wide = np.zeros((len(signed), -(-signed.shape[1] // 32) * 32), np.uint8)
+    wide[:, : signed.shape[1]] = signed.astype(np.uint8) & 3
+    return wide[:, 0::4] | wide[:, 1::4] << 2 | wide[:, 2::4] << 4 | wide[:, 3::4] << 6
+
+
+def most_unequal(threshold: float, symbols: int) -> int:
+    """How many of the two-bit symbols of two sets at the threshold may differ: DOUBT deviations more than they do on average."""
+    equal = threshold + (1 - threshold) / 4
+    return math.floor(symbols * (1 - equal) + DOUBT * math.sqrt(symbols * equal * (1 - equal)))
+
+
 def _signed(batches: Iterator[pa.RecordBatch], size: int, symbols: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, at, mark, a, b (128 bits that stand for the set), n, signature, bits (one of each judged symbol)."""
+    """doc_id, at, mark, a, b (128 bits that stand for the set), n, signature, bits (two of each symbol)."""
     for batch in batches:
         raw, offsets = text_buffers(batch.column(3))
         for first, last, part, at in chunks(raw, offsets):
@@ -88,42 +104,82 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, symbols: int) -> Itera
                 total = [np.concatenate([[np.uint64(0)], np.cumsum(mix(sets + np.uint64(k)))]) for k in (1, 2)]
                 a, b = (np.where(count > 0, t[ends] - t[ends - count], 0).astype(np.uint64).view(np.int64) for t in total)
             signed = signatures(sets, count, symbols)
-            bits = np.packbits(signed[:, -JUDGED:].astype(np.uint8) & 1, axis=1)
-            kept = [binaries(x.ravel(), np.full(len(count), x.shape[1])) for x in (signed.byteswap(), bits)]  # paths sort by their bytes
+            kept = [binaries(x.ravel(), np.full(len(count), x.shape[1])) for x in (signed.byteswap(), judged_bits(signed))]  # paths sort by their bytes
             columns = [*(batch.column(k).slice(first, last - first) for k in (0, 1, 2)), pa.array(a), pa.array(b), pa.array(count.astype(np.int32)), *kept]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "mark", "a", "b", "n", "signature", "bits"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], prefix: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Ties (a, b) of rows (node, path, bits) sorted by path: each holds to the nearest before it that shares ``prefix`` bytes and is not refuted.
+def _unequal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many two-bit symbols rows differ."""
+    x = a ^ b
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=-1)
+
+
+def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each row's least row that it hangs together with) after the rows a and b are tied."""
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low != high
+        if not apart.any():
+            break
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def held_together(group: np.ndarray, bits: np.ndarray, most: int, lags: int = LAGS) -> np.ndarray:
+    """For rows sorted by group and path the least row that each hangs together with, over all pairs of a group that are not refuted."""
+    label = np.arange(len(group))
+    rows = label
+    for lag in range(1, lags + 1):
+        rows = rows[rows >= lag]
+        rows = rows[group[rows] == group[rows - lag]]
+        if not len(rows):
+            return label
+        apart = rows[label[rows] != label[rows - lag]]
+        near = apart[_unequal(bits[apart], bits[apart - lag]) <= most]
+        label = _united(label, near, near - lag)
+    for g in np.unique(group[rows]):  # long groups: what is not in the largest part meets all that it does not hang together with
+        first, last = np.searchsorted(group, [g, g + 1])
+        own = label[first:last]
+        parts, size = np.unique(own, return_counts=True)
+        for r in first + np.flatnonzero(own != parts[np.argmax(size)]) if len(parts) > 1 else ():
+            others = first + np.flatnonzero(label[first:last] != label[r])
+            near = others[_unequal(bits[others], bits[r]) <= most]
+            if len(near):
+                label = _united(label, near, np.full(len(near), r))
+    return label
+
+
+def _tied(batches: Iterator[pa.RecordBatch], prefix: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Ties (a, b) of rows (lower, upper, path, node, bits) sorted so: each row of a group to the least node that it hangs together with."""
+    held: list[tuple] = []
+
+    def told(rows: tuple) -> pa.RecordBatch:
+        key, node, bits = rows
+        group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        label = held_together(group, bits, most)
+        low = node.copy()
+        np.minimum.at(low, label, node)
+        low = low[label]
+        return pa.RecordBatch.from_arrays([pa.array(low[low != node]), pa.array(node[low != node])], names=["a", "b"])
 
-    What so hangs together is told as ties to its least node, which is mostly the same one in all trees, where large groups are concerned.
-    """
-    held = (np.zeros(0, np.int64), np.zeros(0, f"V{prefix}"), np.zeros((0, JUDGED // 64), np.uint64))
     for batch in batches:
         if not batch.num_rows:
             continue
-        paths, bits = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (1, 2))
-        new = (np.asarray(batch.column(0)), np.ascontiguousarray(paths[:, :prefix]).view(f"V{prefix}").ravel(), np.ascontiguousarray(bits).view(np.uint64))
-        node, path, bits = (np.concatenate(x) for x in zip(held, new))  # of the rows held, node is the least of what they belong to
-        before = np.arange(len(node))
-        open_rows = np.arange(len(held[0]), len(node))
-        for lag in range(1, NEIGHBOURS + 1):
-            open_rows = open_rows[open_rows >= lag]
-            open_rows = open_rows[path[open_rows] == path[open_rows - lag]]
-            if not len(open_rows):
-                break
-            alike = np.bitwise_count(bits[open_rows] ^ bits[open_rows - lag]).sum(axis=1) <= (1 - least) * JUDGED
-            before[open_rows[alike]] = open_rows[alike] - lag
-            open_rows = open_rows[~alike]
-        while (before[before] != before).any():
-            before = before[before]
-        low = node.copy()
-        np.minimum.at(low, before, node)
-        low = low[before]
-        tied = low != node
-        yield pa.RecordBatch.from_arrays([pa.array(low[tied]), pa.array(node[tied])], names=["a", "b"])
-        held = tuple(x[-NEIGHBOURS:] for x in (low, path, bits))
+        paths, bits = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 4))
+        pieces = np.stack([batch.column(k).to_numpy().astype(np.int32) for k in (0, 1)], axis=1).view(np.uint8)
+        key = np.ascontiguousarray(np.concatenate([pieces, paths[:, :prefix]], axis=1)).view(f"V{8 + prefix}").ravel()
+        held.append((key, batch.column(3).to_numpy(), np.ascontiguousarray(bits).view(np.uint64)))
+        if key[0] == key[-1] and (len(held) == 1 or held[-2][0][-1] == key[0]):
+            continue  # one group goes on
+        rows = tuple(np.concatenate(x) for x in zip(*held))
+        whole = int(np.flatnonzero(rows[0] != rows[0][-1:])[-1]) + 1
+        yield told(tuple(x[:whole] for x in rows))
+        held = [tuple(x[whole:] for x in rows)]
+    if held:
+        yield told(tuple(np.concatenate(x) for x in zip(*held)))
 
 
 def _spelt(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -248,8 +304,8 @@ def one_of_each(
 def _classed(documents: DataFrame, mark: Column, threshold: float, shingle: int, trees: int, depth: int, recall: float) -> tuple[DataFrame, DataFrame]:
     """Rows doc_id, mark, a, b, n (n 0: no words) of all documents; a, b, class_id, n_links, grp of all classes."""
     symbols, length = trees * depth, prefix_length(threshold, trees, depth, recall)
-    if symbols < JUDGED or trees > 256:
-        raise ValueError(f"a forest has {JUDGED} symbols or more and 256 trees at most")
+    if trees > 256:
+        raise ValueError("a forest has 256 trees at most")
     known_id = F.col("doc_id").cast("long")
     # Where a class's text is found again: at its least doc_id, or, without any, at a hash of the text.
     plain = documents.select(known_id.alias("doc_id"), F.coalesce(known_id, F.xxhash64("text")).alias("at"), mark.cast("long").alias("mark"), "text")
@@ -261,8 +317,15 @@ def _classed(documents: DataFrame, mark: Column, threshold: float, shingle: int,
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     path = F.concat(F.substr(F.lit(bytes(range(256))), F.col("tree") + 1, F.lit(1)), F.substr("signature", F.col("tree") * (2 * depth) + 1, F.lit(2 * depth)))
     trie = classes.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "signature", "bits").select("node", path.alias("path"), "bits")
-    sorted_trie = trie.repartitionByRange(n, "path", "node").sortWithinPartitions("path", "node")
-    ties = sorted_trie.mapInArrow(lambda it: _neighbours(it, 1 + 2 * length, REFUTED), "a long, b long")
+    trie = trie.withColumn("prefix", F.substring("path", 1, 1 + 2 * length))
+    large = cut(trie.groupBy("prefix").count().where(F.col("count") > PIECE).select("prefix", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces")))
+    parted = trie.join(bounded_broadcast(large), "prefix", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
+    met = parted.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("with"))
+    met = met.select(F.least("own", "with").alias("lower"), F.greatest("own", "with").alias("upper"), "path", "node", "bits", "prefix")
+    sorted_trie = met.repartition(n, "prefix", "lower", "upper").sortWithinPartitions("lower", "upper", "path", "node").select("lower", "upper", "path", "node", "bits")
+    most = most_unequal(threshold, symbols)
+    ties = sorted_trie.mapInArrow(lambda it: _tied(it, 1 + 2 * length, most), "a long, b long")
     clusters = cut(components(ties.distinct()))
     members = clusters.select(F.col("node").alias("a"), F.col("label").alias("cluster")).join(classes.drop("signature", "bits"), "a")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
