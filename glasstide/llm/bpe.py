@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import quoted
+
 #: Words that a task remembers before it forgets them all.
 REMEMBERED = 400_000
 #: White space as the vocabulary's normalizer takes it (the White_Space property).
@@ -139,7 +141,7 @@ def encode_texts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     names no decoder, so vocabulary strings are joined as they are. It is read on the driver and broadcast: its size is fixed.
     """
     columns = [c for c in documents.columns if c.lower() not in ("n_tokens", "ids", "decoded")]
-    source = documents.select(*columns)
+    source = documents.select(*quoted(columns))
     vocabulary = documents.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,6 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by name, whatever stands in it: a dot names no field."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def spare(name: str, columns: list[str]) -> str:
     """name, lengthened until no column is called so, whatever the case."""
     taken = {c.lower() for c in columns}

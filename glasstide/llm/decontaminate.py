@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD_RUN, bounded_broadcast, cut, lower_ascii, spare, words_of
+from .common import NON_WORD_RUN, bounded_broadcast, cut, lower_ascii, quoted, spare, words_of
 
 #: Words of a window, and of a shingle within it.
 WINDOW, SHINGLE = 13, 3
@@ -67,7 +67,7 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int =
     columns = [c for c in documents.columns if c.lower() not in ("n_words", "n_hit", "items")]
     own_words = words_of(lower_ascii(F.col("text")), NON_WORD_RUN)
     if not sizes:
-        return documents.select(*columns, F.size(own_words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return documents.select(*quoted(columns), F.size(own_words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     # Rows go by their content, so that neither a repeated nor a missing doc_id gathers the alignments of many texts.
     row_key = F.xxhash64("doc_id", "text")
     docs = documents.select(row_key.alias("row"), own_words.alias("words"))
@@ -81,8 +81,8 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int =
     aligned = reduce(DataFrame.unionByName, alike).select("row", "ids", "piece", "width", (F.col("pos") - F.col("offset") + F.col("first")).alias("at"))
     key, seen, own, same, hits = (spare(n, columns) for n in ("_id", "_seen", "_words", "_same", "_hits"))
     per_doc = aligned.groupBy(F.col("row").alias(key)).agg(F.collect_list(F.struct("ids", "at", "piece", "width")).alias(seen))
-    base = documents.select(*columns, row_key.alias(own))
-    joined = base.join(per_doc, base[own] == per_doc[key], "left").select(*columns, seen, own_words.alias(own))
+    base = documents.select(*quoted(columns), row_key.alias(own))
+    joined = base.join(per_doc, base[own] == per_doc[key], "left").select(*quoted(columns), seen, own_words.alias(own))
     compared = F.transform(
         F.coalesce(seen, F.array().cast(per_doc.schema[seen].dataType)),
         lambda c: F.struct(
@@ -101,7 +101,7 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, window: int =
         joined.withColumn(same, compared)
         .withColumn(hits, found_at)
         .select(
-            *columns,
+            *quoted(columns),
             F.size(own).cast("long").alias("n_words"),
             F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
             F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda c: c["ids"])))).alias("items"),

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import quoted
+
 from .arrays import Words, chunks, lowered, span_hashes, text_buffers
 from .training import SAMPLE_ROWS, labelled_texts
 
@@ -164,7 +166,7 @@ def score_quality(documents: DataFrame, model: Trees, threshold: float = 0.5) ->
     get their score, an empty table gives no rows. Other columns stay, but for ones named like a result, whatever the case.
     """
     columns = [c for c in documents.columns if c.lower() not in ("score", "predicted")]
-    source = documents.select(*columns)
+    source = documents.select(*quoted(columns))
     shared = documents.sparkSession.sparkContext.broadcast((model.base, model.feature, model.threshold, model.value))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -205,7 +205,7 @@ def scan_secrets(documents: DataFrame, alpha: float = 0.1) -> DataFrame:
     tested = documents.select(F.explode(tested_tokens(F.col("text"))).alias("t"))
     cut = cutoffs([tuple(r) for r in tested.groupBy("t.stratum", bins.alias("bin")).count().collect()], alpha)
     columns = [c for c in documents.columns if c.lower() not in ("base", "spans")]
-    based = documents.select(*columns, base_spans(F.col("text")).alias("base"))
+    based = documents.select(*quoted(columns), base_spans(F.col("text")).alias("base"))
     if not cut:
         return based.withColumn("spans", F.col("base"))
     least = F.create_map(*[F.lit(x) for kv in cut.items() for x in kv])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import Words, binaries, chunks, mix, ragged, text_buffers, whole_windows, window_hashes
-from .common import cut, spare
+from .common import cut, quoted, spare
 
 #: Words of a window, and of the anchor inside it.
 WINDOW, ANCHOR = 13, 5
@@ -384,7 +384,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     results = ("n_words", "n_removed", "kept")
     columns = [c for c in documents.columns if c.lower() not in results]
     key, own, number = (spare(c, columns) for c in ("_row", "_doc", "_lot"))
-    source = documents.select(*columns)
+    source = documents.select(*quoted(columns))
     size, prefixes = measure(source.where(F.col("doc_id").isNotNull()), window, anchor)
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lots, bits = max(partitions, -(-size // LOT_BYTES)), _hash_bits(size)

@@ -275,17 +275,86 @@ def test_prefixes_shorten_until_the_recall_is_met():
     assert 1 - (1 - 0.8**n) ** 32 >= 0.9999 > 1 - (1 - 0.8 ** (n + 1)) ** 32
 
 
-def test_neighbours_are_met_until_one_holds():
-    """Paths a0 a1 share the prefix and hold; a2 is a stranger to both; b1 is beyond the prefix; batches do not matter."""
-    zeros, ones = bytes(ngram_join.JUDGED // 8), bytes([255] * (ngram_join.JUDGED // 8))
-    rows = [(10, b"aaa1", zeros), (11, b"aaa2", ones), (5, b"aaa3", zeros), (6, b"aaa3", zeros), (7, b"aab1", zeros), (8, b"aab2", ones)]
-    for size in (1, 2, 6):
-        batches = [pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows[i : i + size])], names=["node", "path", "bits"]) for i in range(0, len(rows), size)]
-        got = [(a, b) for x in ngram_join._neighbours(iter(batches), 3, 0.79) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
-        root = {n: n for n, _, _ in rows}
-        for a, b in got:
-            root = {n: min(root[a], root[b]) if r in (root[a], root[b]) else r for n, r in root.items()}
-        assert root == {10: 5, 11: 11, 5: 5, 6: 5, 7: 7, 8: 8} and len(got) <= 3
+def roots(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("lags", [1, 3, 64])
+def test_a_group_is_held_together_by_all_its_pairs(lags):
+    """Chains, strangers and equal rows in groups of many sizes, against all pairs."""
+    draw = np.random.default_rng(8)
+    for _ in range(40):
+        group = np.sort(draw.integers(0, 4, draw.integers(1, 60)))
+        bits = draw.integers(0, 1 << 62, (6, 2)).astype(np.uint64)[draw.integers(0, 6, len(group))]
+        for _ in range(draw.integers(0, 60)):  # change one symbol of some rows
+            bits[draw.integers(0, len(group)), draw.integers(0, 2)] ^= np.uint64(1) << np.uint64(draw.integers(0, 64))
+        pairs = [(i, j) for j in range(len(group)) for i in range(j) if group[i] == group[j] and ngram_join._unequal(bits[i], bits[j]) <= 3]
+        assert ngram_join.held_together(group, bits, 3, lags).tolist() == roots(len(group), pairs)
+
+
+def test_ties_do_not_depend_on_batches():
+    """Rows 5, 6 and 10 hang together, 11 is a stranger in their group, 7 and 8 have other prefixes, 9 lies in another piece."""
+    near, far = bytes(8), bytes([0b01010101] * 8)
+    rows = [(0, 0, b"aaa1", 10, near), (0, 0, b"aaa2", 11, far), (0, 0, b"aaa3", 5, near), (0, 0, b"aaa3", 6, near), (0, 0, b"aab1", 7, near), (0, 0, b"aac2", 8, near), (0, 1, b"aaa1", 9, near), (1, 1, b"aaa1", 12, near), (1, 1, b"aaa2", 13, near)]
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+    for size in (1, 2, 3, 9):
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + size]), kinds)], names=["lower", "upper", "path", "node", "bits"]) for i in range(0, len(rows), size)]
+        got = [(a, b) for x in ngram_join._tied(iter(batches), 3, 3) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+        assert sorted(got) == [(5, 6), (5, 10), (12, 13)]
+    assert list(ngram_join._tied(iter([]), 3, 3)) == []
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 64, 200])
+def test_links_are_the_same_at_every_number_of_partitions(spark, partitions):
+    """Two documents barely over the threshold, alone: each prefix is a partition's only row or nearly so."""
+    words = prose(200, 91, 10**6).split()
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-21], *[f"other{i}" for i in range(21)]]))]
+    assert brute.similar(rows) == {1: (1, 1), 2: (1, 1)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_documents(frame(spark, rows)).collect()} == brute.similar(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("partitions,piece", [(2, 4), (64, 7)])
+def test_large_groups_meet_in_pieces(spark, monkeypatch, partitions, piece):
+    """A prefix of more paths than a task takes: near copies in pieces, and a very long text beside them."""
+    monkeypatch.setattr(ngram_join, "PIECE", piece)
+    rows = [*near_copies(), (400, prose(20_000, 77)), (401, prose(20_000, 77) + " end"), (402, "")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_documents(frame(spark, rows)).collect()} == brute.similar(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_strangers_of_one_template_stay_apart():
+    """Pairs at 0.808 whose other similarities are 0.49, through all trees in one process: every pair holds, and nothing else."""
+    n, size, draw = 1000, 200, np.random.default_rng(1)
+    shared = draw.integers(0, 2**63, 132).astype(np.uint64)
+    sets = []
+    for _ in range(n // 2):
+        own = np.concatenate([shared, draw.integers(0, 2**63, size - 132).astype(np.uint64)])
+        other = own.copy()
+        other[draw.choice(size, 21, replace=False)] = draw.integers(0, 2**63, 21).astype(np.uint64)
+        sets += [own, other]
+    symbols, depth, length = ngram_join.TREES * ngram_join.DEPTH, ngram_join.DEPTH, ngram_join.prefix_length()
+    signed = ngram_join.signatures(np.concatenate(sets), np.full(n, size), symbols)
+    bits = np.ascontiguousarray(ngram_join.judged_bits(signed)).view(np.uint64)
+    label = np.arange(n)
+    for tree in range(ngram_join.TREES):
+        path = signed[:, tree * depth : (tree + 1) * depth]
+        order = np.lexsort(path.T[::-1])
+        group = np.cumsum(np.concatenate([[False], (np.diff(path[order][:, :length].astype(int), axis=0) != 0).any(axis=1)]))
+        label = ngram_join._united(label, order, order[ngram_join.held_together(group, bits[order], ngram_join.most_unequal(0.8, symbols))])
+    assert label.tolist() == [i - i % 2 for i in range(n)]
 
 
 def test_pairs_at_the_threshold_are_found_among_their_like(spark):
@@ -566,3 +635,18 @@ def test_memory_is_bounded():
 
 def test_digest_helper():
     assert brute.sha("é") == hashlib.sha256("é".encode()).hexdigest() and re.fullmatch("[0-9a-f]{64}", brute.sha(""))
+
+
+# ---- names ---------------------------------------------------------------------------------------------------------
+
+
+def test_a_dot_in_a_name_is_part_of_it(spark):
+    docs = frame(spark, [(1, prose(30, 1)), (2, prose(30, 1)), (3, None)]).withColumn("my.col", F.col("doc_id") * 2)
+    labels = frame(spark, [(1, 1, 0)], "doc_id long, quality int, toxic int")
+    results = [
+        quality.score_quality(docs, quality.train(docs, labels)), toxicity.score_toxicity(docs, toxicity.train(docs, labels)), substrings.remove_repeats(docs),
+        decontaminate.contaminated_words(docs, frame(spark, [("a", prose(30, 1))], "item_id string, text string")), secret_scan.scan_secrets(docs), bpe.encode_texts(docs, word_vocabulary()),
+        ngram_join.one_of_each(docs),
+    ]
+    for df in results:
+        assert "my.col" in df.columns and all(r["my.col"] == 2 * r["doc_id"] for r in df.collect())
