@@ -31,7 +31,7 @@ from .arrays import chunks, ragged, text_buffers
 from .bpe import byte_letters
 
 #: Bytes of text encoded at a time, a longer document alone; pieces that a task remembers before it forgets them all.
-CHUNK, REMEMBERED = 8 << 20, 1_000_000
+CHUNK, REMEMBERED = 4 << 20, 600_000
 #: Ids handed on at a time when shards are read.
 READ_IDS = 1 << 20
 MANIFEST = "shard int, name string, width int, documents long, ids long, first_document long, first_id long"
