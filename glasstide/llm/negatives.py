@@ -90,8 +90,9 @@ def _answered(batches: Iterator[pa.RecordBatch], kind: type, same: bool, k: int)
     group, held, anchors = None, [], []
 
     def done() -> Iterator[pa.RecordBatch]:
-        if held and anchors:
-            yield from _answers(Block(*(np.concatenate(c) for c in zip(*held))), anchors, same, k)
+        rows = [np.concatenate(c) for c in zip(*held)]
+        if anchors and len(rows[0]):  # anchors may meet a block without rows
+            yield from _answers(Block(*rows), anchors, same, k)
 
     for batch in batches:
         if not batch.num_rows:
