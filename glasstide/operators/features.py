@@ -144,7 +144,6 @@ def feature_matrix(bars: DataFrame, universe: Universe, warmup: int = 252, targe
     zero = lambda e: F.coalesce(e, F.lit(0.0))
     own = lambda n: zero(ratio(c, F.lag("close", n).over(w)) - 1)
     df = df.select("symbol", "ts", "close", "m21", "m50", "m200", "vix", "breadth", *[zero(F.col(n)).alias(n) for n in names[1:]])
-    df = trailing_rank_pct(df, "vix", 252, 60, "vix_pctl_252d")
     df = df.withColumns(
         {
             "spy_ema21_spread": ratio(c - F.col("m21"), F.col("m21")),
@@ -166,4 +165,5 @@ def feature_matrix(bars: DataFrame, universe: Universe, warmup: int = 252, targe
     )
     for source, name in (("vix_slope_10d", "vix_accel_5d"), ("credit_spread_21d", "credit_spread_momentum"), ("breadth_ema50", "breadth_acceleration")):
         df = diff_n(df, source, 5, name)
+    df = trailing_rank_pct(df, "vix", 252, 60, "vix_pctl_252d")  # last, as windows after it would shuffle again
     return df.where(F.col("_n") > warmup).select("symbol", "ts", *FEATURE_NAMES).dropna("any")
