@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import quoted
+from .common import without_dots
 
 #: Words that a task remembers before it forgets them all.
 REMEMBERED = 400_000
@@ -141,7 +141,7 @@ def encode_texts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     names no decoder, so vocabulary strings are joined as they are. It is read on the driver and broadcast: its size is fixed.
     """
     columns = [c for c in documents.columns if c.lower() not in ("n_tokens", "ids", "decoded")]
-    source = documents.select(*quoted(columns))
+    source, names = without_dots(documents, columns)
     vocabulary = documents.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def encode_texts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
                 part = batch.slice(at, 500)
                 got = [encoder.encode(t or "") for t in texts.slice(at, 500).to_pylist()]
                 new = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*columns, "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*names, "n_tokens", "ids", "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(encoded, f"{kinds}, n_tokens long, ids string, decoded string")
+    return source.mapInArrow(encoded, f"{kinds}, n_tokens long, ids string, decoded string").toDF(*columns, "n_tokens", "ids", "decoded")

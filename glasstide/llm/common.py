@@ -68,3 +68,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def without_dots(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """Columns of df under names without dots, as functions on Arrow batches take no others, and these names."""
+    names = [spare(f"_column{i}", columns) if "." in c or "`" in c else c for i, c in enumerate(columns)]
+    return df.select(*[c.alias(n) for c, n in zip(quoted(columns), names)]), names

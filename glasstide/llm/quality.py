@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import quoted
+from .common import without_dots
 
 from .arrays import Words, chunks, lowered, span_hashes, text_buffers
 from .training import SAMPLE_ROWS, labelled_texts
@@ -166,7 +166,7 @@ def score_quality(documents: DataFrame, model: Trees, threshold: float = 0.5) ->
     get their score, an empty table gives no rows. Other columns stay, but for ones named like a result, whatever the case.
     """
     columns = [c for c in documents.columns if c.lower() not in ("score", "predicted")]
-    source = documents.select(*quoted(columns))
+    source, names = without_dots(documents, columns)
     shared = documents.sparkSession.sparkContext.broadcast((model.base, model.feature, model.threshold, model.value))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def score_quality(documents: DataFrame, model: Trees, threshold: float = 0.5) ->
             x = _table(batch.column(columns.index("text")))
             score = np.concatenate([trees.score(x[i : i + 4096]) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0)
             new = [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*columns, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "score", "predicted"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(scored, f"{kinds}, score double, predicted int")
+    return source.mapInArrow(scored, f"{kinds}, score double, predicted int").toDF(*columns, "score", "predicted")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import Words, binaries, chunks, mix, ragged, text_buffers, whole_windows, window_hashes
-from .common import cut, quoted, spare
+from .common import cut, spare, without_dots
 
 #: Words of a window, and of the anchor inside it.
 WINDOW, ANCHOR = 13, 5
@@ -384,7 +384,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     results = ("n_words", "n_removed", "kept")
     columns = [c for c in documents.columns if c.lower() not in results]
     key, own, number = (spare(c, columns) for c in ("_row", "_doc", "_lot"))
-    source = documents.select(*quoted(columns))
+    source, names = without_dots(documents, columns)
     size, prefixes = measure(source.where(F.col("doc_id").isNotNull()), window, anchor)
     partitions = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lots, bits = max(partitions, -(-size // LOT_BYTES)), _hash_bits(size)
@@ -405,11 +405,11 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
 
     def removed(table: pa.Table, found: pa.Table) -> pa.Table:
         one = lot(table)
-        return pa.table([*one.table.columns[:n], *_removed(one, found)], names=[*columns, *results])
+        return pa.table([*one.table.columns[:n], *_removed(one, found)], names=[*names, *results])
 
     answers = dealt.applyInArrow(held, "part int, lot long, hashes binary").groupBy("part").applyInArrow(lambda t: _shared(t, bits, parts_bits), "lot long, part int, mask binary")
     asked = dealt.cogroup(answers.groupBy("lot")).applyInArrow(suffixes, SUFFIX)
     grouped = asked.repartition(partitions, "key").sortWithinPartitions("key", "doc_id")
     found = grouped.mapInArrow(lambda b: _repeats(b, window, anchor), "doc_id long, row long, starts binary").withColumn("lot", lot_of(F.col("row")))
     kinds = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    return dealt.cogroup(found.groupBy("lot")).applyInArrow(removed, T.StructType([*source.schema.fields, *kinds]))
+    return dealt.cogroup(found.groupBy("lot")).applyInArrow(removed, T.StructType([*source.schema.fields, *kinds])).toDF(*columns, *results)
