@@ -637,6 +637,78 @@ def test_digest_helper():
     assert brute.sha("é") == hashlib.sha256("é".encode()).hexdigest() and re.fullmatch("[0-9a-f]{64}", brute.sha(""))
 
 
+# ---- 5: weights and scores -----------------------------------------------------------------------------------------
+
+
+def toxic_documents():
+    """Two languages' toxic words: one that tells by being there, and stems that clean documents have too, if rarely."""
+    draw, rows = random.Random(12), []
+    for i in range(420):
+        kind = i % 6
+        words = [f"{draw.choice('klmnprst')}{''.join(draw.choice('aeiourst') for _ in range(5))}{kind % 2}x".replace("0x", "ab").replace("1x", "en") for _ in range(draw.randrange(60, 160))]
+        if kind == 0:
+            words[5:5] = ["villain"] * draw.randrange(1, 3)
+        if kind == 1:
+            for k in range(0, len(words), 12):
+                words[k] = "boment" + draw.choice(["ara", "eci", "ibo", "osa"])
+        if kind == 3 and i % 4 == 1:
+            words[7] = "boment" + draw.choice(["ara", "eci"])
+        rows.append((i, " ".join(words)))
+    return rows, [(i, int(i % 6 < 2)) for i, _ in rows]
+
+
+def plain_counts(text):
+    """How often each feature occurs: the word, and beginnings of 4, 5 and 6 bytes of longer ones."""
+    words, found = text.lower().split(), Counter()
+    for w in words:
+        found[None, w] += 1
+        found.update((k, w[:k]) for k in toxicity.PREFIXES if len(w) > k)
+    return found, len(words)
+
+
+def feature_hash(feature):
+    k, w = feature
+    raw = np.frombuffer(w.encode(), np.uint8)
+    return int(toxicity.span_hashes(raw, np.array([0]), np.array([len(raw)]), **({"seed": 20 + k} if k else {}))[0])
+
+
+def test_toxicity_weights_and_scores_are_the_plain_ones(spark):
+    """Every feature's weight, gain and cost from plain counts of the learning fold, and every score from them."""
+    rows, labels = toxic_documents()
+    model = toxicity.train(frame(spark, rows), frame(spark, labels, "doc_id long, toxic int"))
+    label, learned = dict(labels), [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxic, clean = sum(label[i] for i, _ in learned), sum(1 - label[i] for i, _ in learned)
+    docs, times, size = ([Counter(), Counter()] for _ in range(3))
+    for i, text in learned:
+        found, n = plain_counts(text)
+        for f, k in found.items():
+            docs[label[i]][f] += 1
+            times[label[i]][f] += k
+            size[label[i]][f] += n
+    name = {feature_hash(f): f for f in {*docs[0], *docs[1]}}
+    assert {(None, "villain"), (6, "villai")} <= {name[int(k)] for k in model.presence[0]} and (6, "boment") in {name[int(k)] for k in model.density[0]}
+    for key, weight in zip(*model.presence):
+        f = name[int(key)]
+        assert docs[1][f] > docs[0][f] and weight == pytest.approx(math.log((docs[1][f] + 0.5) / (docs[0][f] + 0.5) * clean / toxic))
+    mean = max(size[0].values()) / clean
+    for key, gain, cost in zip(*model.density):
+        f = name[int(key)]
+        dense, thin = times[1][f] / size[1][f], (times[0][f] + 0.5) / (size[0][f] + mean)
+        assert dense > toxicity.DENSER * thin and (gain, cost) == (pytest.approx(math.log(dense / thin)), pytest.approx(dense - thin))
+    present = {name[int(k)]: w for k, w in zip(*model.presence)}
+    density = {name[int(k)]: (g, c) for k, g, c in zip(*model.density)}
+    got = {r.doc_id: r for r in toxicity.score_toxicity(frame(spark, rows + [(900, ""), (901, None)]), model).collect()}
+    for i, text in [*rows, (900, "")]:
+        found, n = plain_counts(text)
+        weights = [w for f, w in present.items() if f in found]
+        first = max(weights, default=0) + 0.1 * (sum(weights) - max(weights, default=0))
+        second = min(toxicity.MOST_DENSITY, max([0.0, *(found[f] * g - n * c for f, (g, c) in density.items() if f in found)]))
+        margin = model.slopes[0] * first + model.slopes[1] * second + model.shift
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, margin)))), abs=1e-9)
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(got[i].predicted == label[i] for i in held if label[i] or i % 6 != 3) and got[901].score == got[900].score
+
+
 # ---- names ---------------------------------------------------------------------------------------------------------
 
 
