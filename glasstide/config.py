@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 
+# The defaults of the three settings below, which labels must share to be comparable.
+
+
 @dataclass(frozen=True)
 class TrendSettings:
     ema_short: int = 21
