@@ -210,10 +210,10 @@ def _ema_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     "adx_one_series",
     f"""WITH {_ONE_SERIES}, w AS (SELECT *, {_weighed('lt', 1 / 14)} AS t14, {_weighed('lp', 1 / 14)} AS p14, {_weighed('lm', 1 / 14)} AS m14 FROM (SELECT *, {_listed(lt='tr', lp='pdm', lm='mdm')} FROM m)),
     di AS (SELECT *, 100 * p14 / nullif(t14, 0) AS pdi, 100 * m14 / nullif(t14, 0) AS mdi FROM w), dx AS (SELECT *, 100 * abs(pdi - mdi) / nullif(pdi + mdi, 0) AS dx FROM di)
-    SELECT {_ORDER_OF_ITEMS}, {_r(_weighed('ld', 1 / 14), 6, 'adx')}, {_r('pdi', 6, 'plus_di')}, {_r('mdi', 6, 'minus_di')} FROM (SELECT *, {_listed(ld='dx')} FROM dx)""",
+    SELECT {_ORDER_OF_ITEMS}, {_r(_weighed('ld', 1 / 14), 4, 'adx')}, {_r('pdi', 4, 'plus_di')}, {_r('mdi', 4, 'minus_di')} FROM (SELECT *, {_listed(ld='dx')} FROM dx)""",
 )
 def _adx_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_item(indicators.adx_full(_one_series_bars(spark, sf_dir), blocks=_blocks(spark)), adx=6, plus_di=6, minus_di=6)
+    return _by_item(indicators.adx_full(_one_series_bars(spark, sf_dir), blocks=_blocks(spark)), adx=4, plus_di=4, minus_di=4)
 
 
 @_register(
@@ -706,7 +706,7 @@ _on_flags(
     _sql(
         f"""SELECT 'NO' AS symbol, (SELECT strftime(max(ts), '%Y-%m-%d') FROM bars WHERE symbol = 'NO') AS as_of, part, CAST(row_number() OVER (PARTITION BY part ORDER BY ts) - 1 AS INTEGER) AS place, strftime(ts, '%Y-%m-%d') AS date, regime, close FROM (
           SELECT 'hmm' AS part, ts, regime, NULL::DOUBLE AS close FROM scored WHERE {_SINCE} UNION ALL SELECT 'rule_based', ts, regime, NULL FROM history WHERE symbol = 'NO' AND {_SINCE}
-          UNION ALL SELECT 'spy', ts, NULL, round_even(close, 2) FROM bars WHERE symbol = 'NO' AND {_SINCE})""",
+          UNION ALL SELECT 'spy', ts, NULL, CAST(f + CASE WHEN rest > 0.5 OR (rest = 0.5 AND f % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / 100 FROM (SELECT ts, floor({_CENTS}) AS f, {_CENTS} - floor({_CENTS}) AS rest FROM bars WHERE symbol = 'NO' AND {_SINCE}))""",
         more=_MODEL_SQL,
     ),
     _history_document,
