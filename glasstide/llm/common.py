@@ -20,10 +20,15 @@ BROADCAST_BYTES = 16 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcasting if its rows, written as JSON, take at most ``limit`` bytes; unmarked otherwise, so that the join shuffles."""
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether df's rows, written as JSON, take at most ``limit`` bytes."""
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0]
-    return F.broadcast(df) if (size or 0) <= limit else df
+    return (size or 0) <= limit
+
+
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcasting if it is small; unmarked otherwise, so that the join shuffles."""
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def lower_ascii(text: Column) -> Column:

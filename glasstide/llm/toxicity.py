@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .arrays import Words, chunks, lowered, span_hashes, text_buffers, window_hashes
 from .common import cut, without_dots
-from .training import SAMPLE_ROWS, labelled_texts
+from .training import labelled_texts
 
 # Letters that a digit or symbol may stand for.
 STANDS_FOR = {
@@ -173,20 +173,21 @@ def _rows_of(short: np.ndarray, single: np.ndarray, doc: np.ndarray) -> list[tup
     return list(zip(i[keep].tolist(), j[keep].tolist()))
 
 
-def _counted_features(words: RestoredWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, feature) pairs in order, and how often each occurs."""
-    doc, key = words.features()
-    order = np.lexsort((key, doc))
-    d, k = doc[order], key[order]
-    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(d)), bool), (d[1:] != d[:-1]) | (k[1:] != k[:-1])]))
-    return d[first], k[first], np.diff(np.append(first, len(d)))
+def _pairs(place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a feature's place and a document, in order, and how often each occurs."""
+    pair = np.sort((place.astype(np.int64) << 32) | doc)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(pair)), bool), pair[1:] != pair[:-1]]))
+    return pair[first] >> 32, pair[first] & 0xFFFFFFFF, np.diff(np.append(first, len(pair)))
 
 
 def _met(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of key stand in sorted keys, and where."""
-    at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-    hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-    return hit, at[hit]
+    """Indices of key's hashes that stand in sorted keys, and where; the first 20 bits tell most strangers."""
+    likely = np.zeros(1 << 20, bool)
+    likely[keys >> np.uint64(44)] = True
+    near = np.flatnonzero(likely[key >> np.uint64(44)])
+    at = np.searchsorted(keys, key[near])
+    hit = keys[np.minimum(at, len(keys) - 1)] == key[near] if len(keys) else np.zeros(0, bool)
+    return near[hit], at[hit]
 
 
 class Model:
@@ -205,14 +206,16 @@ class Model:
             return out
         words = RestoredWords(raw, offsets, CharacterModel(self.pairs))
         length = np.bincount(words.doc, minlength=n)
-        doc, key, times = _counted_features(words)
+        of, key = words.features()
         hit, at = _met(self.presence[0], key)
+        at, doc, _ = _pairs(at, of[hit])
         weight = self.presence[1][at]
-        np.maximum.at(out[:, 0], doc[hit], weight)
-        out[:, 0] += 0.1 * (np.bincount(doc[hit], weight, n) - out[:, 0])
+        np.maximum.at(out[:, 0], doc, weight)
+        out[:, 0] += 0.1 * (np.bincount(doc, weight, n) - out[:, 0])
         hit, at = _met(self.density[0], key)
-        ratio = times[hit] * self.density[1][at] - length[doc[hit]] * self.density[2][at]
-        np.maximum.at(out[:, 1], doc[hit], np.minimum(ratio, MOST_DENSITY))
+        at, doc, times = _pairs(at, of[hit])
+        ratio = times * self.density[1][at] - length[doc] * self.density[2][at]
+        np.maximum.at(out[:, 1], doc, np.minimum(ratio, MOST_DENSITY))
         return out
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -232,10 +235,11 @@ def _counted(batches: Iterator[pa.RecordBatch], pairs: dict[str, float] | None)
         for a, b, part, at in chunks(raw, offsets):
             words = RestoredWords(part, at, model)
             length = np.bincount(words.doc, minlength=b - a)
-            doc, key, times = _counted_features(words)
+            doc, key = words.features()
+            keys, place = np.unique(key, return_inverse=True)
+            place, doc, times = _pairs(place, doc)
             own = y[a:b][doc]
-            keys, inverse = np.unique(key, return_inverse=True)
-            counts = [np.bincount(inverse, v * w, len(keys)).astype(np.int64) for w in (1, times, length[doc]) for v in (own, 1 - own)]
+            counts = [np.bincount(place, v * w, len(keys)).astype(np.int64) for w in (1, times, length[doc]) for v in (own, 1 - own)]
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, counts)], names=["key", *_COUNTS])
 
 
@@ -249,9 +253,9 @@ def _dense_documents(batches: Iterator[pa.RecordBatch], pairs: dict[str, float]
         for a, b, part, at in chunks(raw, offsets):
             words = RestoredWords(part, at, model)
             length = np.bincount(words.doc, minlength=b - a)
-            doc, key, times = _counted_features(words)
+            doc, key = words.features()
             hit, place = _met(keys, key)
-            doc, times = doc[hit], times[hit]
+            place, doc, times = _pairs(place, doc[hit])
             is_dense = times * gains[place] - length[doc] * costs[place] > DENSE
             doc, place = doc[is_dense], place[is_dense]
             counts = [np.bincount(place, v, len(keys)).astype(np.int64) for v in (y[a:b][doc], 1 - y[a:b][doc])]
@@ -302,9 +306,9 @@ def _sorted(rows: list, *values: str) -> tuple[np.ndarray, ...]:
     return keys[order], *(np.array([r[v] for r in rows], float)[order] for v in values)
 
 
-def _telling(sample: DataFrame, toxic: int, total: int, pairs: dict[str, float] | None) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+def _telling(learned: DataFrame, toxic: int, total: int, pairs: dict[str, float] | None) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """What of a model tells by presence (hashes, weights), and what by density (hashes, gains, costs)."""
-    counted = sample.mapInArrow(lambda it: _counted(it, pairs), "key long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    counted = learned.mapInArrow(lambda it: _counted(it, pairs), "key long, " + ", ".join(f"{c} long" for c in _COUNTS))
     features = cut(counted.groupBy("key").agg(*[F.sum(c).alias(c) for c in _COUNTS]))
     size = features.agg(F.count("*").alias("n"), F.max("clean_words").alias("words")).first()
     least = float(np.log10(max(1, size["n"]) / CHANCE))
@@ -323,32 +327,32 @@ def _telling(sample: DataFrame, toxic: int, total: int, pairs: dict[str, float]
     )
     density = _sorted(best(by_density), "gain", "cost")
     # Occurrences come in bursts, so what they suggest is confirmed by documents that are dense in it.
-    shown = sample.mapInArrow(lambda it: _dense_documents(it, pairs, density), "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    shown = learned.mapInArrow(lambda it: _dense_documents(it, pairs, density), "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sure = shown.where((t > 3) & (t > c) & (_surprise(t, t + c, share) > float(np.log10(max(1, len(density[0])) / CHANCE)))).collect()
     keep = np.isin(density[0].view(np.int64), [r["key"] for r in sure])
     return _sorted(best(present), "weight"), tuple(x[keep] for x in density)
 
 
-def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, rows: int = SAMPLE_ROWS) -> Model:
-    """A model fitted on a bounded labelled sample, of which near copies count once.
+def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3) -> Model:
+    """A model fitted on all labelled rows outside the held-out fold, of which near copies count once.
 
     A feature is telling if the chance of its being so often toxic, Bonferroni-corrected, is small. Words are counted as they
     stand first, which gives the character model, and then restored by it. The driver gets at most FEATURES features, LETTER_PAIRS
-    letter pairs, and the sample's evidence (two numbers and a label per row).
+    letter pairs, and ten sums over the rows' evidence for each step of the final curve.
     """
-    sample = labelled_texts(documents, labels, label, modulus, rows).mapInArrow(_anchored, "text string, y int, near long")
-    sample = cut(sample.groupBy("near", "y").agg(F.min("text").alias("text")).select("text", "y"))
-    sizes = sample.groupBy("y").count().collect()
+    learned = labelled_texts(documents, labels, label, modulus, None).mapInArrow(_anchored, "text string, y int, near long")
+    learned = cut(learned.groupBy("near", "y").agg(F.min("text").alias("text")).select("text", "y"))
+    sizes = learned.groupBy("y").count().collect()
     toxic = sum(r["count"] for r in sizes if r["y"] == 1)
     total = sum(r["count"] for r in sizes)
     if not toxic or toxic == total:
         none, nothing = np.zeros(0, np.uint64), np.zeros(0)
         return Model({}, (none, nothing), (none, nothing, nothing))
-    (by_presence, _), (by_density, _, _) = _telling(sample, toxic, total, None)
+    (by_presence, _), (by_density, _, _) = _telling(learned, toxic, total, None)
     keys = np.union1d(by_presence, by_density)
-    paired = sample.mapInArrow(lambda it: _letter_pairs(it, keys), "pair string, n long, telling boolean")
+    paired = learned.mapInArrow(lambda it: _letter_pairs(it, keys), "pair string, n long, telling boolean")
     pairs = _blended(paired.groupBy("pair", "telling").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(LETTER_PAIRS).collect())
-    model = Model(pairs, *_telling(sample, toxic, total, pairs))
+    model = Model(pairs, *_telling(learned, toxic, total, pairs))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,8 +360,8 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", modulus
             values = np.concatenate([np.zeros((0, 2)), *(model.evidence(part, at) for _, _, part, at in chunks(raw, offsets))])
             yield pa.RecordBatch.from_arrays([pa.array(values[:, 0]), pa.array(values[:, 1]), batch.column(1)], names=["present", "dense", "y"])
 
-    got = sample.mapInArrow(measured, "present double, dense double, y int").toPandas().sort_values(["present", "dense", "y"])
-    *slopes, model.shift = _logistic(got[["present", "dense"]].to_numpy(), got["y"].to_numpy(float))
+    evidence = learned.mapInArrow(measured, "present double, dense double, y int")
+    *slopes, model.shift = _logistic(cut(evidence.groupBy("present", "dense", "y").agg(F.count("*").alias("n"))), ["present", "dense"])
     model.slopes = tuple(slopes)
     return model
 
@@ -372,14 +376,38 @@ def _blended(rows: list) -> dict[str, float]:
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.01) -> list[float]:
-    """Slopes and shift of a logistic curve over columns, by damped Newton steps."""
-    design = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(design.shape[1])
+def _logistic(rows: DataFrame, columns: list[str], rounds: int = 60, ridge: float = 0.01) -> list[float]:
+    """Slopes and shift of a logistic curve over columns, by Newton steps that are halved where they do not lower the loss.
+
+    rows have columns, y and n (how many they stand for). Sums are decimal, so that they do not depend on the order of rows.
+    """
+    x = [*map(F.col, columns), F.lit(1.0)]
+    size, n, y = len(x), F.col("n"), F.col("y")
+    above = [(i, j) for i in range(size) for j in range(i, size)]
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        margin = sum((F.lit(float(a)) * b for a, b in zip(w, x)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-margin))
+        loss = F.greatest(margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin))) - y * margin
+        wanted = [loss, *((p - y) * a for a in x), *(p * (1 - p) * x[i] * x[j] for i, j in above)]
+        first, *rest = map(float, rows.agg(*[F.sum((n * c).cast("decimal(38,15)")).alias(f"c{i}") for i, c in enumerate(wanted)]).first())
+        hess = np.zeros((size, size))
+        for (i, j), v in zip(above, rest[size:]):
+            hess[i, j] = hess[j, i] = v
+        return first + ridge / 2 * float(w @ w), np.array(rest[:size]) + ridge * w, hess + ridge * np.eye(size)
+
+    w = np.zeros(size)
+    loss, gradient, hess = sums(w)
+    step = np.linalg.solve(hess, gradient)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hess = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(w))
-        w -= 0.5 * np.linalg.solve(hess, design.T @ (p - y) + ridge * w)
+        if np.abs(step).max() < 1e-9:
+            break
+        new = sums(w - step)
+        if new[0] <= loss:
+            w, (loss, gradient, hess) = w - step, new
+            step = np.linalg.solve(hess, gradient)
+        else:
+            step = step / 2
     return w.tolist()
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glasstide.llm import ann, bpe, chat, decontaminate, lm, ngram_join, quality, secret_scan, substrings, toxicity
+from glasstide.llm import ann, bpe, chat, decontaminate, lm, ngram_join, quality, secret_scan, substrings, toxicity, training
 from glasstide.llm.arrays import text_buffers
 from glasstide.llm.queries import word_vocabulary
 
@@ -709,6 +709,39 @@ def test_toxicity_weights_and_scores_are_the_plain_ones(spark):
     assert all(got[i].predicted == label[i] for i in held if label[i] or i % 6 != 3) and got[901].score == got[900].score
 
 
+def test_toxicity_learns_from_all_labelled_documents(spark):
+    """More labelled documents than a sampled classifier takes: the weight and the share of every one of them outside the held-out fold."""
+    name = F.translate(F.col("id").cast("string"), "0123456789", "bcdfghjklm")
+    docs = spark.range(0, 36_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", name, F.lit("calm words"), F.when(F.col("id") % 6 == 0, F.lit("villain"))).alias("text"))
+    labels = spark.range(36_000).select(F.col("id").alias("doc_id"), (F.col("id") % 6 == 0).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels)
+    learned = [i for i in range(36_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxic = sum(i % 6 == 0 for i in learned)
+    assert len(learned) > training.SAMPLE_ROWS
+    weights = dict(zip(model.presence[0].tolist(), model.presence[1]))
+    assert weights[feature_hash((None, "villain"))] == pytest.approx(math.log((toxic + 0.5) / 0.5 * (len(learned) - toxic) / toxic))
+    assert training.labelled_texts(docs, labels.unionByName(labels.withColumn("toxic", F.lit(1))), "toxic", rows=None).agg(F.count("*"), F.sum("y")).first() == (len(learned), len(learned))
+
+
+def test_labels_too_many_to_broadcast_give_the_same_rows(spark, monkeypatch):
+    docs = frame(spark, [(i % 900, f"text {i}") for i in range(1000)] + [(None, "none"), (-5, None)])
+    labels = frame(spark, [(i, i % 2) for i in range(-10, 700)] + [(None, 1), (3, 1), (4, 7)], "doc_id long, toxic int")
+    few = sorted(training.labelled_texts(docs, labels, "toxic", rows=None).collect(), key=str)
+    monkeypatch.setattr(training, "is_small", lambda df: False)
+    assert len(few) > 500 and sorted(training.labelled_texts(docs, labels, "toxic", rows=None).collect(), key=str) == few
+    own = docs.where("doc_id is not null and pmod(doc_id, 3) = 0").select("doc_id")
+    assert own.count() <= training._likely(docs, own).count() < docs.count() / 2
+
+
+def test_logistic_curve_of_counted_rows_is_the_plain_one(spark):
+    draw = np.random.default_rng(3)
+    x = np.column_stack([draw.choice([0.0, 1.5, 4.0], 400), draw.choice([0.0, 0.0, 7.0, 25.0], 400), np.ones(400)])
+    y = (x @ [0.9, 0.4, -3.0] + draw.normal(0, 2, 400) > 0).astype(float)
+    rows = frame(spark, [(*map(float, a[:2]), int(b)) for a, b in zip(x, y)], "present double, dense double, y int").groupBy("present", "dense", "y").agg(F.count("*").alias("n"))
+    w = np.array(toxicity._logistic(rows, ["present", "dense"]))
+    assert x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 0.01 * w == pytest.approx(np.zeros(3), abs=1e-6)
+
+
 # ---- names ---------------------------------------------------------------------------------------------------------
 
 
