@@ -2,12 +2,13 @@
 
 Character classes are those of the regex module, whose Unicode version may be newer than the vocabulary library's: only
 letters and digits assigned since then can split otherwise. Words are merged by a priority queue of merge ranks over a doubly linked list of symbols; queue entries whose symbols
-have changed meanwhile are stale and skipped. Decoding concatenates vocabulary strings. Each task remembers the words
-it has merged, up to a fixed number.
+have changed meanwhile are stale and skipped. Decoding concatenates vocabulary strings. Each process remembers the words
+that its tasks have merged, up to a fixed number.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .common import without_dots
 
-#: Words that a task remembers before it forgets them all.
+#: Words that a process remembers before it forgets them all.
 REMEMBERED = 400_000
 #: White space as the vocabulary's normalizer takes it (the White_Space property).
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -34,15 +35,20 @@ def byte_letters() -> list[str]:
 
 #: The settings of a tokenizer file that encoding follows.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: The pattern of words that never reach across white space, so that what stands between is cut by itself.
+APART = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: What str.split takes for white space beyond WHITE.
+NOT_WHITE = "\x1c\x1d\x1e\x1f"
 
 
 def load_vocabulary(path: str) -> dict:
-    """What encoding needs of a tokenizer file with word ends: ids, merge ranks, special tokens, pieces by id.
+    """What encoding needs of a tokenizer file with word ends: ids, merge ranks, special tokens, the pattern of words; and its digest.
 
     A file that asks for other normalising, decoding or fallbacks than are built here is refused.
     """
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    with open(path, "rb") as f:
+        content = f.read()
+    spec = json.loads(content)
     model = spec["model"]
     normal = spec.get("normalizer") or {}
     asked = {
@@ -59,8 +65,8 @@ def load_vocabulary(path: str) -> dict:
         ranks.setdefault((a, b), rank)
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     words = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-    words = words.replace(r"\s", WHITE)
-    return {"ids": ids, "ranks": ranks, "special": special, "words": words, "end": model.get("end_of_word_suffix") or ""}
+    digest = hashlib.sha256(content).hexdigest()
+    return {"ids": ids, "ranks": ranks, "special": special, "words": words.replace(r"\s", WHITE), "apart": words == APART, "end": model.get("end_of_word_suffix") or "", "digest": digest}
 
 
 def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
@@ -88,10 +94,10 @@ def merge_word(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[st
 
 
 class Encoder:
-    """Encodes texts as the vocabulary file says; holds a task's memory of merged words."""
+    """Encodes texts as the vocabulary file says; holds a process's memory of merged words."""
 
     def __init__(self, vocabulary: dict, remembered: int = REMEMBERED):
-        self.ids, self.ranks, self.special, self.end = (vocabulary[k] for k in ("ids", "ranks", "special", "end"))
+        self.ids, self.ranks, self.special, self.apart, self.end = (vocabulary[k] for k in ("ids", "ranks", "special", "apart", "end"))
         self.words = regex.compile(vocabulary["words"])
         self.parts = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.white = regex.compile(f"[{WHITE}]+")
@@ -112,20 +118,33 @@ class Encoder:
 
     def normal(self, text: str) -> str:
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
-        text = self.white.sub(" ", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
+    def found(self, text: str) -> list[tuple[int, str, str]]:
+        """As word(), for each word of a text without special strings. A stretch between white space that is a remembered word is not cut."""
+        known, word, findall = self.known, self.word, self.words.findall
+        text = self.normal(text)
+        if not self.apart or any(c in text for c in NOT_WHITE):
+            return [known.get(w) or word(w) for w in findall(self.white.sub(" ", text))]
+        found = []
+        for stretch in text.split():
+            got = known.get(stretch)
+            if got is None:
+                found += [known.get(w) or word(w) for w in findall(stretch)]
+            else:
+                found.append(got)
+        return found
+
     def encode(self, text: str) -> tuple[int, str, str]:
         """As word(), for a whole text. Special strings are taken out before anything is normalised."""
         found: list[tuple[int, str, str]] = []
-        known, word = self.known, self.word
         pieces = self.parts.split(text) if self.parts and any(t in text for t in self.special) else [text]
         for piece in pieces:
             if piece in self.special:
                 i = self.special[piece]
                 found.append((1, str(i), self.piece[i]))
             else:
-                found += [known.get(w) or word(w) for w in self.words.findall(self.normal(piece))]
+                found += self.found(piece)
         found = [x for x in found if x[0]]
         if not found:
             return 0, "", ""
@@ -133,6 +152,18 @@ class Encoder:
         return sum(counts), " ".join(ids), " ".join(strings)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(vocabulary: dict) -> Encoder:
+    """The process's encoder of a vocabulary: its memory of words outlives a task. Only the last one is kept."""
+    key = vocabulary["digest"]
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(vocabulary)
+    return _ENCODERS[key]
+
+
 def encode_texts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     """documents' rows with n_tokens (long), ids (decimal, joined by a space) and decoded (vocabulary strings, so joined).
 
@@ -145,7 +176,7 @@ def encode_texts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     vocabulary = documents.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = _encoder(vocabulary.value)
         for batch in batches:
             texts = batch.column(columns.index("text"))
             for at in range(0, batch.num_rows, 500):

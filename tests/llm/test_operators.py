@@ -633,6 +633,25 @@ def test_memory_is_bounded():
         assert len(encoder.known) <= 6
 
 
+def test_remembered_words_are_not_cut_and_outlive_a_task(monkeypatch):
+    monkeypatch.setattr(bpe, "_ENCODERS", {})
+    vocabulary = bpe.load_vocabulary(word_vocabulary())
+    encoder = bpe._encoder(vocabulary)
+    first = encoder.encode("Don't mind, words''s\u3000'RE 12!'re\x1cwords \x1f mind")
+    cut, pattern = [], encoder.words
+
+    class Noted:
+        def findall(self, text):
+            cut.append(text)
+            return pattern.findall(text)
+
+    encoder.words = Noted()
+    assert encoder.encode("MIND\twords\x85 mind") == encoder.encode("mind words mind") and not cut
+    assert encoder.encode("words''s mind")[0] == 4 and cut == ["words''s"]
+    assert encoder.encode("Don't mind, words''s\u3000'RE 12!'re\x1cwords \x1f mind") == first == bpe.Encoder(vocabulary | {"apart": False}).encode("Don't mind, words''s\u3000'RE 12!'re\x1cwords \x1f mind")
+    assert bpe._encoder(dict(vocabulary)) is encoder and bpe._encoder(vocabulary | {"digest": "other"}) is not encoder
+
+
 def test_digest_helper():
     assert brute.sha("é") == hashlib.sha256("é".encode()).hexdigest() and re.fullmatch("[0-9a-f]{64}", brute.sha(""))
 
