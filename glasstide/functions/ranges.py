@@ -10,6 +10,9 @@ ranges. A series that lies in one range as a whole has range -1. What reaches be
 
 ``_at`` numbers rows in order of (symbol, ts). There are at most two pieces for each range that go on elsewhere, so tables of
 pieces stay as small as the number of ranges, whatever the number of rows and symbols.
+
+A dealt frame is the leaner form for what streams through a range in order: rows are shuffled once, nothing is kept besides, and
+``_range`` numbers the partitions. Each pass sorts again what it reads from the shuffle's files (see ``directional``).
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import kept
+from .storage import kept, shuffled_once
 
-AT, HALO = "_at", "_halo"
+AT, HALO, RANGE = "_at", "_halo", "_range"
 
 
 def is_ranged(df: DataFrame, symbol: str = "symbol") -> bool:
@@ -41,6 +44,23 @@ def in_ranges(df: DataFrame, blocks: int, symbol: str = "symbol", ts: str = "ts"
     return dealt.withColumn(symbol, F.struct(number.cast("int").alias("range"), F.col(symbol).alias("symbol"))).drop("_range")
 
 
+def _sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind.fields)
+    return _sortable(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, (T.NumericType, T.StringType, T.BooleanType, T.BinaryType, T.DatetimeType))
+
+
+def dealt(df: DataFrame, blocks: int, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
+    """df as a dealt frame: about ``blocks`` ranges of (symbol, ts), each a sorted partition with its number in ``_range``.
+
+    Rows that tie are told apart by their other columns, so that all passes see them in one order. Columns may be added and left
+    out afterwards; partitions must stay as they are.
+    """
+    others = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in (symbol, ts) and _sortable(f.dataType)]
+    frame = df.repartitionByRange(blocks, symbol, ts).withColumn(RANGE, F.spark_partition_id())
+    return shuffled_once(frame.sortWithinPartitions(symbol, ts, *others))
+
+
 def whole(frame: DataFrame, symbol: str = "symbol") -> DataFrame:
     """The frame's own rows, by plain symbol."""
     own = frame.where(f"not {HALO}") if HALO in frame.columns else frame

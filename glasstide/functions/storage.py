@@ -1,4 +1,4 @@
-"""Results that are computed once and kept in the folder that all executors share."""
+"""Results that are computed once: kept in the folder that all executors share, or read again from the files of their shuffles."""
 
 from __future__ import annotations
 
@@ -21,3 +21,13 @@ def kept(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def shuffled_once(df: DataFrame) -> DataFrame:
+    """df, whose shuffles run now: later jobs read their files and do again only what stands above them, such as a sort.
+
+    Nothing is written besides. What is lost with an executor is computed again, so rows that a sort leaves tied may come in another order.
+    """
+    session = df.sparkSession
+    rows = df._jdf.queryExecution().toRdd()
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), session)

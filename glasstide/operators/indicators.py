@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.directional import directional_means
 from ..functions.ewm import Mean, recursive_means, span, wilder
 from ..functions.expressions import bars_in_order, last_rows, log_price, ratio, when_full
-from ..functions.ranges import HALO, over_ranges
+from ..functions.ranges import HALO, RANGE, dealt, over_ranges
 
 
 def ema(bars: DataFrame, length: int, col: str = "close", name: str | None = None, blocks: int | None = None) -> DataFrame:
@@ -81,9 +82,14 @@ def with_adx(df: DataFrame, length: int = 14) -> DataFrame:
 
 
 def adx_full(bars: DataFrame, length: int = 14, blocks: int | None = None) -> DataFrame:
-    """Directional index adx with plus_di and minus_di; the index's mean starts at the first bar that has one."""
+    """Directional index adx with plus_di and minus_di; the index's mean starts at the first bar that has one.
+
+    bars may be a dealt frame (see ``functions.ranges``), which stays one.
+    """
     if blocks:
-        return over_ranges(bars, lambda df: adx_full(df, length), blocks, back=1)
+        return adx_full(dealt(bars, blocks), length).drop(RANGE)
+    if RANGE in bars.columns:
+        return with_dx(directional_means(bars, wilder(length))).select(*bars.columns, "adx", "plus_di", "minus_di")
     moved = directional_moves(true_range(bars))
     w = wilder(length)
     means = recursive_means(moved, [Mean("true_range", w, "tr_mean"), Mean("plus_dm", w, "plus_mean"), Mean("minus_dm", w, "minus_mean")])

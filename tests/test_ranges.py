@@ -1,6 +1,7 @@
 """Series cut into ranges give what whole series give, wherever the cuts fall."""
 
 import math
+import os
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -88,3 +89,63 @@ def test_halo_rows_are_marked_and_leave_again(spark):
     assert frame.where(HALO).count() > 0
     assert whole(frame).count() == bars.count()
     assert whole(frame).columns == bars.columns
+
+
+def odd_panel(spark):
+    """Symbols that cross ranges, one without name, with null, NaN and infinite prices, equal moves up and down, and a column besides."""
+    rows = []
+    for symbol, n in (("hot", 300), ("a", 1), ("b", 90), (None, 60)):
+        for i in range(n):
+            close = 100 + 10 * math.sin(i / 7) + (i * 7919 % 13) / 3
+            high, low = (close + i % 4, close - i % 4) if i % 50 > 5 else (100.5 + i % 50 / 8, 99.5 - i % 50 / 8)
+            high = {17: None, 41: math.nan, 88: math.inf}.get(i % 97, high)
+            rows.append((symbol, i, f"{symbol} {i}", high, None if i % 31 == 30 else low, None if i % 23 == 22 else math.nan if i == 200 else close))
+    return spark.createDataFrame(rows, "symbol string, ts int, note string, high double, low double, close double")
+
+
+@pytest.mark.parametrize("kind", ("double", "float", "decimal(12,4)", "decimal(38,4)", "int"))
+def test_index_of_a_dealt_frame_is_the_whole_series(spark, kind):
+    bars = odd_panel(spark)
+    if kind not in ("double", "float"):
+        bars = bars.replace([math.nan, math.inf], None)
+    bars = bars.withColumns({c: F.col(c).cast(kind) for c in ("high", "low", "close")})
+    want = sorted_rows(indicators.adx_full(bars))
+    assert want["adx"].notna().any()
+    for blocks in (1, 7, 450) if kind == "double" else (40,):
+        got = sorted_rows(indicators.adx_full(bars, blocks=blocks))
+        assert list(got.columns) == list(want.columns)
+        pd.testing.assert_frame_equal(got, want, rtol=1e-9, check_dtype=False)
+
+
+def test_index_of_a_dealt_frame_with_a_struct_as_time(spark):
+    bars = odd_panel(spark).withColumn("ts", F.struct((F.col("ts") / 10).cast("int").alias("tens"), F.col("ts").alias("at")))
+    want = indicators.adx_full(bars).selectExpr("symbol", "ts.at", "adx", "plus_di").toPandas()
+    got = indicators.adx_full(bars, blocks=20).selectExpr("symbol", "ts.at", "adx", "plus_di").toPandas()
+    by = ["symbol", "at"]
+    pd.testing.assert_frame_equal(got.sort_values(by).reset_index(drop=True), want.sort_values(by).reset_index(drop=True), rtol=1e-9)
+
+
+def test_ties_in_time_have_one_order_for_all_passes(spark):
+    bars = odd_panel(spark).where("symbol = 'hot'").withColumn("ts", (F.col("ts") / 40).cast("int"))
+    once, again = (indicators.adx_full(b, blocks=5).orderBy("note").toPandas() for b in (bars, bars.orderBy(F.desc("note")).repartition(3)))
+    pd.testing.assert_frame_equal(once, again)
+
+
+def on_disk(spark) -> dict[str, int]:
+    """Sizes of all shuffle and checkpoint files."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = {f.getPath(): f.length() for f in (files.apply(i) for i in range(files.size()))}
+    for folder, _, names in os.walk((spark.sparkContext.getCheckpointDir() or "").removeprefix("file:")):
+        found |= {f"{folder}/{n}": os.path.getsize(f"{folder}/{n}") for n in names}
+    return found
+
+
+def test_index_in_ranges_writes_its_rows_once(spark):
+    n = 60_000
+    close = 100 + F.rand(1)
+    bars = spark.range(n).select(F.lit("x").alias("symbol"), F.col("id").alias("ts"), close.alias("close")).selectExpr("*", "close + rand(2) high", "close - rand(3) low")
+    before = on_disk(spark)
+    found = indicators.adx_full(bars, blocks=12)
+    found.write.format("noop").mode("overwrite").save()
+    written = sum(size for f, size in on_disk(spark).items() if f not in before)
+    assert n * 20 < written < n * 100  # three shuffles and three checkpoints took some 400 bytes a row
