@@ -172,11 +172,11 @@ def _one_series_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _one_series_dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The high, low and close of _one_series_bars as a dealt frame. What prices come from is dealt, since it packs better than they do."""
+    """Keys, high, low and close of _one_series_bars as a dealt frame. What prices come from is dealt, since it packs better than they do."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    frame = dealt(items.select(F.lit("all").alias("symbol"), F.struct(*_KEYS).alias("ts"), "l_quantity", "l_discount", "l_tax"), _blocks(spark))
-    price = (F.col("ts.l_extendedprice") / F.col("l_quantity")).cast("double")
-    return frame.select(RANGE, "symbol", "ts", price.alias("close"), (price * (1 + F.col("l_discount"))).alias("high"), (price * (1 - F.col("l_tax"))).alias("low"))
+    frame = dealt(items.select(*_KEYS, "l_quantity", "l_discount", "l_tax"), _blocks(spark), by=_KEYS)
+    price = (F.col("l_extendedprice") / F.col("l_quantity")).cast("double")
+    return frame.select(RANGE, F.lit(0).alias("symbol"), *_KEYS, price.alias("close"), (price * (1 + F.col("l_discount"))).alias("high"), (price * (1 - F.col("l_tax"))).alias("low"))
 
 
 def _blocks(spark: SparkSession) -> int:
@@ -222,7 +222,8 @@ def _ema_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT {_ORDER_OF_ITEMS}, {_r(_weighed('ld', 1 / 14), 4, 'adx')}, {_r('pdi', 4, 'plus_di')}, {_r('mdi', 4, 'minus_di')} FROM (SELECT *, {_listed(ld='dx')} FROM dx)""",
 )
 def _adx_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_item(indicators.adx_full(_one_series_dealt(spark, sf_dir)), adx=4, plus_di=4, minus_di=4)
+    found = indicators.adx_full(_one_series_dealt(spark, sf_dir))
+    return _by_item(found.withColumn("ts", F.struct(*_KEYS)), adx=4, plus_di=4, minus_di=4)
 
 
 @_register(
